@@ -72,7 +72,7 @@ def content_type_of(url: Column, declared: Column) -> Column:
     return (
         F.when(path.rlike(r"\.(grib2?|grb2?)\.bz2$"), "application/x-grib+bz2")
         .when(path.rlike(r"\.(grib2?|grb2?)$"), "application/x-grib")
-        .otherwise(declared)
+        .otherwise(F.lower(F.coalesce(declared, F.lit(""))))
     )
 
 
@@ -84,19 +84,19 @@ def clean_node_path(path: Column) -> tuple[Column, Column]:
 
 
 def parse_log_line(line: Column) -> dict[str, Column]:
-    """time, level and message of a ``<time> ... level=X ... message="..."`` line; NULL parts when absent."""
-    stamp = F.regexp_extract(line, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})", 1)
-    level = F.regexp_extract(line, r"level=(\w+)", 1)
-    quoted = F.regexp_extract(line, r'message="([^"]*)"', 1)
-    bare = F.regexp_extract(line, r"message=([^\"].*)$", 1)
-    return {
-        "time": F.replace(stamp, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"),
-        "level": F.nullif(F.upper(level), F.lit("")),
-        "message": F.coalesce(F.nullif(quoted, F.lit("")), F.nullif(bare, F.lit(""))),
-    }
+    """timestamp, level and message of a ``<timestamp> ... level=X ... message=...`` line.
+
+    The level is error, warning or info; without ``message=`` the message is the rest of the line. All parts
+    of a blank line are NULL.
+    """
+    text = F.nullif(F.trim(line), F.lit(""))
+    rest = F.when(text.contains(" "), F.regexp_replace(text, r"^\S+ ", "")).when(text.isNotNull(), "")
+    level = F.lower(F.regexp_extract(rest, r"(?i)(?:^|\s)level=(\S*)", 1))
+    kind = F.when(level == "error", "error").when(level.isin("warn", "warning"), "warning").when(level.isNotNull(), "info")
+    message = F.when(rest.contains("message="), F.regexp_replace(rest, r"^(?s).*?message=", "")).otherwise(rest)
+    return {"timestamp": F.substring_index(text, " ", 1), "level": kind, "message": message}
 
 
 def glob_to_regex(pattern: str) -> str:
-    """Node path glob: ``**`` crosses levels, ``*`` and ``?`` stay within one."""
-    out = re.escape(pattern).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-    return f"^{out}$"
+    """Shell pattern on whole node paths: ``*`` any text (also across levels), ``?`` one character."""
+    return "^" + re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".") + "$"

@@ -93,9 +93,14 @@ def required_columns(df: DataFrame, required: list[str]) -> tuple[DataFrame, Dat
     return marked.where("missing = ''").drop("missing"), marked.where("missing <> ''")
 
 
-def match_nodes(catalog: DataFrame, pattern: str, path: str = "path") -> DataFrame:
-    """Catalog rows whose node path matches a glob."""
-    return catalog.where(F.col(path).rlike(glob_to_regex(pattern)))
+def match_nodes(catalog: DataFrame, pattern: str, path: str = "path", store: str | None = None) -> DataFrame:
+    """Catalog rows whose node path, alone or after the store's name, matches a glob."""
+    regex = glob_to_regex(pattern)
+    matched = F.col(path).rlike(regex)
+    if store:
+        full = F.when(F.col(path) == "", F.lit(store)).otherwise(F.concat(F.lit(store + "/"), F.col(path)))
+        matched = matched | full.rlike(regex)
+    return catalog.where(matched)
 
 
 def corner(cells: DataFrame, axes: dict[str, DataFrame], first: dict[str, int]) -> DataFrame:
@@ -106,7 +111,7 @@ def corner(cells: DataFrame, axes: dict[str, DataFrame], first: dict[str, int])
     return cells
 
 
-def recent_events(events: DataFrame, time: str, level: str, last: int, levels: Iterable[str] = ("ERROR", "WARNING")) -> DataFrame:
+def recent_events(events: DataFrame, time: str, level: str, last: int, levels: Iterable[str] = ("error", "warning")) -> DataFrame:
     """The newest ``last`` events, then only the given levels: the limit comes before the filter."""
     order = [F.col(time).desc()] + [F.col(c).desc() for c in events.columns if c not in (time, level)]
-    return events.orderBy(*order).limit(last).where(F.upper(level).isin(list(levels)))
+    return events.orderBy(*order).limit(last).where(F.lower(level).isin(list(levels)))

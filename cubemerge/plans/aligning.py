@@ -148,18 +148,18 @@ def extension_limits(t: Tables) -> DataFrame:
     return found.overlap.withColumn("part", F.lit("overlap")).unionByName(found.extension.withColumn("part", F.lit("extension")))
 
 
-_MEANS = """(SELECT date_trunc('hour', ts) AS "time", event_type AS kind, avg(value) AS value FROM events GROUP BY ALL)"""
+_PEAKS = """(SELECT date_trunc('hour', ts) AS "time", event_type AS kind, max(value) AS value FROM events GROUP BY ALL)"""
 _BRACKET = f"""
-WITH c AS (FROM {_MEANS}), src AS (SELECT DISTINCT "time" FROM c),
+WITH c AS (FROM {_PEAKS}), src AS (SELECT DISTINCT "time" FROM c),
 tg AS (SELECT unnest(generate_series((SELECT min("time") FROM src), (SELECT max("time") FROM src), INTERVAL 45 MINUTE)) AS "time"),
 br AS (SELECT tg."time", lo."time" AS lo, hi."time" AS hi FROM tg ASOF JOIN src lo ON lo."time" <= tg."time"
        ASOF JOIN src hi ON hi."time" >= tg."time"),
 w AS (SELECT *, CASE WHEN lo = hi THEN 0e0 ELSE (epoch_us("time") - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) END AS w FROM br)"""
 
 
-def hourly_means(t: Tables) -> DataFrame:
+def hourly_peaks(t: Tables) -> DataFrame:
     return t.events.groupBy(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("time"), F.col("event_type").alias("kind")).agg(
-        F.avg("value").alias("value")
+        F.max("value").alias("value")
     )
 
 
@@ -178,38 +178,37 @@ def bracket_axis(t: Tables) -> DataFrame:
 
 
 @query("interp_linear", _BRACKET + """
-SELECT w."time", a.kind, round(CASE WHEN w = 0 THEN a.value ELSE a.value + (b.value - a.value) * w END, 6) AS value
+SELECT w."time", a.kind, round(CASE WHEN w = 0 THEN a.value ELSE a.value + (b.value - a.value) * w END, 9) AS value
 FROM w JOIN c a ON a."time" = lo JOIN c b ON b."time" = hi AND b.kind = a.kind""")
 def interp_linear(t: Tables) -> DataFrame:
-    means = hourly_means(t)
+    peaks = hourly_peaks(t)
     pairs = align.bracket(every_45_minutes(t), grid.axis_values(cells(t), ["time"]), "time")
-    return align.interpolate(means, pairs, "time", ["kind"], ["value"]).withColumn("value", F.round("value", 6))
+    return align.interpolate(peaks, pairs, "time", ["kind"], ["value"]).withColumn("value", F.round("value", 9))
 
 
 @query("interp_nearest", _BRACKET + """
-SELECT w."time", a.kind, round(a.value, 6) AS value FROM w JOIN c a ON a."time" = CASE WHEN w <= 0.5 THEN lo ELSE hi END""")
+SELECT w."time", a.kind, a.value AS value FROM w JOIN c a ON a."time" = CASE WHEN w <= 0.5 THEN lo ELSE hi END""")
 def interp_nearest(t: Tables) -> DataFrame:
-    means = hourly_means(t)
+    peaks = hourly_peaks(t)
     pairs = align.bracket(every_45_minutes(t), grid.axis_values(cells(t), ["time"]), "time")
-    out = align.interpolate(means, pairs, "time", ["kind"], ["value"], nearest=True)
-    return out.withColumn("value", F.round("value", 6))
+    return align.interpolate(peaks, pairs, "time", ["kind"], ["value"], nearest=True)
 
 
 @query("interp_per_site", """
-WITH c AS (SELECT user_id AS site, date_trunc('day', ts) AS "time", avg(value) AS value FROM events GROUP BY ALL),
+WITH c AS (SELECT user_id AS site, date_trunc('day', ts) AS "time", max(value) AS value FROM events GROUP BY ALL),
 tg AS (SELECT site, unnest(generate_series(min("time"), max("time"), INTERVAL 12 HOUR)) AS "time" FROM c GROUP BY site),
 br AS (SELECT tg.site, tg."time", lo."time" AS lo, lo.value AS v0, hi."time" AS hi, hi.value AS v1
   FROM tg ASOF JOIN c lo ON lo.site = tg.site AND lo."time" <= tg."time" ASOF JOIN c hi ON hi.site = tg.site AND hi."time" >= tg."time")
-SELECT site, "time", round(CASE WHEN lo = hi THEN v0 ELSE v0 + (v1 - v0) * ((epoch_us("time") - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo))) END, 6) AS value
+SELECT site, "time", round(CASE WHEN lo = hi THEN v0 ELSE v0 + (v1 - v0) * ((epoch_us("time") - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo))) END, 9) AS value
 FROM br""")
 def interp_per_site(t: Tables) -> DataFrame:
-    """Each site's own axis: daily means interpolated to half days within the site's range."""
-    means = t.events.groupBy(F.col("user_id").alias("site"), F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("time")).agg(F.avg("value").alias("value"))
-    span = means.groupBy("site").agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
+    """Each site's own axis: daily peaks interpolated to half days within the site's range."""
+    peaks = t.events.groupBy(F.col("user_id").alias("site"), F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("time")).agg(F.max("value").alias("value"))
+    span = peaks.groupBy("site").agg(F.min("time").alias("lo"), F.max("time").alias("hi"))
     targets = span.select("site", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 12 HOUR"))).alias("time"))
-    pairs = align.bracket(targets, means.select("site", "time"), "time", ["site"])
-    out = align.interpolate(means, pairs, "time", ["site"], ["value"], keys=["site"])
-    return out.select("site", "time", F.round("value", 6).alias("value"))
+    pairs = align.bracket(targets, peaks.select("site", "time"), "time", ["site"])
+    out = align.interpolate(peaks, pairs, "time", ["site"], ["value"], keys=["site"])
+    return out.select("site", "time", F.round("value", 9).alias("value"))
 
 
 @query("nearest_time", f"""

@@ -56,6 +56,12 @@ class Files:
         fs, full = self._at(path)
         return fs.exists(full)
 
+    def is_empty(self, uri: str) -> bool:
+        """A file (full URI) exists and has no bytes."""
+        full = self._jvm.org.apache.hadoop.fs.Path(uri)
+        fs = full.getFileSystem(self._conf)
+        return fs.exists(full) and fs.getFileStatus(full).getLen() == 0
+
     def names(self, path: str) -> list[str]:
         fs, full = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(full)) if fs.exists(full) else []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +35,9 @@ _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 _OFFSET = re.compile(r"([+-])(\d{2}):?(\d{2})$")
 _ZONE_TAIL = r"(?<=:\d\d|:\d\d\.\d{1,9})\s*(Z|[A-Z]{3,4}|[+-]\d{2}:?\d{2})$"
-_TIME = r"(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?)?$"
+# cheap test before the exact one
+_ZONE_END = r"[A-Z]$|[+-]\d{2}:?\d{2}$"
+_TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
 
 
 def fixed_minutes(zone: str | None) -> int | None:
@@ -111,39 +114,51 @@ def add_duration(col: Column, seconds: float, tick: str = "us") -> Column:
     return truncate_tick(shifted, tick)
 
 
-def _from_groups(text: Column, pattern: str, year: int, month: int, day: int, month_first: bool | None = None) -> Column:
-    """Timestamp from numbered regex groups; groups 4..6 are the optional time of day.
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    ``month_first`` marks an ambiguous numeric date: the first number is the month unless it exceeds 12.
-    """
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    number = lambda i: part(i).try_cast("int")
-    y, m, d = number(year), number(month), number(day)
-    if month_first:
-        first, second = number(1), number(2)
-        m = F.when(first > 12, second).otherwise(first)
-        d = F.when(first > 12, first).otherwise(second)
-    elif month_first is False:
-        first, second = number(1), number(2)
-        d = F.when(second > 12, second).otherwise(first)
-        m = F.when(second > 12, first).otherwise(second)
-    if month == 0:
-        m = F.array_position(F.array(*[F.lit(x) for x in _MONTHS]), F.lower(part(day % 2 + 1))).cast("int")
-    zero = lambda i, t: F.coalesce(part(i).try_cast(t), F.lit(0).cast(t))
-    stamp = F.try_make_timestamp_ntz(y, m, d, zero(4, "int"), zero(5, "int"), zero(6, "decimal(16,6)"))
-    return F.when(text.rlike(pattern), stamp)
+
+def _number(parts: Column, i: int) -> Column:
+    return F.get(parts, F.lit(i)).try_cast("int")
+
+
+def _stamp(parts: Column, year: Column, month: Column, day: Column) -> Column:
+    """Timestamp of a split text: tokens 3.. are hour, minute, second and fraction, each optional."""
+    part = lambda i, default: F.coalesce(F.get(parts, F.lit(i)), F.lit(default))
+    second = F.concat(part(5, "0"), F.lit("."), part(6, "0")).try_cast("decimal(16,6)")
+    return F.try_make_timestamp_ntz(year, month, day, part(3, "0").try_cast("int"), part(4, "0").try_cast("int"), second)
+
+
+def _split(text: Column, pattern: str, build: Callable[[Column], Column]) -> Column:
+    """Parse texts of one form: checked by one pattern, cut by one split."""
+    return F.when(text.rlike(pattern), _with(F.split(text, r"[-./,: ]+|(?<=\d)T(?=\d)"), build))
+
+
+def _day_and_month(parts: Column, dayfirst: bool) -> Column:
+    """Numeric date with the year last; the two first numbers change places when only that gives a month."""
+    a, b = _number(parts, 0), _number(parts, 1)
+    day, month = (a, b) if dayfirst else (b, a)
+    fits = month <= 12
+    return _stamp(parts, _number(parts, 2), F.when(fits, month).otherwise(day), F.when(fits, day).otherwise(month))
+
+
+def _month_number(name: Column) -> Column:
+    months = F.array(*[F.lit(m) for m in _MONTHS])
+    return F.array_position(months, F.lower(F.substring(name, 1, 3))).cast("int")
 
 
 def parse_local(text: Column, unit: DateTimeUnit) -> Column:
     """Zone-less timestamp of a text without zone part; NULL when no known form fits."""
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz"))
+    get = lambda p, i: F.get(p, F.lit(i))
+    compact = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2})?)?$", "$1-$2-$3 $4:$5:$6")
     return F.coalesce(
-        iso,
-        _from_groups(text, r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})" + _TIME, 3, 2, 1, month_first=not unit.dayfirst),
-        _from_groups(text, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})" + _TIME, 1, 2, 3),
-        _from_groups(text, r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2})?)?$", 1, 2, 3),
-        _from_groups(text, r"^(\d{1,2})[ -]([A-Za-z]{3})[a-z]*[ ,-]+(\d{4})" + _TIME, 3, 0, 1),
-        _from_groups(text, r"^([A-Za-z]{3})[a-z]* (\d{1,2}),? (\d{4})" + _TIME, 3, 0, 2),
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz")),
+        _split(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{4}" + _TIME, lambda p: _day_and_month(p, unit.dayfirst)),
+        _split(text, r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}" + _TIME, lambda p: _stamp(p, _number(p, 0), _number(p, 1), _number(p, 2))),
+        _split(text, r"^\d{1,2}[ -][A-Za-z]{3,9}[ ,-]+\d{4}" + _TIME, lambda p: _stamp(p, _number(p, 2), _month_number(get(p, 1)), _number(p, 0))),
+        _split(text, r"^[A-Za-z]{3,9} \d{1,2},? \d{4}" + _TIME, lambda p: _stamp(p, _number(p, 2), _month_number(get(p, 0)), _number(p, 1))),
+        F.when(text.rlike(r"^\d{8}(?:[T ]?\d{4}(?:\d{2})?)?$"), F.regexp_replace(compact, r" :.*$|:$", "").try_cast("timestamp_ntz")),
     )
 
 
@@ -155,7 +170,8 @@ def parse_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit | Non
     """
     target = target or source
     text = F.trim(col)
-    zone = F.regexp_extract(text, _ZONE_TAIL, 1)
+    # only a text with a time of day can end in a zone
+    zone = F.when(text.rlike(_ZONE_END), F.regexp_extract(text, _ZONE_TAIL, 1)).otherwise("")
     local = parse_local(F.when(zone == "", text).otherwise(F.regexp_replace(text, _ZONE_TAIL, "")), source)
     digits = F.regexp_replace(zone, ":", "")
     numeric = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (
@@ -177,7 +193,7 @@ def parse_logger_time(col: Column) -> Column:
     """Logger files: ``dd-MM-yyyy HH:mm:ss``, ISO, or epoch milliseconds; anything else NULL."""
     text = F.trim(col)
     return F.coalesce(
-        _from_groups(text, r"^(\d{2})-(\d{2})-(\d{4}) (\d{2}):(\d{2}):(\d{2})$", 3, 2, 1),
+        _split(text, r"^\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}$", lambda p: _stamp(p, _number(p, 2), _number(p, 1), _number(p, 0))),
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp_ntz")),
         F.when(text.rlike(r"^-?\d+$"), epoch_millis(text.try_cast("long"))),
     )

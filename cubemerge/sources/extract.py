@@ -63,21 +63,30 @@ def parse_path(path: str) -> list[Segment]:
     return segments
 
 
-def _present(node: Column) -> Column:
-    return F.when(~F.is_variant_null(node), node)
+def _quoted(key: str) -> str:
+    return "['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def _step(node: Column, key: str, arrays: bool = True) -> Column:
-    """Child of a VARIANT by literal key, or by index when the node is a list."""
-    quoted = key.replace("\\", "\\\\").replace("'", "\\'")
-    child = F.try_variant_get(node, f"$['{quoted}']", "variant")
-    if arrays and re.fullmatch(r"\d+", key):
-        child = F.coalesce(child, F.try_variant_get(node, f"$[{int(key)}]", "variant"))
-    return _present(child)
+def _get(node: Column, keys: list[str], type_name: str = "variant", arrays: bool = True) -> Column:
+    """Descend literal keys in one path expression. A key of digits may be an object key or a list index, so
+    such a step is taken both ways."""
+    path = "$"
+    for i, key in enumerate(keys):
+        if arrays and re.fullmatch(r"\d+", key):
+            here = node if path == "$" else F.try_variant_get(node, path, "variant")
+            child = F.coalesce(
+                F.try_variant_get(here, "$" + _quoted(key), "variant"), F.try_variant_get(here, f"$[{int(key)}]", "variant")
+            )
+            return _get(child, keys[i + 1:], type_name, arrays)
+        path += _quoted(key)
+    return node if path == "$" and type_name == "variant" else F.try_variant_get(node, path, type_name)
 
 
 def _explode(df: DataFrame, node: str, name: str) -> DataFrame:
-    """One row per child of a VARIANT column: adds ``<name>`` and ``<name>_key`` (list index as text)."""
+    """One row per child of a VARIANT column: adds ``<name>`` and ``<name>_key`` (list index as text).
+
+    A node that is missing or no container gives no rows, so no filter on the parsed document is needed.
+    """
     children = df.sparkSession.tvf.variant_explode(F.col(node).outer())
     keyed = children.select(
         F.coalesce(F.col("key"), F.col("pos").cast("string")).alias(f"{name}_key"), F.col("value").alias(name)
@@ -90,7 +99,16 @@ def _child_by_key(node: Column, key: Column) -> Column:
     members = F.try_variant_get(node, "$", "map<string,variant>")
     items = F.try_variant_get(node, "$", "array<variant>")
     index = F.when(key.rlike(r"^\d+$"), key.try_cast("int"))
-    return _present(F.coalesce(F.try_element_at(members, key), F.get(items, index)))
+    return F.coalesce(F.try_element_at(members, key), F.get(items, index))
+
+
+def _root(documents: DataFrame, doc: str, keep: list[str]) -> DataFrame:
+    is_variant = isinstance(documents.schema[doc].dataType, T.VariantType)
+    return documents.select(*keep, (F.col(doc) if is_variant else F.try_parse_json(F.col(doc))).alias("_n0"))
+
+
+def _only_present(df: DataFrame, node: str) -> DataFrame:
+    return df.where(F.col(node).isNotNull() & ~F.is_variant_null(F.col(node)))
 
 
 def json_extract(documents: DataFrame, doc: str, pattern: str, columns: dict[str, str | tuple[str, str]],
@@ -102,21 +120,35 @@ def json_extract(documents: DataFrame, doc: str, pattern: str, columns: dict[str
     that does not exist gives NULL. Row order is not defined.
     """
     keep = keep or []
-    is_variant = isinstance(documents.schema[doc].dataType, T.VariantType)
-    root = F.col(doc) if is_variant else F.try_parse_json(F.col(doc))
-    df = documents.select(*keep, root.alias("_n0")).where(F.col("_n0").isNotNull())
+    df = _root(documents, doc, keep)
     segments = parse_path(pattern)
     holders: dict[str, Column] = {}
+    # nodes[i]: expression of the node after i segments, relative to the last exploded column
+    nodes, literals, base = [F.col("_n0")], [], "_n0"
     for i, segment in enumerate(segments):
-        node, child = f"_n{i}", f"_n{i + 1}"
         if segment.literal is not None:
-            df = df.withColumn(child, _step(F.col(node), segment.literal)).where(F.col(child).isNotNull())
+            literals.append(segment.literal)
+            nodes.append(_get(F.col(base), literals))
             continue
-        df = _explode(df, node, child)
-        df = df.where(F.col(f"{child}_key").rlike("(?s)" + segment.regex()))
-        for group, name in enumerate(segment.names, 1):
-            df = df.withColumn(f"_p_{name}", F.regexp_extract(f"{child}_key", "(?s)" + segment.regex(), group))
-            holders[name] = F.col(f"_p_{name}")
+        source, child = base, f"_n{i + 1}"
+        if literals:
+            source = f"_b{i}"
+            df = df.withColumn(source, nodes[-1])
+        df = _explode(df, source, child)
+        key = F.col(f"{child}_key")
+        if len(segment.parts) == 1:
+            holders[segment.names[0]] = key
+        else:
+            regex = "(?s)" + segment.regex()
+            df = df.where(key.rlike(regex))
+            for group, name in enumerate(segment.names, 1):
+                df = df.withColumn(f"_p_{name}", F.regexp_extract(key, regex, group))
+                holders[name] = F.col(f"_p_{name}")
+        base, literals = child, []
+        nodes.append(F.col(child))
+    if literals:
+        df = _only_present(df.withColumn("_end", nodes[-1]), "_end")
+        nodes[-1] = F.col("_end")
     out = []
     for name, spec in columns.items():
         template, type_name = spec if isinstance(spec, tuple) else (spec, "string")
@@ -136,27 +168,35 @@ def json_extract(documents: DataFrame, doc: str, pattern: str, columns: dict[str
         while shared < min(len(steps), len(segments)) and steps[shared] == segments[shared]:
             shared += 1
         # start from the node already matched, not from the root
-        node = F.col(f"_n{shared}")
+        node, rest = nodes[shared], []
         for step in steps[shared:]:
-            node = _step(node, step.literal) if step.literal is not None else _child_by_key(node, step.rendered(holders))
-        out.append(F.try_variant_get(node, "$", type_name).alias(name))
+            if step.literal is not None:
+                rest.append(step.literal)
+            else:
+                node, rest = _child_by_key(_get(node, rest), step.rendered(holders)), []
+        out.append(_get(node, rest, type_name).alias(name))
     return df.select(*keep, *out)
 
 
 def wildcard_extract(documents: DataFrame, doc: str, path: str, out: str = "value", keep: list[str] | None = None,
                      type_name: str = "string") -> DataFrame:
     """Dotted path with ``*`` for every child of an object or list: ``a.*.b``. One row per match."""
-    keep = keep or []
-    is_variant = isinstance(documents.schema[doc].dataType, T.VariantType)
-    root = F.col(doc) if is_variant else F.try_parse_json(F.col(doc))
-    df = documents.select(*keep, root.alias("_n0")).where(F.col("_n0").isNotNull())
-    parts = [p for p in path.split(".") if p]
-    for i, part in enumerate(parts):
-        if part == "*":
-            df = _explode(df, f"_n{i}", f"_n{i + 1}")
-        else:
-            df = df.withColumn(f"_n{i + 1}", _step(F.col(f"_n{i}"), part, arrays=False)).where(F.col(f"_n{i + 1}").isNotNull())
-    return df.select(*keep, F.try_variant_get(F.col(f"_n{len(parts)}"), "$", type_name).alias(out))
+    df = _root(documents, doc, keep or [])
+    base, literals = "_n0", []
+    for i, part in enumerate(p for p in path.split(".") if p):
+        if part != "*":
+            literals.append(part)
+            continue
+        source = base
+        if literals:
+            source = f"_b{i}"
+            df = df.withColumn(source, _get(F.col(base), literals, arrays=False))
+        base, literals = f"_n{i + 1}", []
+        df = _explode(df, source, base)
+    if literals:
+        df = df.withColumn("_end", _get(F.col(base), literals, arrays=False)).where(F.col("_end").isNotNull())
+        base = "_end"
+    return df.select(*(keep or []), F.try_variant_get(F.col(base), "$", type_name).alias(out))
 
 
 # --- forecasts -----------------------------------------------------------------------------------------

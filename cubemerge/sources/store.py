@@ -224,15 +224,20 @@ class Node:
             key = to_epoch_ticks(key, tick)
         return F.floor(key / F.lit(span)).cast("long")
 
-    def _write_cube(self, coords: tuple[str, ...], cells: DataFrame, gen: str, span: float | None) -> dict[str, str]:
-        """Append the cells as new generation; returns bucket -> gen of what was written."""
+    def _write_cube(self, coords: tuple[str, ...], cells: DataFrame, gen: str, span: float | None,
+                    buckets: list[int] | None = None) -> dict[str, str]:
+        """Append the cells as new generation; returns bucket -> gen of what was written.
+
+        ``buckets`` are the only ones that can have been written; without it the folder is listed.
+        """
         folder = f"{self.store.root}/{self._rel('cube=' + cube_id(coords))}"
         placed = cells.withColumn("bucket", self._bucket(coords, span)).withColumn("gen", F.lit(gen))
         # rebalance splits an oversized bucket over several tasks and joins small ones
         placed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket", "gen").parquet(folder)
         relative = self._rel("cube=" + cube_id(coords))
         out = {}
-        for name in self.store.files.names(relative):
+        names = self.store.files.names(relative) if buckets is None else [f"bucket={b}" for b in buckets]
+        for name in names:
             if name.startswith("bucket=") and self.store.files.exists(f"{relative}/{name}/gen={gen}"):
                 out[name.split("=", 1)[1]] = gen
         return out
@@ -273,7 +278,8 @@ class Node:
 
     def update_cells(self, cubes: dict[tuple[str, ...], DataFrame], policy: str = merge.COALESCE, insert: bool = False) -> UpdateResult:
         """Merge cells that are in schema form already, after checking them against the schema."""
-        checked = {c: validate_cells(df, self.schema, c) for c, df in cubes.items()}
+        # read several times below: for the axes, the touched buckets and the merge
+        checked = {c: materialize(validate_cells(df, self.schema, c), "update") for c, df in cubes.items()}
         axes = {}
         for name, coord in self.schema.coords.items():
             keys = list(coord.keys)
@@ -299,11 +305,10 @@ class Node:
         targets, update_axes = {}, {}
         for name, values in axes.items():
             coord = self.schema.coords[name]
-            update_axes[name] = materialize(values, "axis")
             if first[name]:
-                ordered = axis(update_axes[name], list(coord.keys))
-                new["axes"][name] = self._write_axis(name, ordered, gen)
+                new["axes"][name] = self._write_axis(name, axis(values, list(coord.keys)), gen)
                 continue
+            update_axes[name] = materialize(values, "axis")
             targets[name] = self._targets(coord, update_axes[name], stored_axes[name], policy, insert)
             if targets[name].ignored:
                 self.store.log_event("ERROR", self.path, f"{name}: {targets[name].ignored} new values ignored, extension is not allowed")
@@ -386,7 +391,7 @@ class Node:
             merged = merge.merge_overwrite(stored, cells, keys, values, box)
         else:
             merged = merge.merge_coalesce(stored, cells, keys, values)
-        written = self._write_cube(coords, merged, gen, span)
+        written = self._write_cube(coords, merged, gen, span, buckets)
         kept = dict(entry["buckets"])
         for b in list(kept) if buckets is None else [str(b) for b in buckets]:
             kept.pop(b, None)

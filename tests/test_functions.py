@@ -40,6 +40,10 @@ def test_unit_conversion():
     ("05/06/2025", DateTimeUnit("s", dayfirst=True), datetime(2025, 6, 5)),
     ("25/06/2025", DateTimeUnit("s"), datetime(2025, 6, 25)),
     ("2025-05-13T08:00:59.75", DateTimeUnit("s"), datetime(2025, 5, 13, 8, 0, 59)),
+    ("2 OCT 2024 01:02:03.5", DateTimeUnit("ms"), datetime(2024, 10, 2, 1, 2, 3)),
+    ("20240102T101112", DateTimeUnit("s"), datetime(2024, 1, 2, 10, 11, 12)),
+    ("20240102", DateTimeUnit("s"), datetime(2024, 1, 2)),
+    ("2024/1/2 1:02", DateTimeUnit("s"), datetime(2024, 1, 2, 1, 2)),
     ("NaT", DateTimeUnit("s"), None),
     ("yesterday", DateTimeUnit("s"), None),
     ("2025-13-40", DateTimeUnit("s"), None),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ TICKS = {
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _OFFSET = re.compile(r"([+-])(\d{2}):?(\d{2})$")
-_ZONE_TAIL = r"(?<=:\d\d|:\d\d\.\d{1,9})\s*(Z|[A-Z]{3,4}|[+-]\d{2}:?\d{2})$"
+_ZONE_TAIL = r":\d\d(?:\.\d+)?\s*(Z|[A-Z]{3,4}|[+-]\d{2}:?\d{2})$"
 # cheap test before the exact one
 _ZONE_END = r"[A-Z]$|[+-]\d{2}:?\d{2}$"
 _TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
@@ -114,52 +113,82 @@ def add_duration(col: Column, seconds: float, tick: str = "us") -> Column:
     return truncate_tick(shifted, tick)
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+# --- parsing -------------------------------------------------------------------------------------------
+#
+# The parser is one SQL lambda applied to the column. Written out as Column objects it would be several hundred
+# calls into the JVM each time a plan is built, and parts used twice would be computed twice per row.
 
 
-def _number(parts: Column, i: int) -> Column:
-    return F.get(parts, F.lit(i)).try_cast("int")
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _stamp(parts: Column, year: Column, month: Column, day: Column) -> Column:
-    """Timestamp of a split text: tokens 3.. are hour, minute, second and fraction, each optional."""
-    part = lambda i, default: F.coalesce(F.get(parts, F.lit(i)), F.lit(default))
-    second = F.concat(part(5, "0"), F.lit("."), part(6, "0")).try_cast("decimal(16,6)")
-    return F.try_make_timestamp_ntz(year, month, day, part(3, "0").try_cast("int"), part(4, "0").try_cast("int"), second)
+def _stamp(year: str, month: str, day: str) -> str:
+    """Timestamp from the tokens ``p`` of a split text; tokens 3.. are the optional time of day."""
+    part = lambda i: f"coalesce(get(p, {i}), '0')"
+    number = lambda i: f"try_cast({part(i)} AS INT)"
+    second = f"try_cast(concat({part(5)}, '.', {part(6)}) AS DECIMAL(16,6))"
+    return f"try_make_timestamp_ntz({year}, {month}, {day}, {number(3)}, {number(4)}, {second})"
 
 
-def _split(text: Column, pattern: str, build: Callable[[Column], Column]) -> Column:
-    """Parse texts of one form: checked by one pattern, cut by one split."""
-    return F.when(text.rlike(pattern), _with(F.split(text, r"[-./,: ]+|(?<=\d)T(?=\d)"), build))
+def _token(i: int) -> str:
+    return f"try_cast(get(p, {i}) AS INT)"
 
 
-def _day_and_month(parts: Column, dayfirst: bool) -> Column:
-    """Numeric date with the year last; the two first numbers change places when only that gives a month."""
-    a, b = _number(parts, 0), _number(parts, 1)
-    day, month = (a, b) if dayfirst else (b, a)
-    fits = month <= 12
-    return _stamp(parts, _number(parts, 2), F.when(fits, month).otherwise(day), F.when(fits, day).otherwise(month))
+def _month_name(i: int) -> str:
+    names = ", ".join(f"'{m}'" for m in _MONTHS)
+    return f"CAST(array_position(array({names}), lower(substring(get(p, {i}), 1, 3))) AS INT)"
 
 
-def _month_number(name: Column) -> Column:
-    months = F.array(*[F.lit(m) for m in _MONTHS])
-    return F.array_position(months, F.lower(F.substring(name, 1, 3))).cast("int")
+def _form(text: str, pattern: str, build: str) -> str:
+    """One written form: checked by one pattern, cut by one split."""
+    tokens = f"split({text}, r'[-./,: ]+|(?<=[0-9])T(?=[0-9])')"
+    return f"CASE WHEN {text} RLIKE r'{pattern}' THEN {_let(tokens, 'p', build)} END"
 
 
-def parse_local(text: Column, unit: DateTimeUnit) -> Column:
+def _local_sql(text: str, dayfirst: bool) -> str:
     """Zone-less timestamp of a text without zone part; NULL when no known form fits."""
-    get = lambda p, i: F.get(p, F.lit(i))
-    compact = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2})?)?$", "$1-$2-$3 $4:$5:$6")
-    return F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp_ntz")),
-        _split(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{4}" + _TIME, lambda p: _day_and_month(p, unit.dayfirst)),
-        _split(text, r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}" + _TIME, lambda p: _stamp(p, _number(p, 0), _number(p, 1), _number(p, 2))),
-        _split(text, r"^\d{1,2}[ -][A-Za-z]{3,9}[ ,-]+\d{4}" + _TIME, lambda p: _stamp(p, _number(p, 2), _month_number(get(p, 1)), _number(p, 0))),
-        _split(text, r"^[A-Za-z]{3,9} \d{1,2},? \d{4}" + _TIME, lambda p: _stamp(p, _number(p, 2), _month_number(get(p, 0)), _number(p, 1))),
-        F.when(text.rlike(r"^\d{8}(?:[T ]?\d{4}(?:\d{2})?)?$"), F.regexp_replace(compact, r" :.*$|:$", "").try_cast("timestamp_ntz")),
-    )
+    a, b = _token(0), _token(1)
+    day, month = (a, b) if dayfirst else (b, a)
+    # the two first numbers change places when only that gives a month
+    year_last = _stamp(_token(2), f"if({month} <= 12, {month}, {day})", f"if({month} <= 12, {day}, {month})")
+    compact = rf"regexp_replace({text}, r'^(\d\d\d\d)(\d\d)(\d\d)[T ]?', '$1-$2-$3 ')"
+    clock = rf"rtrim(regexp_replace({compact}, r' (\d\d)(\d\d)(\d\d)?$', ' $1:$2:$3'))"
+    forms = [
+        f"CASE WHEN {text} RLIKE r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}' THEN try_cast({text} AS TIMESTAMP_NTZ) END",
+        _form(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{4}" + _TIME, year_last),
+        _form(text, r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}" + _TIME, _stamp(_token(0), _token(1), _token(2))),
+        _form(text, r"^\d{1,2}[ -][A-Za-z]{3,9}[ ,-]+\d{4}" + _TIME, _stamp(_token(2), _month_name(1), _token(0))),
+        _form(text, r"^[A-Za-z]{3,9} \d{1,2},? \d{4}" + _TIME, _stamp(_token(2), _month_name(0), _token(1))),
+        rf"CASE WHEN {text} RLIKE r'^\d{{8}}([T ]?\d{{4}}(\d\d)?)?$' THEN try_cast(rtrim(':', {clock}) AS TIMESTAMP_NTZ) END",
+    ]
+    return f"coalesce({', '.join(forms)})"
+
+
+def _shift_sql(value: str, minutes: str) -> str:
+    return f"({value} + make_dt_interval(0, 0, {minutes}, 0))"
+
+
+def _zone_sql(value: str, source: str | None, target: str | None) -> str:
+    """Local time in ``source`` to local time in ``target``."""
+    if source == target:
+        return value
+    a, b = fixed_minutes(source), fixed_minutes(target)
+    if a is not None and b is not None:
+        return value if a == b else _shift_sql(value, str(b - a))
+    name = lambda z, m: z if m is None else ("UTC" if m == 0 else f"{'+' if m > 0 else '-'}{abs(m) // 60:02d}:{abs(m) % 60:02d}")
+    return f"convert_timezone('{name(source, a)}', '{name(target, b)}', {value})"
+
+
+def _tick_sql(value: str, tick: str) -> str:
+    unit, micros = TICKS[tick]
+    return value if micros == 1 else f"CAST(date_trunc('{unit}', {value}) AS TIMESTAMP_NTZ)"
+
+
+def _apply(col: Column, name: str, body: str) -> Column:
+    """The SQL lambda ``name -> body`` applied to one value."""
+    return F.get(F.call_function("transform", F.array(col), F.expr(f"{name} -> {body}")), F.lit(0))
 
 
 def parse_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit | None = None) -> Column:
@@ -169,19 +198,24 @@ def parse_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit | Non
     "NaT" and text that fits no known form give NULL.
     """
     target = target or source
-    text = F.trim(col)
-    # only a text with a time of day can end in a zone
-    zone = F.when(text.rlike(_ZONE_END), F.regexp_extract(text, _ZONE_TAIL, 1)).otherwise("")
-    local = parse_local(F.when(zone == "", text).otherwise(F.regexp_replace(text, _ZONE_TAIL, "")), source)
-    digits = F.regexp_replace(zone, ":", "")
-    numeric = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (
-        F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int")
+
+    def in_target(value: str, zone: str | None) -> str:
+        in_source = _tick_sql(_zone_sql(value, zone, source.tz or "UTC"), source.tick)
+        return _tick_sql(_zone_sql(in_source, source.tz or "UTC", target.tz or "UTC"), target.tick)
+
+    naive = in_target(_local_sql("t", source.dayfirst), source.tz or "UTC")
+    table = ", ".join(f"'{k}', {v}" for k, v in ZONE_MINUTES.items())
+    digits = "replace(z, ':', '')"
+    minutes = (
+        f"CASE WHEN z RLIKE r'^[+-]' THEN if(startswith(z, '-'), -1, 1) * (CAST(substring({digits}, 2, 2) AS INT) * 60"
+        f" + CAST(substring({digits}, 4, 2) AS INT)) ELSE try_element_at(map({table}), z) END"
     )
-    table = F.create_map(*[F.lit(x) for item in ZONE_MINUTES.items() for x in item])
-    minutes = F.when(zone.rlike("^[+-]"), numeric).when(zone != "", F.try_element_at(table, zone))
-    utc = F.when(minutes.isNull(), to_utc(local, source.tz)).otherwise(shift_minutes(local, -minutes))
-    in_source = truncate_tick(from_utc(utc, source.tz), source.tick)
-    return truncate_tick(convert_timezone(in_source, source.tz, target.tz), target.tick)
+    pair = f"struct({_local_sql('b', source.dayfirst)} AS at, {minutes} AS off)"
+    given = f"CASE WHEN q.off IS NULL THEN {in_target('q.at', source.tz or 'UTC')} ELSE {in_target(_shift_sql('q.at', '-q.off'), 'UTC')} END"
+    zoned = _let("rtrim(substring(t, 1, length(t) - length(z)))", "b", _let(pair, "q", given))
+    split_zone = _let(f"regexp_extract(t, r'{_ZONE_TAIL}', 1)", "z", f"CASE WHEN z = '' THEN {naive} ELSE {zoned} END")
+    # a quick test first: only a text with a time of day can end in a zone
+    return _apply(F.trim(col), "t", f"CASE WHEN t RLIKE r'{_ZONE_END}' THEN {split_zone} ELSE {naive} END")
 
 
 def convert_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit) -> Column:
@@ -191,12 +225,12 @@ def convert_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit) ->
 
 def parse_logger_time(col: Column) -> Column:
     """Logger files: ``dd-MM-yyyy HH:mm:ss``, ISO, or epoch milliseconds; anything else NULL."""
-    text = F.trim(col)
-    return F.coalesce(
-        _split(text, r"^\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}$", lambda p: _stamp(p, _number(p, 2), _number(p, 1), _number(p, 0))),
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp_ntz")),
-        F.when(text.rlike(r"^-?\d+$"), epoch_millis(text.try_cast("long"))),
-    )
+    forms = [
+        _form("t", r"^\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2}$", _stamp(_token(2), _token(1), _token(0))),
+        r"CASE WHEN t RLIKE r'^\d\d\d\d-\d\d-\d\d' THEN try_cast(t AS TIMESTAMP_NTZ) END",
+        r"CASE WHEN t RLIKE r'^-?\d+$' THEN CAST(timestamp_millis(try_cast(t AS BIGINT)) AS TIMESTAMP_NTZ) END",
+    ]
+    return _apply(F.trim(col), "t", f"coalesce({', '.join(forms)})")
 
 
 def epoch_millis(col: Column) -> Column:

@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # recording the call site of every Column operation makes building long plans several times slower
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

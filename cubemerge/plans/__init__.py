@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("harmonizing", "gridding", "aligning", "viewing", "extracting")
+MODULES = ("harmonizing", "gridding", "aligning", "viewing", "extracting", "storing")
 
 
 def load_queries() -> None:

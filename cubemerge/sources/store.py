@@ -7,7 +7,8 @@
     <root>/_events/day=<day>/*.parquet
 
 A write adds files under a new ``gen`` for the buckets it touches and then publishes one small version file,
-so a reader sees the old or the new state and a failed write changes nothing. One writer per node at a time.
+so a reader sees the old or the new state and a failed write changes nothing. One writer per node at a time;
+``Node.expire`` removes the generations that newer versions have replaced.
 """
 
 from __future__ import annotations
@@ -74,6 +75,10 @@ class Files:
         finally:
             stream.close()
 
+    def delete(self, path: str) -> None:
+        fs, full = self._at(path)
+        fs.delete(full, True)
+
     def publish_json(self, path: str, value: dict[str, Any]) -> None:
         """Write under a temporary name, then rename: the file appears whole or not at all."""
         fs, final = self._at(path)
@@ -398,6 +403,30 @@ class Node:
         new["cubes"][name] = {**entry, "buckets": {**kept, **written}}
         result.buckets[name] = len(written)
 
+    def expire(self, keep: int = 2) -> list[str]:
+        """Delete generations that none of the newest ``keep`` versions uses; returns their folders.
+
+        Generations of a version not published yet are left alone, a write may be under way.
+        """
+        current = self.version()
+        used, kept = set(), range(max(1, current - keep + 1), current + 1)
+        for number in kept:
+            state = self.store.files.read_json(self._rel(f"_versions/v{number:06d}.json"))
+            used |= {f"axis={c}/gen={e['gen']}" for c, e in state["axes"].items()}
+            used |= {f"cube={c}/bucket={b}/gen={g}" for c, e in state["cubes"].items() for b, g in e["buckets"].items()}
+        removed = []
+        for table in self.store.files.names(self.path):
+            parents = [table] if table.startswith("axis=") else []
+            if table.startswith("cube="):
+                parents = [f"{table}/{b}" for b in self.store.files.names(self._rel(table)) if b.startswith("bucket=")]
+            for parent in parents:
+                for gen in self.store.files.names(self._rel(parent)):
+                    folder = f"{parent}/{gen}"
+                    if gen.startswith("gen=") and int(gen[4:10]) <= current and folder not in used:
+                        self.store.files.delete(self._rel(folder))
+                        removed.append(folder)
+        return removed
+
     def check_axes(self) -> DataFrame:
         """(coord, n): number of repeated values per axis; empty when all axes are unique."""
         state, parts = self._state(), []

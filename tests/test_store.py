@@ -137,6 +137,8 @@ def test_read_slice_opens_only_needed_buckets(spark, tmp_path):
     result = node.update(frame(spark, [("2024-01-05", 50)], "time string, temperature long"), "row")
     assert result.buckets == {"time": 1}
     assert sorted(r["temperature"] for r in node.read_df("temperature").collect()) == [1, 2, 3, 4, 50]
+    assert len(node.expire(keep=1)) == 1 and node.expire(keep=1) == []
+    assert sorted(r["temperature"] for r in node.read_df("temperature").collect()) == [1, 2, 3, 4, 50]
 
 
 def test_dropped_dimension_must_be_constant(spark, tmp_path):

@@ -76,15 +76,15 @@ def neighbours(
     ``before``/``after`` name the result columns. ``(keys, order)`` must identify a row. Runs one job.
     """
     cut = range_blocks(df.withColumn("_v", value), keys + order, blocks)
-    inside = Window.partitionBy(BLOCK, *keys).orderBy(ROW)
-    edge = 0 if include_current else 1
+    # both directions as growing frames, the second in descending order: a frame that ends at "unbounded
+    # following" is evaluated anew for every row
+    so_far = (Window.unboundedPreceding, 0 if include_current else -1)
+    inside = Window.partitionBy(BLOCK, *keys)
     local = cut
     if before:
-        frame = inside.rowsBetween(Window.unboundedPreceding, -edge)
-        local = local.withColumn("_lp", F.last("_v", ignorenulls=True).over(frame))
+        local = local.withColumn("_lp", F.last("_v", ignorenulls=True).over(inside.orderBy(ROW).rowsBetween(*so_far)))
     if after:
-        frame = inside.rowsBetween(edge, Window.unboundedFollowing)
-        local = local.withColumn("_ln", F.first("_v", ignorenulls=True).over(frame))
+        local = local.withColumn("_ln", F.last("_v", ignorenulls=True).over(inside.orderBy(F.desc(ROW)).rowsBetween(*so_far)))
     # first and last valid value of every (block, key); only keys that reach over a border matter below
     ends = cut.groupBy(BLOCK, *keys).agg(
         F.expr("max_by(_v, _row) FILTER (WHERE _v IS NOT NULL)").alias("_last"),
@@ -95,12 +95,12 @@ def neighbours(
     edges = cut.groupBy(BLOCK).agg(F.max(ROW).alias("_end"))
     # a key crosses a border only if it holds the first or the last row of its block: two keys per block
     border = ends.join(F.broadcast(edges), BLOCK).where((F.col("_lo") == 0) | (F.col("_hi") == F.col("_end")))
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    across, earlier = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
     carry = border.select(
         BLOCK,
         *keys,
-        F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-        F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"),
+        F.last("_last", ignorenulls=True).over(across.orderBy(BLOCK).rowsBetween(*earlier)).alias("_cp"),
+        F.last("_first", ignorenulls=True).over(across.orderBy(F.desc(BLOCK)).rowsBetween(*earlier)).alias("_cn"),
     ).where(F.col("_cp").isNotNull() | F.col("_cn").isNotNull())
     # broadcast bound: at most two rows per block
     joined = local.alias("l").join(F.broadcast(carry.alias("c")), _same(keys, "l", "c"), "left")

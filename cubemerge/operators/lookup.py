@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Probe positions passed as literals (clicks on a map), not a table.
-MAX_PROBES = 1000
+MAX_PROBES = 100
 
 
 def attribute_lookup(df: DataFrame, table: DataFrame, key: str, attributes: list[str]) -> DataFrame:
@@ -37,22 +37,26 @@ def nearest_site(sites: DataFrame, site: str, lat: str, lon: str, probes: list[P
                  max_distance: float | None = None) -> DataFrame:
     """(probe, site, lat, lon, distance2): nearest site to each probe by squared degree distance.
 
-    Sites with a missing position are ignored, ties go to the smaller site key. The probes are literals, so
-    this is one scan with a map-side aggregate of one row per probe and task.
+    Sites with a missing position are ignored, ties go to the smaller site key. The probes are literals and each is
+    one aggregate of a single scan, so a task sends one row whatever the number of sites.
     """
     if not probes or len(probes) > MAX_PROBES:
         raise ValueError(f"between 1 and {MAX_PROBES} probes")
-    points = F.array(*[
-        F.struct(F.lit(i).alias("probe"), F.lit(p.lat).alias("plat"), F.lit(p.lon).alias("plon"))
-        for i, p in enumerate(probes)
+    located = sites.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    best = []
+    for i, probe in enumerate(probes):
+        dy, dx = F.col(lat) - F.lit(probe.lat), F.col(lon) - F.lit(probe.lon)
+        d2 = dy * dy + dx * dx
+        entry = F.struct(d2.alias("distance2"), site, lat, lon)
+        if max_distance is not None:
+            entry = F.when(d2 <= F.lit(max_distance * max_distance), entry)
+        best.append(F.min(entry).alias(f"b{i}"))
+    row = located.agg(*best)
+    found = F.array(*[
+        F.struct(F.lit(i).alias("probe"), *[F.col(f"b{i}")[c].alias(c) for c in ("distance2", site, lat, lon)])
+        for i in range(len(probes))
     ])
-    located = sites.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(site, lat, lon, F.inline(points))
-    d2 = (F.col(lat) - F.col("plat")) * (F.col(lat) - F.col("plat")) + (F.col(lon) - F.col("plon")) * (F.col(lon) - F.col("plon"))
-    ranked = located.withColumn("_d2", d2)
-    if max_distance is not None:
-        ranked = ranked.where(F.col("_d2") <= F.lit(max_distance * max_distance))
-    best = ranked.groupBy("probe").agg(F.min(F.struct(F.col("_d2").alias("distance2"), site, lat, lon)).alias("b"))
-    return best.select("probe", "b.*")
+    return row.select(F.inline(found)).where(F.col("distance2").isNotNull())
 
 
 def site_by_index(sites: DataFrame, index: int) -> DataFrame:

@@ -26,10 +26,10 @@ def merge_coalesce(stored: DataFrame, update: DataFrame, keys: list[str], variab
 def merge_rows(stored: DataFrame, rows: DataFrame, keys: list[str], variables: list[str], order: str) -> DataFrame:
     """Pivot and coalescing merge in one shuffle, for updates that need no interpolation.
 
-    ``rows`` may hold several rows per cell; stored cells count as the earliest row.
+    ``rows`` may hold several rows per cell, in a numeric ``order``; stored cells count as the earliest row.
     """
-    rank = F.struct(F.lit(1).alias("src"), F.col(order).cast("long").alias("seq"))
-    oldest = F.struct(F.lit(0).alias("src"), F.lit(None).cast("long").alias("seq"))
+    # a plain long keeps the aggregation hash-based
+    rank, oldest = F.col(order).cast("long"), F.lit(-(2**63))
     tagged = stored.select(*keys, *variables, oldest.alias("_rank")).unionByName(
         rows.select(*keys, *variables, rank.alias("_rank"))
     )

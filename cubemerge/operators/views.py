@@ -18,7 +18,7 @@ from cubemerge.operators.select import viewport
 
 def first_finite(cells: DataFrame, entity: str, value: str, order: list[str]) -> DataFrame:
     """First finite value per entity in ``order`` over all remaining dimensions; NULL when there is none."""
-    finite = cells.withColumn("_v", finite_or_null(F.col(value))).withColumn("_o", F.struct(*order))
+    finite = cells.withColumn("_v", finite_or_null(F.col(value))).withColumn("_o", F.struct(*order) if len(order) > 1 else F.col(order[0]))
     return finite.groupBy(entity).agg(F.expr("min_by(_v, _o) FILTER (WHERE _v IS NOT NULL)").alias(value))
 
 
@@ -27,7 +27,8 @@ def nearest_fill(cells: DataFrame, entity: str, position: str, index: int, colum
 
     A plain aggregation with map-side combine: no window over an entity's whole history.
     """
-    near = F.struct(F.abs(F.col(position) - F.lit(index)).alias("d"), F.col(position).alias("p"))
+    # distance and side in one number: smaller is nearer, an earlier position comes before a later one
+    near = (F.abs(F.col(position) - F.lit(index)) * 2 + (F.col(position) > F.lit(index)).cast("int")).cast("long")
     ranked = cells.withColumns({f"_f{c}": finite_or_null(F.col(c)) for c in columns}).withColumn("_near", near)
     return ranked.groupBy(entity).agg(*[
         F.expr(f"min_by(`_f{c}`, _near) FILTER (WHERE `_f{c}` IS NOT NULL)").alias(c) for c in columns

@@ -19,19 +19,24 @@ STORED_SQL = f"ts < TIMESTAMP '{STORED_UNTIL}'"
 UPDATE_SQL = f"ts >= TIMESTAMP '{UPDATE_FROM}'"
 
 
-def part(frame: DataFrame, which: str, column: str = "time") -> DataFrame:
+def part(frame: DataFrame, which: str, column: str = "ts") -> DataFrame:
+    """One part of the events; the cut is on the raw time, so it reaches the scan."""
     if which == "stored":
         return frame.where(F.col(column) < F.lit(STORED_UNTIL).cast("timestamp_ntz"))
     return frame.where(F.col(column) >= F.lit(UPDATE_FROM).cast("timestamp_ntz"))
 
 
+def part_cells(t: Tables, tick: str, which: str) -> DataFrame:
+    return cells(t, tick, part(t.events, which))
+
+
 @query("overlap_extension", f"""
 WITH s AS (SELECT DISTINCT "time", site FROM {DAYS} WHERE "time" < TIMESTAMP '{STORED_UNTIL}'),
      u AS (SELECT DISTINCT "time", site FROM {DAYS} WHERE "time" >= TIMESTAMP '{UPDATE_FROM}')
 SELECT "time", site, (("time", site) IN (SELECT ("time", site) FROM s)) AS in_stored FROM u""")
 def overlap_extension(t: Tables) -> DataFrame:
-    rows, keys = cells(t, "DAY"), ["time", "site"]
-    stored, update = (grid.axis_values(part(rows, w), keys) for w in ("stored", "update"))
+    keys = ["time", "site"]
+    stored, update = (grid.axis_values(part_cells(t, "DAY", w), keys) for w in ("stored", "update"))
     both = align.overlap(update, stored, keys).withColumn("in_stored", F.lit(True))
     return both.unionByName(align.extension(update, stored, keys).withColumn("in_stored", F.lit(False)))
 
@@ -39,16 +44,15 @@ def overlap_extension(t: Tables) -> DataFrame:
 @query("axis_union", f"""
 SELECT DISTINCT "time", site FROM {DAYS}""")
 def axis_union(t: Tables) -> DataFrame:
-    rows, keys = cells(t, "DAY"), ["time", "site"]
-    return align.axis_union(part(rows, "stored"), part(rows, "update"), keys)
+    return align.axis_union(part_cells(t, "DAY", "stored"), part_cells(t, "DAY", "update"), ["time", "site"])
 
 
 @query("split_sorted", f"""
 WITH u AS (SELECT DISTINCT "time" FROM {CELLS} WHERE "time" >= TIMESTAMP '{UPDATE_FROM}')
 SELECT "time", "time" > (SELECT max("time") FROM {CELLS} WHERE "time" < TIMESTAMP '{STORED_UNTIL}') AS is_extension FROM u""")
 def split_sorted(t: Tables) -> DataFrame:
-    rows = cells(t)
-    return align.split_sorted(grid.axis_values(part(rows, "update"), ["time"]), part(rows, "stored"), "time")
+    update = grid.axis_values(part_cells(t, "HOUR", "update"), ["time"])
+    return align.split_sorted(update, part_cells(t, "HOUR", "stored"), "time")
 
 
 @query("unsorted_order", f"""
@@ -58,7 +62,7 @@ SELECT u.site, arrival, stored_pos, row_number() OVER (ORDER BY stored_pos IS NU
 FROM u LEFT JOIN s USING (site)""")
 def unsorted_order(t: Tables) -> DataFrame:
     """Sites with a high reading are stored; the update's sites follow in arrival order."""
-    ev = t.events.select(F.col("ts").alias("time"), F.col("user_id").alias("site"), "value", "event_id")
+    ev = t.events.select("ts", F.col("user_id").alias("site"), "value", "event_id")
     stored = grid.axis(part(ev, "stored").where("value > 150"), ["site"])
     update = part(ev, "update").groupBy("site").agg(F.min("event_id").alias("arrival"))
     return align.unsorted_order(update, stored, ["site"], "arrival")
@@ -142,7 +146,7 @@ UNION ALL SELECT make_timestamp(x * 3600000000), 'extension' FROM grid WHERE x >
 def extension_limits(t: Tables) -> DataFrame:
     """Hours with a high reading update the stored hours; the extension keeps steps of 2..12 hours."""
     rows = t.events.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("time"), "ts", "value")
-    stored = grid.axis_values(part(rows, "stored", "ts"), ["time"])
+    stored = grid.axis_values(part(rows, "stored"), ["time"])
     update = grid.axis_values(part(rows.where("value > 150"), "update"), ["time"])
     found = align.sorted_targets(update, stored, LIMITED)
     return found.overlap.withColumn("part", F.lit("overlap")).unionByName(found.extension.withColumn("part", F.lit("extension")))
@@ -248,10 +252,10 @@ _S, _U = (f"\"time\" < TIMESTAMP '{STORED_UNTIL}'", f"\"time\" >= TIMESTAMP '{UP
 
 
 def _halves(t: Tables, tick: str) -> tuple[DataFrame, DataFrame]:
-    rows, keys = cells(t, tick), ["time", "site"]
+    keys, stored = ["time", "site"], part_cells(t, tick, "stored")
     # the update's readings are raised by 1000 so that the two sides differ where they overlap
-    update = part(rows, "update").withColumn("value", F.col("value") + 1000)
-    return grid.pivot_cells(part(rows, "stored"), keys, ["value"], "event_id"), grid.pivot_cells(update, keys, ["value"], "event_id")
+    update = part_cells(t, tick, "update").withColumn("value", F.col("value") + 1000)
+    return grid.pivot_cells(stored, keys, ["value"], "event_id"), grid.pivot_cells(update, keys, ["value"], "event_id")
 
 
 @query("merge_coalesce", f"""
@@ -266,9 +270,8 @@ SELECT "time", site, coalesce(u.value, s.value) AS value FROM {_pivot(_S)} s FUL
 WHERE coalesce(u.value, s.value) IS NOT NULL""")
 def merge_rows(t: Tables) -> DataFrame:
     """Pivot and merge in one shuffle."""
-    rows = cells(t)
-    stored = grid.pivot_cells(part(rows, "stored"), ["time", "site"], ["value"], "event_id")
-    return merge.merge_rows(stored, part(rows, "update"), ["time", "site"], ["value"], "event_id")
+    stored = grid.pivot_cells(part_cells(t, "HOUR", "stored"), ["time", "site"], ["value"], "event_id")
+    return merge.merge_rows(stored, part_cells(t, "HOUR", "update"), ["time", "site"], ["value"], "event_id")
 
 
 @query("merge_overwrite", f"""

@@ -14,9 +14,9 @@ from cubemerge.plans.registry import Tables, query
 VALID = "CASE WHEN value >= 5 THEN value END"
 
 
-def cells(t: Tables, time: str = "HOUR") -> DataFrame:
+def cells(t: Tables, time: str = "HOUR", events: DataFrame | None = None) -> DataFrame:
     """Events as rows (time, site, kind, value, event_id) with missing values."""
-    return t.events.select(
+    return (t.events if events is None else events).select(
         F.date_trunc(time, "ts").cast("timestamp_ntz").alias("time"), F.col("user_id").alias("site"),
         F.col("event_type").alias("kind"), F.expr(VALID).alias("value"), "event_id",
     )

@@ -41,8 +41,8 @@ WHERE coalesce(u.value, s.value) IS NOT NULL""")
 def store_update(t: Tables) -> DataFrame:
     """Two updates whose hours overlap, then all cells."""
     node, ev = new_store(t, HOURS).node(""), readings(t)
-    node.update(part(ev, "stored", "ts"), "event_id")
-    node.update(part(ev, "update", "ts").withColumn("value", F.col("value") + 1000), "event_id")
+    node.update(part(ev, "stored"), "event_id")
+    node.update(part(ev, "update").withColumn("value", F.col("value") + 1000), "event_id")
     return node.read_df("value")
 
 
@@ -62,8 +62,8 @@ SELECT "time", site, round(coalesce(al.value, s.value), 9) AS value FROM s FULL
 def store_align(t: Tables) -> DataFrame:
     """An update of high readings only: inside the stored range it is interpolated to the stored hours."""
     node, ev = new_store(t, HOURS).node(""), readings(t)
-    node.update(part(ev, "stored", "ts"), "event_id")
-    node.update(part(ev, "update", "ts").where("value > 150"), "event_id")
+    node.update(part(ev, "stored"), "event_id")
+    node.update(part(ev, "update").where("value > 150"), "event_id")
     return node.read_df("value").withColumn("value", F.round("value", 9))
 
 

@@ -54,7 +54,7 @@ def test_adjust_grid_large_groups_match(spark):
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}", rng.randrange(600)) for _ in range(500)]
     df = spark.createDataFrame(rows, "k string, x long")
     run = lambda limit: sorted((r["k"], r["x"]) for r in align.adjust_grid(df, "x", 7, 9, ["k"], limit).collect())
-    assert run(200_000) == run(100)
+    assert run(1_000_000) == run(100)
 
 
 @pytest.mark.parametrize("spec, expected", [

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubemerge.operators.lookup import with_sidecar
 from cubemerge.plans.registry import Tables, query
 from cubemerge.sources import extract
+from cubemerge.sources.files import newest_per_key as newest
 from cubemerge.streaming import contexts, messages
 
 
@@ -168,3 +170,42 @@ def request_contexts(t: Tables) -> DataFrame:
     )
     url = contexts.render(table, "https://example.org/{kind}/{site}?region={area}&net={network}")
     return table.select("site", "kind", "network", url.alias("url"))
+
+
+@query("route_messages", """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN r_name || '/../x' WHEN o_orderpriority = '5-LOW' THEN r_name || '/nowhere' ELSE r_name || '/' || n_name END AS node,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN 'invalid node path' WHEN o_orderpriority = '5-LOW' THEN 'unknown node' ELSE '' END AS error
+FROM orders JOIN nation ON o_custkey % 25 = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def route_messages(t: Tables) -> DataFrame:
+    """Orders as messages addressed to the nodes of a region/nation tree."""
+    tree = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    path = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("../x")).when(F.col("o_orderpriority") == "5-LOW", F.lit("nowhere"))
+        .otherwise(F.concat(F.lit(" /"), F.col("n_name")))
+    )
+    sent = t.orders.join(tree, F.col("o_custkey") % 25 == F.col("n_nationkey")).select(
+        "o_orderkey", F.struct(F.col("r_name").alias("target_node"), path.alias("node_path")).alias("metadata")
+    )
+    catalog = tree.select(F.concat_ws("/", "r_name", "n_name").alias("path"))
+    routed = messages.route(sent, catalog)
+    return routed.select("o_orderkey", "node", F.coalesce("route_error", F.lit("")).alias("error"))
+
+
+@query("newest_per_key", """
+SELECT o_custkey AS logger_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS label, max(o_orderdate) AS modified FROM orders GROUP BY o_custkey""")
+def newest_per_key(t: Tables) -> DataFrame:
+    """Logger lists of several files merged: the newest entry of each logger wins."""
+    listed = t.orders.groupBy(F.col("o_custkey").alias("logger_id"), F.col("o_orderdate").alias("modified")).agg(F.max("o_orderkey").alias("label"))
+    return newest(
+        [listed.where("modified < DATE'1997-01-01'"), listed.where("modified >= DATE'1997-01-01'")], "logger_id"
+    )
+
+
+@query("sidecar_join", """
+SELECT 'in/' || o_orderkey || '.csv' AS path, o_totalprice AS size, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS endpoint FROM orders""")
+def sidecar_join(t: Tables) -> DataFrame:
+    """Messages with the metadata file of the same name; some have none."""
+    path = F.concat(F.lit("in/"), F.col("o_orderkey").cast("string"), F.lit(".csv"))
+    data = t.orders.select(path.alias("path"), F.col("o_totalprice").alias("size"))
+    side = t.orders.where("o_orderstatus <> 'P'").select(F.concat(path, F.lit(".meta.json")).alias("path"), F.col("o_orderpriority").alias("endpoint"))
+    return with_sidecar(data, side)

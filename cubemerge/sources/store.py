@@ -57,6 +57,11 @@ class Files:
         fs, full = self._at(path)
         return fs.exists(full)
 
+    def has(self, uri: str) -> bool:
+        """A file given by its full URI exists."""
+        full = self._jvm.org.apache.hadoop.fs.Path(uri)
+        return full.getFileSystem(self._conf).exists(full)
+
     def is_empty(self, uri: str) -> bool:
         """A file (full URI) exists and has no bytes."""
         full = self._jvm.org.apache.hadoop.fs.Path(uri)

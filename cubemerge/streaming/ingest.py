@@ -24,6 +24,7 @@ from cubemerge.sources.store import Store
 from cubemerge.streaming.messages import METADATA, failure_summary, reject_reason, route
 
 SIDECAR = ".meta.json"
+SIDECAR_END = r"\.meta\.json$"
 FILE_TYPE = "path string, modificationTime timestamp, length long, content binary"
 DEAD_LETTER = "path string, node string, reason string, content binary, metadata_json string, batch long"
 ROW = "_order"
@@ -99,22 +100,30 @@ class Ingest:
 
     # --- messages --------------------------------------------------------------------------------------
 
-    def _sidecars(self) -> DataFrame:
-        files = self.spark.read.format("binaryFile").schema(FILE_TYPE).option("pathGlobFilter", "*" + SIDECAR)
+    def _metadata(self, files: DataFrame, data: DataFrame) -> DataFrame:
+        """(path, metadata_json, metadata) of a batch: sidecars that came in the batch, and those that did not
+        read by name. At most one look-up per data file of the batch; the queue as a whole is never listed."""
+        here = files.where(F.col("path").endswith(SIDECAR)).select("path", "content")
+        named = here.select(F.regexp_replace("path", SIDECAR_END, "").alias("path"))
+        absent = [r["path"] + SIDECAR for r in data.select("path").join(named, "path", "left_anti").toLocalIterator()]
+        there = [p for p in absent if self.store.files.has(p)]
+        if there:
+            here = here.unionByName(self.spark.read.format("binaryFile").load(there).select("path", "content"))
         text = F.col("content").cast("string")
-        return files.option("recursiveFileLookup", True).load(self.queue).select(
-            "path", text.alias("metadata_json"), F.from_json(text, METADATA).alias("metadata")
-        )
+        return here.select("path", text.alias("metadata_json"), F.from_json(text, METADATA).alias("metadata"))
 
     def process(self, files: DataFrame, batch: int) -> None:
         """Handle one batch of message files (path, content)."""
-        data = files.where(~F.col("path").endswith(SIDECAR)).select("path", "content")
+        files = materialize(files.select("path", "content"), "batch")
+        data = files.where(~F.col("path").endswith(SIDECAR))
+        seen = self._table(f"_done/batch={batch}", "path string, accepted boolean").select("path")
         empty = self._empty_payloads(files)
         if empty:
             data = data.unionByName(self.spark.createDataFrame([(p, b"") for p in empty], "path string, content binary"))
-        fresh = data.join(self.done().select("path"), "path", "left_anti")
+        # a batch delivered again after a failure skips what it had finished
+        fresh = data.join(seen, "path", "left_anti")
         catalog = self.spark.createDataFrame([(p,) for p in self.store.nodes], "path string")
-        joined = route(with_sidecar(fresh, self._sidecars(), SIDECAR), catalog)
+        joined = route(with_sidecar(fresh, self._metadata(files, fresh), SIDECAR), catalog)
         kind = content_kind(F.col("metadata.content_type"))
         chosen = F.coalesce(F.col("metadata.extract_fn"), *[F.when(kind == k, F.lit(v)) for k, v in self.default.items()], F.lit(""))
         known = chosen.isin(list(self.extractors.functions)) if self.extractors.functions else F.lit(False)
@@ -145,8 +154,8 @@ class Ingest:
         At most one small look-up per sidecar that came without its data file in the batch.
         """
         names = files.select("path", F.col("path").endswith(SIDECAR).alias("_side"))
-        sides = names.where("_side").select(F.regexp_replace("path", r"\.meta\.json$", "").alias("path"))
-        alone = sides.join(names.where("NOT _side").select("path"), "path", "left_anti").join(self.done().select("path"), "path", "left_anti")
+        sides = names.where("_side").select(F.regexp_replace("path", SIDECAR_END, "").alias("path"))
+        alone = sides.join(names.where("NOT _side").select("path"), "path", "left_anti")
         return [r["path"] for r in alone.toLocalIterator() if self.store.files.is_empty(r["path"])]
 
     def _merge(self, messages: DataFrame, node: str, extractor: str, batch: int) -> None:
@@ -179,13 +188,13 @@ class Ingest:
 
     def _dead_letter(self, failed: DataFrame, batch: int) -> None:
         rows = failed.select("path", "node", "reason", "content", "metadata_json", F.lit(batch).cast("long").alias("batch"))
-        rows.write.mode("append").parquet(f"{self.store.root}/_failed")
+        rows.write.mode("append").partitionBy("batch").parquet(f"{self.store.root}/_failed")
 
     def _mark_done(self, messages: DataFrame, batch: int) -> None:
-        bad = self.failed().where(F.col("batch") == F.lit(batch)).select("path", F.lit(True).alias("_bad")).distinct()
+        bad = self._table(f"_failed/batch={batch}", "path string").select("path", F.lit(True).alias("_bad")).distinct()
         accepted = F.col("_bad").isNull().alias("accepted")
         done = messages.join(bad, "path", "left").select("path", accepted, F.lit(batch).cast("long").alias("batch"))
-        done.write.mode("append").parquet(f"{self.store.root}/_done")
+        done.write.mode("append").partitionBy("batch").parquet(f"{self.store.root}/_done")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if not self.store.files.names(name):
@@ -216,27 +225,20 @@ class Ingest:
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
         return writer.start()
 
-    def replay(self) -> int:
-        """Try all failed messages again (newest attempt of each); returns how many."""
-        failed = self.failed()
-        last = failed.groupBy("path").agg(F.max_by("content", "batch").alias("content"), F.max("batch").alias("batch"))
-        rejected = self.done().groupBy("path").agg(F.bool_or("accepted").alias("accepted")).where(~F.col("accepted"))
-        again = materialize(last.join(rejected.select("path"), "path", "left_semi"), "replay")
+    def replay(self, limit: int = 1000) -> int:
+        """Try failed messages again, those tried longest ago first; returns how many were tried.
+
+        Metadata is read again, so a corrected sidecar counts.
+        """
+        last = self.failed().groupBy("path").agg(F.max_by("content", "batch").alias("content"), F.max("batch").alias("batch"))
+        open_ones = self.done().groupBy("path").agg(F.bool_or("accepted").alias("ok")).where(~F.col("ok")).select("path")
+        chosen = last.join(open_ones, "path", "left_semi").orderBy("batch", "path").limit(limit)
+        again = materialize(chosen.select("path", "content"), "replay")
         count = again.count()
         if count:
-            self._process_again(again)
+            self.process(again, (self.done().agg(F.max("batch")).first()[0] or 0) + 1)
         return count
 
-    def _process_again(self, files: DataFrame) -> None:
-        attempt = (files.agg(F.max("batch")).first()[0] or 0) + 1
-        done = self.done
-        # rejected messages are in the done table too; only accepted ones block a replay
-        self.done = lambda: done().where("accepted")
-        try:
-            self.process(files.select("path", "content"), attempt)
-        finally:
-            self.done = done
-
 
 def write_messages(messages: DataFrame, folder: str) -> None:
     """Write (name, content, metadata) rows as message files with sidecars; runs in the tasks, needs a folder

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from cubemerge.functions.datetimes import TICKS, to_epoch_ticks
 from cubemerge.operators import align, merge
+from cubemerge.operators.blocks import with_position
 from cubemerge.operators.grid import axis, axis_values, cube_cells, duplicates, reindex, sparse
 from cubemerge.operators.harmonize import SEQ, harmonize
 from cubemerge.operators.select import match_nodes, sel
@@ -38,6 +39,8 @@ log = logging.getLogger(__name__)
 # Touched buckets are listed on the driver up to this many; beyond it the whole cube is merged.
 MAX_LISTED_BUCKETS = 10_000
 HASH_BUCKETS = 16
+# Appends to an axis before it is written as a whole again.
+MAX_AXIS_GENERATIONS = 64
 DEFAULT_BUCKET_DAYS = 30
 
 
@@ -142,8 +145,8 @@ class Node:
         entry = (state or self._state())["axes"].get(coord)
         if entry is None:
             return self.spark.createDataFrame([], self.schema.axis_type(coord))
-        folder = f"{self.store.root}/{self._rel(f'axis={coord}')}/gen={entry['gen']}"
-        return read_exact(self.spark, T.StructType.fromJson(entry["type"]), folder)
+        base = f"{self.store.root}/{self._rel(f'axis={coord}')}"
+        return read_exact(self.spark, T.StructType.fromJson(entry["type"]), *[f"{base}/gen={g}" for g in entry["gens"]])
 
     def cube(self, coords: tuple[str, ...], buckets: list[int] | None = None, state: dict[str, Any] | None = None) -> DataFrame:
         """Stored cells of one coordinate list; only the given buckets are opened."""
@@ -252,10 +255,31 @@ class Node:
                 out[name.split("=", 1)[1]] = gen
         return out
 
-    def _write_axis(self, coord: str, values: DataFrame, gen: str) -> dict[str, Any]:
+    def _write_axis(self, coord: str, values: DataFrame, gen: str, size: int | None = None, before: dict[str, Any] | None = None) -> dict[str, Any]:
+        """Write axis values; with ``before`` they are added to the generations of that entry."""
         folder = f"{self.store.root}/{self._rel(f'axis={coord}')}/gen={gen}"
         values.write.parquet(folder)
-        return {"gen": gen, "type": json.loads(_fields(values.schema).json())}
+        if before is not None:
+            return {**before, "gens": before["gens"] + [gen], "size": before["size"] + size}
+        kind = _fields(values.schema)
+        size = read_exact(self.spark, kind, folder).count() if size is None else size
+        return {"gens": [gen], "size": size, "type": json.loads(kind.json())}
+
+    def _extend_axis(self, coord: Coord, entry: dict[str, Any], stored: DataFrame, fresh: DataFrame, count: int, gen: str, insert: bool) -> dict[str, Any]:
+        """New values of an axis: appended after the stored ones, or sorted in with ``insert``.
+
+        An append writes the new values only; after many of them the axis is written as one generation again.
+        """
+        keys = list(coord.keys)
+        if coord.sorted and insert:
+            whole = axis(align.axis_union(stored, fresh, keys), keys)
+            return self._write_axis(coord.name, whole, gen, entry["size"] + count)
+        shape = T.StructType.fromJson(entry["type"])
+        numbered = with_position(fresh, keys).withColumn("pos", F.col("pos") + F.lit(entry["size"]))
+        added = numbered.select(*[F.col(f.name).cast(f.dataType) for f in shape.fields])
+        if len(entry["gens"]) < MAX_AXIS_GENERATIONS:
+            return self._write_axis(coord.name, added, gen, count, entry)
+        return self._write_axis(coord.name, stored.select(*shape.names).unionByName(added), gen, entry["size"] + count)
 
     # --- writing ---------------------------------------------------------------------------------------
 
@@ -326,12 +350,7 @@ class Node:
             count = fresh.count()
             result.new_values[name] = count
             if count:
-                keys = list(coord.keys)
-                if coord.sorted and insert:
-                    whole = axis(align.axis_union(stored_axes[name], fresh, keys), keys)
-                else:
-                    whole = align.append_axis(stored_axes[name], fresh, keys, keys)
-                new["axes"][name] = self._write_axis(name, whole, gen)
+                new["axes"][name] = self._extend_axis(coord, state["axes"][name], stored_axes[name], fresh, count, gen, insert)
         for coords, cells in cubes.items():
             aligned = self._align(coords, cells, targets, update_axes, insert)
             self._merge_cube(coords, aligned, targets, policy, state, new, gen, result)
@@ -417,7 +436,7 @@ class Node:
         used, kept = set(), range(max(1, current - keep + 1), current + 1)
         for number in kept:
             state = self.store.files.read_json(self._rel(f"_versions/v{number:06d}.json"))
-            used |= {f"axis={c}/gen={e['gen']}" for c, e in state["axes"].items()}
+            used |= {f"axis={c}/gen={g}" for c, e in state["axes"].items() for g in e["gens"]}
             used |= {f"cube={c}/bucket={b}/gen={g}" for c, e in state["cubes"].items() for b, g in e["buckets"].items()}
         removed = []
         for table in self.store.files.names(self.path):

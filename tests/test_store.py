@@ -179,3 +179,15 @@ def test_no_new_and_insert(spark, tmp_path):
     assert read() == {0.0: 0.0, 1.0: 10.0, 2.0: pytest.approx(20.0)}
     put([(0.5, 99.0)], insert=True)
     assert read()[0.5] == 99.0 and [r["x"] for r in node.axis("x").orderBy("pos").collect()] == [0.0, 0.5, 1.0, 2.0]
+
+
+def test_many_appends_keep_the_axis_dense(spark, tmp_path, monkeypatch):
+    import cubemerge.sources.store as module
+
+    monkeypatch.setattr(module, "MAX_AXIS_GENERATIONS", 2)
+    spec = {"COORDS": {"x": {"type": "int64"}}, "VARS": {"v": {"type": "float64", "coords": ["x"]}}}
+    node = Store.open(spark, str(tmp_path), spec).node("")
+    for i in range(4):
+        node.update(frame(spark, [(2 * i, 1.0), (2 * i + 1, 2.0)], "x long, v double"), "row")
+    assert [tuple(r) for r in node.axis("x").orderBy("pos").collect()] == [(i, i) for i in range(8)]
+    assert len(node._state()["axes"]["x"]["gens"]) == 2 and node.read_df("v").count() == 8

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubemerge.session import block_count, materialize
+from cubemerge.session import materialize
 
 BLOCK = "_block"
 ROW = "_row"
@@ -27,9 +27,10 @@ def range_blocks(df: DataFrame, order: list[str], blocks: int | None = None) ->
     ``order`` must identify a row (add a tie-breaker), so that a block border can fall anywhere.
     Runs a job: the block of a row has to be the same for every later reader.
     """
-    count = blocks or block_count(df.sparkSession)
+    # without a number adaptive execution sizes the blocks by bytes, so a short axis stays one block
+    parted = df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)
     numbered = (
-        df.repartitionByRange(count, *order)
+        parted
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cubemerge.functions.datetimes import to_epoch_ticks
 from cubemerge.operators import align, grid, merge
-from cubemerge.operators.blocks import neighbours
+from cubemerge.operators.blocks import neighbours, with_position
 from cubemerge.plans.gridding import CELLS, DAYS, VALID, cells
 from cubemerge.plans.registry import Tables, query
 from cubemerge.schema import NodeSchema
@@ -68,12 +68,22 @@ def unsorted_order(t: Tables) -> DataFrame:
     return align.unsorted_order(update, stored, ["site"], "arrival")
 
 
+@query("axis_append", f"""
+WITH s AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS pos FROM (SELECT DISTINCT user_id AS site FROM events WHERE {STORED_SQL} AND value > 150)),
+ n AS (SELECT DISTINCT user_id AS site FROM events WHERE {UPDATE_SQL} AND user_id NOT IN (SELECT site FROM s))
+SELECT site, pos FROM s UNION ALL SELECT site, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY site) - 1 FROM n""")
+def axis_append(t: Tables) -> DataFrame:
+    """Stored positions stay, new sites follow."""
+    ev = t.events.select("ts", F.col("user_id").alias("site"), "value")
+    stored = grid.axis(part(ev, "stored").where("value > 150"), ["site"])
+    new = align.extension(grid.axis_values(part(ev, "update"), ["site"]), stored, ["site"])
+    return align.append_axis(stored, new, ["site"], ["site"])
+
+
 @query("unsorted_pairs", """
 WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderdate AS value FROM orders)
 SELECT a.pos, b.pos AS next_pos, a.value, b.value AS next_value FROM o a JOIN o b ON b.pos = a.pos + 1 WHERE a.value > b.value""")
 def unsorted_pairs(t: Tables) -> DataFrame:
-    from cubemerge.operators.blocks import with_position
-
     axis = with_position(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderkey"])
     return align.unsorted_pairs(axis, "o_orderdate")
 
@@ -83,8 +93,6 @@ WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderdat
 SELECT a.pos, b.pos AS next_pos, a.value, b.value AS next_value FROM o a JOIN o b ON b.pos = a.pos + 1 WHERE a.value > b.value
 ORDER BY a.pos LIMIT 1""")
 def first_unsorted(t: Tables) -> DataFrame:
-    from cubemerge.operators.blocks import with_position
-
     axis = with_position(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderkey"])
     return align.first_unsorted(axis, "o_orderdate")
 

@@ -66,8 +66,3 @@ def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return read_exact(spark, T.StructType.fromJson(json.loads(df.schema.json())), path)
-
-
-def block_count(spark: SparkSession) -> int:
-    """Number of range blocks: the shuffle width the cluster was configured with."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import substring_dedup
+from cubemerge.llm import decontaminate, substring_dedup
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,29 @@ def query(name: str, table: str = "documents", sql: str | None = None):
 )
 def _substring_dedup(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return substring_dedup.substring_dedup(documents, scratch)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op9_decontaminate",
+    sql=rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    bl AS (SELECT item, ws, least(len(ws), 13) AS k FROM b WHERE len(ws) > 0),
+    bp AS (SELECT item, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM bl),
+    bw AS (SELECT DISTINCT item, k, list_aggregate(ws[i:i + k - 1], 'string_agg', ' ') AS s FROM bp),
+    ks AS (SELECT DISTINCT k FROM bw),
+    dp AS (SELECT doc_id, k, ws, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS i FROM w, ks),
+    dw AS (SELECT doc_id, k, i, list_aggregate(ws[i:i + k - 1], 'string_agg', ' ') AS s FROM dp),
+    m AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw USING (k, s)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+    its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+      sha256(coalesce(its.l, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
+    FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
+)
+def _decontaminate(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return decontaminate.decontamination_report(documents, read("benchmark"), scratch)

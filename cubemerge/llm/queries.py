@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import decontaminate, substring_dedup
+from cubemerge.llm import decontaminate, near_dedup, substring_dedup
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,21 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 )
 def _decontaminate(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return decontaminate.decontamination_report(documents, read("benchmark"), scratch)
+
+
+@query(
+    "op2_near_dedup",
+    sql=rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT doc_id, hash(list_aggregate(ws[i:i + 4], 'string_agg', ' ')) AS g FROM p),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+    """,
+)
+def _near_dedup(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return near_dedup.near_duplicates(documents, scratch)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "_row"
+# rows sent to a Python worker at once: texts can be long, and buffers of a batch are held on both sides
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +42,8 @@ class Scratch:
     """Intermediate tables of one operator run, deleted when the ``with`` block ends.
 
     A table is written once and read by every later step, so the steps agree even when tasks are retried, and a lost
-    executor costs no recomputation. ``result`` keeps a table until the Python process ends.
+    executor costs no recomputation. ``result`` keeps a table until the Python process ends. Inside the block, batches
+    for Python workers are small.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,9 +52,12 @@ class Scratch:
         self._made = 0
 
     def __enter__(self) -> Scratch:
+        self._batch = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, BATCH_ROWS)
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(_BATCH, self._batch)
         delete(self.spark, self.path)
         self.release()
 

@@ -27,7 +27,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for exponents 0 to n - 1."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         made = []
         for base in (_BASE, _UNBASE):
             each = np.full(size, base, np.uint64)
@@ -105,7 +105,7 @@ class Words:
         return self.bytes[self.start[i] : self.end[i]].tobytes()
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut a batch into row ranges of about ``limit`` text bytes, so that arrays per byte stay small. A longer text is
     a piece of its own: whole texts are always processed together."""
     if not batch.num_rows:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import decontaminate, near_dedup, substring_dedup
+from cubemerge.llm import decontaminate, near_dedup, substring_dedup, token_files
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,15 @@ def _decontaminate(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
 )
 def _near_dedup(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return near_dedup.near_duplicates(documents, scratch)
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a file of the installed public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_token_files")
+def _token_files(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return token_files.token_files(documents, scratch, tokenizer_file("word_bpe_49k.json"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import decontaminate, near_dedup, substring_dedup, token_files
+from cubemerge.llm import decontaminate, language_id, near_dedup, substring_dedup, token_files, toxicity
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,13 @@ def tokenizer_file(name: str) -> str:
 @query("op8_token_files")
 def _token_files(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return token_files.token_files(documents, scratch, tokenizer_file("word_bpe_49k.json"))
+
+
+@query("op7_language_id")
+def _language_id(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return language_id.identify(documents, scratch)
+
+
+@query("op5_toxicity")
+def _toxicity(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return toxicity.toxicity(documents, read("labels"), scratch)

@@ -1,14 +1,15 @@
 """Near-duplicate detection with SetSketch registers.
 
 A document's set of ``SHINGLE``-word shingles is summed up in ``REGISTERS`` registers: for each register every shingle gets an
-exponential value, the smallest one is kept, and its logarithm to a base of 1.2 is truncated to one byte. Registers merge by
-maximum, and two sets share a register's value with a probability just above their Jaccard similarity. Bands of
+exponential value, the smallest one is kept, and its logarithm to a base of 1.001 is truncated to two bytes. Registers merge by
+maximum, and two sets share a register's value with a probability just above their Jaccard similarity (0.0003 for disjoint sets). Bands of
 ``ROWS`` register values put documents into buckets; the pairs to look at are rated by the joint likelihood of their registers and
 exact sizes, and those that may reach the limit are verified on the full shingle sets.
 
 At a similarity of 0.75 a band agrees with a probability of at least 0.75**4; that none of 36 bands agrees is about one in a million.
 The likelihood test rejects a pair only when 0.75 is 5 standard deviations off.
 
+Sets that hold too many shingles no other candidate has leave their buckets before any pair is made.
 Equal sets are one class from the start, whatever their number. No bucket is expanded into its pairs: each round links the members of a
 bucket to one leader, which changes with the round, and members that already belong to the leader's component are left out. Members
 that no leader takes in are, at the end, compared with the members of other components in their buckets, so no link
@@ -31,7 +32,7 @@ SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 4, 36
 REGISTERS = ROWS * BANDS
-BASE, RATE, TOP = 1.2, 20.0, 255
+BASE, RATE, TOP = 1.001, 20.0, 65535
 # difference of log likelihoods that stands for five standard deviations
 TOLERANCE = 12.5
 LEADER_ROUNDS = 5
@@ -62,7 +63,7 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     for start in range(0, len(shingles), 1024):
         np.minimum(least, (shingles[start : start + 1024, None] * _FACTORS).min(axis=0), out=least)
     value = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
-    return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +81,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    band = np.arange(BANDS, dtype=np.uint64) << np.uint64(32)
+    band = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, BANDS)
-        keys = mix(values.astype(np.uint64) + band).ravel()
+        values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, BANDS)
+        keys = mix(mix(values) + band).ravel()
         yield pa.RecordBatch.from_arrays(
             [pa.array(signed(keys)), pa.array(np.repeat(batch.column("set_id").to_numpy(), BANDS))], names=["bucket", "set_id"]
         )
@@ -111,13 +112,22 @@ def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, li
     return possible & (best(limit + (np.maximum(most, limit) - limit) * grid) >= best(grid * most) - TOLERANCE)
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            sets = shingle_sets(unpack(part.column("packed")))
+            keys = np.repeat(part.column("set_id").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(keys)], names=["shingle", "set_id"])
+
+
 def _likely(limit: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
-            n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b"))
+            n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_shingles_a", "n_shingles_b"))
             keep = pa.array(may_reach(a, b, n_a, n_b, limit))
             yield batch.select(["a", "b"]).filter(keep)
 
@@ -175,19 +185,42 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     shared = scratch.table(banded.join(crowded, "bucket", "left_semi"))
     involved = scratch.table(shared.select("set_id").distinct())
     texts = scratch.table(packed(docs, ROW).withColumnRenamed(ROW, "set_id").join(involved, "set_id", "left_semi"))
-    sketches = scratch.table(chosen.join(involved, "set_id", "left_semi"))
+    # shingles that no other set in any shared bucket has cannot be common to a pair
+    alone = (
+        texts.mapInArrow(_shingles, "shingle long, set_id long")
+        .groupBy("shingle").agg(F.count("*").alias("sets"), F.min("set_id").alias("set_id"))
+        .where("sets = 1").groupBy("set_id").agg(F.count("*").alias("alone"))
+    )
+    sketches = scratch.table(
+        chosen.join(involved, "set_id", "left_semi").join(alone, "set_id", "left")
+        .withColumn("common", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    )
+    sized = shared.join(sketches.select("set_id", "n_shingles", "common"), "set_id")
+    smallest = sized.groupBy("bucket").agg(F.min("n_shingles").alias("smallest"))
+    # sets that are too small or share too little for any partner in the bucket leave it
+    viable = sized.join(smallest, "bucket").where(
+        f"{100 + percent} * common >= {percent} * (n_shingles + greatest(smallest, ceil(n_shingles * {percent} / 100)))"
+    )
+    viable = scratch.table(viable.select("bucket", "set_id", "n_shingles", "common"))
+    scratch.drop(shared)
+    shared = viable
     part = scratch.table(involved.withColumn("component", F.col("set_id")))
     tested = scratch.table(involved.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).limit(0))
 
+    def possible(x: str, y: str) -> str:
+        """Sizes and shingles found elsewhere allow the similarity: it needs so many common ones of both."""
+        return f"{100 + percent} * least(common_{x}, common_{y}) >= {percent} * (n_shingles_{x} + n_shingles_{y})"
+
     def side(table: DataFrame, name: str, **columns: str) -> DataFrame:
         return table.select(F.col("set_id").alias(name), *(F.col(c).alias(alias) for c, alias in columns.items()))
 
     def merge(pairs: DataFrame) -> DataFrame:
         """``part`` after the links among ``pairs`` are verified."""
         likely = scratch.table(
-            pairs.join(side(sketches, "a", n_shingles="n_a", sketch="sketch_a"), "a")
-            .join(side(sketches, "b", n_shingles="n_b", sketch="sketch_b"), "b")
-            .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+            pairs.join(side(sketches, "a", n_shingles="n_shingles_a", sketch="sketch_a", common="common_a"), "a")
+            .join(side(sketches, "b", n_shingles="n_shingles_b", sketch="sketch_b", common="common_b"), "b")
+            .where(possible("a", "b"))
+            .select("a", "b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b")
             .mapInArrow(_likely(percent / 100), "a long, b long")
         )
         links = scratch.table(
@@ -209,7 +242,7 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
         )
 
     for number in range(LEADER_ROUNDS):
-        placed = shared.join(part, "set_id")
+        placed = shared.select("bucket", "set_id").join(part, "set_id")
         order = F.xxhash64("set_id", F.lit(number))
         leaders = (
             placed.groupBy("bucket")
@@ -227,11 +260,11 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     # what the leaders left apart, against the other components of its buckets
     placed = shared.join(part, "set_id")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = scratch.table(placed.join(split, "bucket", "left_semi").join(sketches.select("set_id", "n_shingles"), "set_id"))
-    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "component", "n_shingles"))) for s in "xy")
+    open_ = scratch.table(placed.join(split, "bucket", "left_semi"))
+    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "component", "n_shingles", "common"))) for s in "xy")
     rest = (
         x.join(y, "bucket")
-        .where(f"set_id_x < set_id_y AND component_x != component_y AND 100 * least(n_shingles_x, n_shingles_y) >= {percent} * greatest(n_shingles_x, n_shingles_y)")
+        .where(f"set_id_x < set_id_y AND component_x != component_y AND {possible('x', 'y')}")
         .select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b")).distinct()
     )
     rest = scratch.table(rest.join(tested, ["a", "b"], "left_anti"))

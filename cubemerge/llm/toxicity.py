@@ -6,8 +6,8 @@ toxic and on other documents, and from what is left within the classes how much
 is discounted. Its posteriors label the sample, a logistic regression over the terms is trained on these posterior labels, and all
 documents are scored with it.
 
-The entries of the lexicon and pattern voters come from the learning fold: terms that occur in at least ``LEAST`` toxic documents of a bounded
-sample and hardly in others, dealt over ``VOTERS`` voters, besides a fixed list of insults. ``SAMPLE`` bounds the documents of each label.
+The entries of the lexicon and pattern voters come from the learning fold: terms that stand in at least ``LEAST`` different places in toxic documents of a bounded
+sample, hardly in others, and more clearly so than chance brings about among as many candidates, dealt over ``VOTERS`` voters, besides a fixed list of insults. ``SAMPLE`` bounds the documents of each label.
 Everything learned fits a broadcast of ``TERMS`` terms.
 """
 
@@ -53,6 +53,29 @@ def term_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(terms)
 
 
+def _places(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of the chosen texts, and in how many different places each stands: after how many different words. Copies of a text
+    are no further places, or the chance words of a copied text would look like evidence."""
+    found, places = [], []
+    for start in range(0, len(texts), 64):
+        part = texts.slice(start, 64).filter(pa.array(chosen[start : start + 64]))
+        rows, terms = term_hashes(part)
+        words = Words(part, LETTERS_DIGITS, lower=True)
+        hashes = words.hashes()
+        before = np.concatenate([hashes[:1], hashes[:-1]]) * (np.arange(len(hashes)) > 0)
+        before[words.first[:-1][np.diff(words.first) > 0]] = 0
+        size = words.end - words.start
+        origin = np.concatenate([np.arange(len(words)), *(np.flatnonzero(size > n) for n in PREFIXES)])
+        _, once = np.unique(mix(terms + mix(before[origin])), return_index=True)
+        found.append(terms[once])
+        places.append(before[origin][once])
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    terms, before = np.concatenate(found), np.concatenate(places)
+    _, once = np.unique(mix(terms + mix(before)), return_index=True)
+    return np.unique(terms[once], return_counts=True)
+
+
 def form_votes(texts: list[str]) -> np.ndarray:
     """Votes of the patterns of form: mostly capitals, many exclamation marks, many symbols."""
     out = np.zeros((len(texts), 3), bool)
@@ -118,23 +141,15 @@ class Model:
         if not len(texts) or toxic.all() or not toxic.any():
             self.bias = 5.0 if len(texts) and toxic.all() else -5.0
             return
-        counted: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
-        for label in (True, False):
-            seen = []
-            for start in range(0, len(texts), 64):
-                rows, terms = term_hashes(column.slice(start, 64))
-                mine = toxic[start : start + 64][rows] == label
-                if mine.any():
-                    # one entry for each row and term
-                    pair = np.unique(np.stack([rows[mine].astype(np.uint64), terms[mine]]), axis=1)[1] if mine.any() else terms[:0]
-                    seen.append(pair)
-            counted[label] = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counted = {label: _places(column, toxic == label) for label in (True, False)}
         terms, hits = counted[True]
         other, misses = counted[False]
         place = np.minimum(np.searchsorted(other, terms), max(len(other) - 1, 0))
         against = np.where(other[place] == terms, misses[place], 0) if len(other) else np.zeros(len(terms))
         toxic_rate, other_rate = hits / toxic.sum(), against / max(1, (~toxic).sum())
-        pure = np.flatnonzero((hits >= min(LEAST, max(1, toxic.sum() // 4))) & (toxic_rate > PURE / (1 - PURE) * other_rate))
+        share, both = toxic.mean(), hits + against
+        evidence = hits * np.log(hits / (both * share)) + against * np.log(np.maximum(against, 1e-9) / (both * (1 - share)))
+        pure = np.flatnonzero((hits >= LEAST) & (toxic_rate > PURE / (1 - PURE) * other_rate) & (evidence > np.log(len(terms)) + 3))
         pure = pure[np.lexsort((terms[pure], against[pure], -hits[pure]))][: TERMS - len(INSULTS)]
         fixed = Words(pa.array(INSULTS, pa.string()), LETTERS_DIGITS, lower=True).hashes()
         self.terms = np.unique(np.concatenate([terms[pure], fixed]))

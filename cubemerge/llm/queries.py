@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import decontaminate, language_id, near_dedup, substring_dedup, token_files, toxicity
+from cubemerge.llm import decontaminate, language_id, near_dedup, spotsigs, substring_dedup, token_files, toxicity
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ def _language_id(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
 @query("op5_toxicity")
 def _toxicity(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return toxicity.toxicity(documents, read("labels"), scratch)
+
+
+@query("op10_spotsigs")
+def _spotsigs(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return spotsigs.fingerprints(documents, scratch)

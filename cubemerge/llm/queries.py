@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import decontaminate, language_id, near_dedup, spotsigs, substring_dedup, token_files, toxicity
+from cubemerge.llm import class_lm, decontaminate, language_id, near_dedup, spotsigs, substring_dedup, token_files, toxicity
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,8 @@ def _toxicity(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
 @query("op10_spotsigs")
 def _spotsigs(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return spotsigs.fingerprints(documents, scratch)
+
+
+@query("op4_class_lm")
+def _class_lm(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return class_lm.lm_scores(documents, scratch)

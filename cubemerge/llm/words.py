@@ -98,8 +98,8 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        return Rolling(_BYTE[self.bytes]).span(self.start, self.end)
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        return Rolling(_BYTE[LOWER[self.bytes] if lower else self.bytes]).span(self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.bytes[self.start[i] : self.end[i]].tobytes()

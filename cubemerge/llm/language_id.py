@@ -85,14 +85,17 @@ def held_out_bucket(modulus: int) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from at most ``per_language`` documents of each language, chosen by a hash of ``doc_id`` and text."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = (
-        usable.select("lang", F.xxhash64("doc_id", "text").alias("key"), "text", F.row_number().over(order).alias("rank"))
-        .where(F.col("rank") <= per_language).select("lang", "text", "key").orderBy("lang", "key")
-    )
-    rows = sample.toArrow()
+    """A model from at most ``per_language`` documents of each language, chosen by a hash of ``doc_id``.
+
+    Ranks are taken within shares of a language first, so that a language with most of the rows is not ranked in one task, and
+    without texts; the texts of the chosen ids (bounded) are read by a broadcast join.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    chosen = usable.select("lang", "doc_id").distinct().withColumn("key", F.xxhash64("doc_id")).withColumn("share", F.pmod("key", F.lit(64)))
+    for keys in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy("key", "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    rows = usable.join(F.broadcast(chosen.select("lang", "doc_id", "key")), ["lang", "doc_id"]).select("lang", "key", "text").orderBy("lang", "key", "text").toArrow()
     return Model(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 

@@ -198,7 +198,7 @@ def _covered(spans: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``_row, n_words, spans, items`` of keyed ``docs``: hit spans as word positions, and the ids of the items."""
+    """``row key, n_words, spans, items`` of keyed ``docs``: hit spans as word positions, and the ids of the items."""
     spark = docs.sparkSession
     total = benchmark.select(F.sum((F.length("text") + 1) / 2)).first()[0] or 0  # words at most
     blocks = max(1, math.ceil(total / block_words))
@@ -219,7 +219,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of keyed ``docs``: ``_row, n_words, n_hit, items, spans, contaminated``.
+    """One row per row of keyed ``docs``: ``row key, n_words, n_hit, items, spans, contaminated``.
 
     NULL and empty texts have no words and are never contaminated. Items without words or with NULL text have no
     windows; items with a NULL id hit words without being named; repeated items count once. An empty benchmark hits nothing.
@@ -239,3 +239,10 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, scratch: Scrat
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated",
     ))
     return rows.select(ROW, "doc_id").join(done, ROW).drop(ROW)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` without the documents whose hit spans exceed the coverage limit; all others and all columns stay as they are."""
+    rows = keyed(docs, scratch, keep=True)
+    gone = scratch.result(decontaminate(rows.select(ROW, "text"), benchmark).where("contaminated").select(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

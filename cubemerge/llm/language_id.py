@@ -25,6 +25,8 @@ BUCKETS = 1 << 14
 PER_LANGUAGE, LANDMARKS = 400, 48
 RIDGE = 1e-2
 UNDETERMINED = "und"
+# documents scored below this are taken for no language
+LEAST = 0.2
 _MULTIPLY = np.uint32(0x9E3779B1)
 
 
@@ -136,3 +138,25 @@ def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     model = fit(docs.where(fold != 2).select("doc_id", "lang", "text"))
     held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
     return predict(docs.select("doc_id", held_out, "text"), model, "doc_id", "held_out")
+
+
+def _keep(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            for part in pieces(batch):
+                keep = part.column("_llm_lettered").to_numpy(zero_copy_only=False).astype(bool)
+                if model.langs:
+                    keep &= model.scores(part.column("text").fill_null("")).max(1) >= 2 * least - 1
+                names = [n for n in part.schema.names if n != "_llm_lettered"]
+                yield part.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without those whose language is undetermined or scored below ``least``; all columns stay."""
+    model = fit(docs.where(held_out_bucket(4) != 2).select("doc_id", "lang", "text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.withColumn("_llm_lettered", lettered).mapInArrow(_keep(shared, least), docs.schema)

@@ -170,7 +170,7 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """``_row, n_shingles, component`` of keyed ``docs``; the component is the smallest ``_row`` reachable over links."""
+    """``row key, n_shingles, component`` of keyed ``docs``; the component is the smallest row keys reachable over links."""
     sketched = scratch.table(docs.select(ROW, "text").mapInArrow(_sketch, SKETCHES))
     equal = ["n_shingles", "low", "high"]
     sets = sketched.where("n_shingles > 0").groupBy(*equal).agg(F.min(ROW).alias("set_id"))
@@ -286,3 +286,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -
     return found.join(first, "component").select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the first; all columns stay. Of repeated ids each row counts by itself."""
+    rows = keyed(docs, scratch, keep=True)
+    first = scratch.result(components(rows.select(ROW, "text"), scratch, percent).where(F.col(ROW) == F.col("component")).select(ROW))
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cubemerge.llm import class_lm, decontaminate, language_id, near_dedup, spotsigs, substring_dedup, token_files, toxicity
+from cubemerge.llm import chat, class_lm, decontaminate, language_id, near_dedup, sentencepiece_backend, spotsigs, substring_dedup, token_files, toxicity
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,26 @@ def _spotsigs(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
 @query("op4_class_lm")
 def _class_lm(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
     return class_lm.lm_scores(documents, scratch)
+
+
+@query("op6_sentencepiece")
+def _sentencepiece(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return sentencepiece_backend.sentencepiece_digest(documents, scratch, tokenizer_file("piece_bpe_32k.model"))
+
+
+@query(
+    "op3_chat_format",
+    table="conversations",
+    sql="""
+    WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+    n AS (SELECT *, row_number() OVER w AS k, string_agg(coalesce(role, '-') || chr(1) || coalesce(text, '-'), chr(2)) OVER w AS said,
+          string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '') OVER w AS rendered,
+          count(*) OVER (PARTITION BY conv_id) AS n
+          FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+    p AS (SELECT DISTINCT said FROM n WHERE k < n),
+    e AS (SELECT said, min(conv_id) AS conv_id, min(n) AS n_turns, count(*) AS n_copies, min(rendered) AS text FROM n WHERE k = n GROUP BY said)
+    SELECT conv_id, n_turns, n_copies, text FROM e WHERE said NOT IN (SELECT said FROM p)
+    """,
+)
+def _chat_format(conversations: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return chat.chat_texts(conversations, scratch)

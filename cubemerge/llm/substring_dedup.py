@@ -104,7 +104,7 @@ def _windows(window: int, gram: int):
 
 
 def factors(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``_row`` and its found blocks ``start``, ``n`` (windows) and ``reference`` (a row that holds a copy), from keyed ``docs``."""
+    """row keys and its found blocks ``start``, ``n`` (windows) and ``reference`` (a row that holds a copy), from keyed ``docs``."""
     blocks = scratch.table(docs.select(ROW, "text").mapInArrow(_blocks(window, gram), BLOCKS))
     # a block that holds its anchor more than once may repeat within itself
     repeated = (
@@ -190,7 +190,7 @@ def _removal(window: int, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """One row per row of keyed ``docs``: ``_row, n_words, n_removed, kept_sha256, factors[, kept_text]``.
+    """One row per row of keyed ``docs``: ``row key, n_words, n_removed, kept_sha256, factors[, kept_text]``.
 
     A word goes if a window of ``window`` words over it also starts anywhere else, in the same document or another; all
     copies go, the first one too. ``factors`` lists the parsed factors (start, words, a row that holds a copy).
@@ -209,3 +209,17 @@ def substring_dedup(docs: DataFrame, scratch: Scratch, window: int = WINDOW) ->
     rows = keyed(docs.select("doc_id", "text"), scratch)
     done = remove_repeats(rows, scratch, window)
     return done.join(rows.select(ROW, "doc_id"), ROW).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated words gone from ``text``; all columns stay. Documents that lose nothing are unchanged; ``n_chars`` follows the text."""
+    rows = keyed(docs, scratch, keep=True)
+    found = factors(rows, scratch, window, GRAM).groupBy(ROW).agg(F.collect_list(F.struct("start", "n", "reference")).alias("found"))
+    schema = f"{ROW} long, n_words long, n_removed long, kept_sha256 string, factors {FACTOR}, kept_text string"
+    shorter = packed(rows, ROW).join(found, ROW).select(ROW, "packed", "found").mapInArrow(_removal(window, True), schema)
+    shorter = scratch.result(shorter.select(ROW, F.lit(True).alias("_llm_changed"), F.col("kept_text").alias("_llm_text")))
+    text = F.when(F.col("_llm_changed"), F.col("_llm_text")).otherwise(F.col("text"))
+    done = rows.join(shorter, ROW, "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROW = "_row"
+ROW = "_llm_row"
 # rows sent to a Python worker at once: texts can be long, and buffers of a batch are held on both sides
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -80,7 +80,8 @@ class Scratch:
         delete(self.spark, df._scratch_path)
 
     def result(self, df: DataFrame) -> DataFrame:
-        path = f"{self.path}-result"
+        self._made += 1
+        path = f"{self.path}-result-{self._made}"
         atexit.register(_delete_quietly, self.spark, path)
         return self._write(df, path)
 
@@ -97,18 +98,19 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with a long ``_row`` that identifies each row.
+def keyed(docs: DataFrame, scratch: Scratch, keep: bool = False) -> DataFrame:
+    """``docs`` with a long ``_llm_row`` that identifies each row.
 
-    ``_row`` is ``doc_id`` where that is an integer, never NULL and unique. Otherwise (NULL ids, repeated rows) the
-    rows are numbered and written once, so that every reader sees the same numbers.
+    ``_llm_row`` is ``doc_id`` where that is an integer, never NULL and unique. Otherwise (NULL ids, repeated rows) the
+    rows are numbered and written once, so that every reader sees the same numbers (with ``keep``, as a result).
     """
     docs = docs.drop(ROW)
     if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
         clash = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
         if clash.isEmpty():
             return docs.withColumn(ROW, F.col("doc_id").cast("long"))
-    return scratch.table(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
+    return scratch.result(numbered) if keep else scratch.table(numbered)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

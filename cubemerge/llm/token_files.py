@@ -329,12 +329,12 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(spark, folder: str) -> DataFrame:
-    """``_row, ids`` of every document in ``folder``."""
+    """``row key, ids`` of every document in ``folder``."""
     return spark.read.parquet(folder).mapInArrow(_ids, f"{ROW} long, ids array<long>")
 
 
 def token_index(spark, folder: str) -> DataFrame:
-    """``_row, start, n_tokens, ids_crc32`` from the files; ``start`` counts the ids of all documents before."""
+    """``row key, start, n_tokens, ids_crc32`` from the files; ``start`` counts the ids of all documents before."""
     blocks = spark.read.parquet(folder)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file

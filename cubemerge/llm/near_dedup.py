@@ -9,7 +9,8 @@ exact sizes, and those that may reach the limit are verified on the full shingle
 At a similarity of 0.75 a band agrees with a probability of at least 0.75**4; that none of 36 bands agrees is about one in a million.
 The likelihood test rejects a pair only when 0.75 is 5 standard deviations off.
 
-Sets that hold too many shingles no other candidate has leave their buckets before any pair is made.
+Sets that hold too many shingles no other candidate has leave their buckets before any pair is made, and sizes and bitmaps of parities (an upper
+bound of what two sets share) are compared while buckets are joined, so hopeless pairs are never rows.
 Equal sets are one class from the start, whatever their number. No bucket is expanded into its pairs: each round links the members of a
 bucket to one leader, which changes with the round, and members that already belong to the leader's component are left out. Members
 that no leader takes in are, at the end, compared with the members of other components in their buckets, so no link
@@ -36,9 +37,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 # difference of log likelihoods that stands for five standard deviations
 TOLERANCE = 12.5
 LEADER_ROUNDS = 5
+BITS = 1024
 
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SKETCHES = f"{ROW} long, n_shingles long, low long, high long, sketch binary"
+SKETCHES = f"{ROW} long, n_shingles long, low long, high long, sketch binary, bits array<long>"
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -66,17 +68,25 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` hash values whether an odd number of shingles has it. Two sets' parities differ in at most as many places as
+    there are shingles that only one of them holds."""
+    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
             sets = shingle_sets(part.column("text"))
             with np.errstate(divide="ignore"):
                 drawn = [registers(s).tobytes() if len(s) else None for s in sets]
+            bits = [parities(s) if len(s) else None for s in sets]
             low = np.array([mix(s).sum() if len(s) else 0 for s in sets], np.uint64)
             high = np.array([mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum() if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(low)), pa.array(signed(high)), pa.array(drawn, pa.binary())],
-                names=[ROW, "n_shingles", "low", "high", "sketch"],
+                [part.column(ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(low)), pa.array(signed(high)), pa.array(drawn, pa.binary()), pa.array(bits, pa.list_(pa.int64()))],
+                names=[ROW, "n_shingles", "low", "high", "sketch", "bits"],
             )
 
 
@@ -176,10 +186,10 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     sets = sketched.where("n_shingles > 0").groupBy(*equal).agg(F.min(ROW).alias("set_id"))
     member = scratch.table(
         sketched.join(sets, equal, "left")
-        .select(ROW, "n_shingles", F.coalesce("set_id", ROW).alias("set_id"), F.when(F.col("set_id") == F.col(ROW), F.col("sketch")).alias("sketch"))
+        .select(ROW, "n_shingles", F.coalesce("set_id", ROW).alias("set_id"), *(F.when(F.col("set_id") == F.col(ROW), F.col(c)).alias(c) for c in ("sketch", "bits")))
     )
     scratch.drop(sketched)
-    chosen = member.where("sketch IS NOT NULL").select("set_id", "n_shingles", "sketch")
+    chosen = member.where("sketch IS NOT NULL").select("set_id", "n_shingles", "sketch", "bits")
     banded = chosen.mapInArrow(_bands, "bucket long, set_id long")
     crowded = banded.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = scratch.table(banded.join(crowded, "bucket", "left_semi"))
@@ -208,8 +218,13 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     tested = scratch.table(involved.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).limit(0))
 
     def possible(x: str, y: str) -> str:
-        """Sizes and shingles found elsewhere allow the similarity: it needs so many common ones of both."""
-        return f"{100 + percent} * least(common_{x}, common_{y}) >= {percent} * (n_shingles_{x} + n_shingles_{y})"
+        """Sizes, shingles found elsewhere and differing parities allow the similarity: it needs so many shingles of both."""
+        both = f"(n_shingles_{x} + n_shingles_{y})"
+        apart = " + ".join(f"bit_count(bits_{x}[{i}] ^ bits_{y}[{i}])" for i in range(BITS // 64))
+        return (
+            f"{100 + percent} * least(common_{x}, common_{y}) >= {percent} * {both}"
+            f" AND {100 + percent} * ({both} - ({apart})) >= {2 * percent} * {both}"
+        )
 
     def side(table: DataFrame, name: str, **columns: str) -> DataFrame:
         return table.select(F.col("set_id").alias(name), *(F.col(c).alias(alias) for c, alias in columns.items()))
@@ -217,8 +232,8 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     def merge(pairs: DataFrame) -> DataFrame:
         """``part`` after the links among ``pairs`` are verified."""
         likely = scratch.table(
-            pairs.join(side(sketches, "a", n_shingles="n_shingles_a", sketch="sketch_a", common="common_a"), "a")
-            .join(side(sketches, "b", n_shingles="n_shingles_b", sketch="sketch_b", common="common_b"), "b")
+            pairs.join(side(sketches, "a", n_shingles="n_shingles_a", sketch="sketch_a", common="common_a", bits="bits_a"), "a")
+            .join(side(sketches, "b", n_shingles="n_shingles_b", sketch="sketch_b", common="common_b", bits="bits_b"), "b")
             .where(possible("a", "b"))
             .select("a", "b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b")
             .mapInArrow(_likely(percent / 100), "a long, b long")
@@ -260,8 +275,8 @@ def components(docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> Dat
     # what the leaders left apart, against the other components of its buckets
     placed = shared.join(part, "set_id")
     split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = scratch.table(placed.join(split, "bucket", "left_semi"))
-    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "component", "n_shingles", "common"))) for s in "xy")
+    open_ = scratch.table(placed.join(split, "bucket", "left_semi").join(sketches.select("set_id", "bits"), "set_id"))
+    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "component", "n_shingles", "common", "bits"))) for s in "xy")
     rest = (
         x.join(y, "bucket")
         .where(f"set_id_x < set_id_y AND component_x != component_y AND {possible('x', 'y')}")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from cubemerge.schema import DateTimeUnit
 
 # Zone abbreviations with one meaning, in minutes east of UTC. Summer-time names keep their
-# own fixed offset; ambiguous ones (IST, CST, BST ...) are left out on purpose.
+# own fixed offset; ambiguous ones (IST, CST, BST, AST ...) are left out on purpose.
 ZONE_MINUTES = {
-    "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
+    "Z": 0, "UTC": 0, "UT": 0, "GMT": 0, "WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180,
     "MSK": 180, "EST": -300, "EDT": -240, "MDT": -360, "PDT": -420, "AKST": -540, "AKDT": -480,
-    "HST": -600, "JST": 540, "KST": 540, "HKT": 480, "AEST": 600, "AEDT": 660, "AWST": 480, "NZST": 720,
-    "NZDT": 780,
+    "HST": -600, "JST": 540, "KST": 540, "HKT": 480, "AEST": 600, "AEDT": 660, "ACST": 570, "ACDT": 630, "AWST": 480,
+    "NZST": 720, "NZDT": 780, "WAT": 60, "CAT": 120, "SAST": 120, "EAT": 180, "PKT": 300, "NPT": 345, "ICT": 420,
+    "WIB": 420, "WITA": 480, "WIT": 540, "PHT": 480, "SGT": 480, "NST": -210, "NDT": -150, "ADT": -180, "ART": -180, "BRT": -180,
+    "CLT": -240, "COT": -300, "PET": -300, "UYT": -180, "VET": -240, "CHST": 600, "SST": -660,
 }
 
 # Tick name -> date_trunc unit and length in microseconds.
@@ -33,9 +35,13 @@ TICKS = {
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _OFFSET = re.compile(r"([+-])(\d{2}):?(\d{2})$")
-_ZONE_TAIL = r":\d\d(?:\.\d+)?\s*(Z|[A-Z]{3,4}|[+-]\d{2}:?\d{2})$"
+_ZONE_TAIL = r":\d\d(?:\.\d+)?\s*(Z|[A-Z]{2,5}|[+-]\d{2}(?::?\d{2})?)$"
 # cheap test before the exact one
-_ZONE_END = r"[A-Z]$|[+-]\d{2}:?\d{2}$"
+_ZONE_END = r"[A-Z]$|[+-]\d{2}(?::?\d{2})?$"
+# written forms brought into the order of the others first: weekday names, time before date, 12-hour clock
+_WEEKDAY = r"^[A-Za-z]{3,9},\s*(?=\d)"
+_TIME_FIRST = r"^(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:\s*[AaPp][Mm])?),?\s+(\S.*\d)$"
+_TWELVE = r"(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*([AaPp])[Mm]"
 _TIME = r"(?:[T ]+\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?$"
 
 
@@ -155,7 +161,12 @@ def _local_sql(text: str, dayfirst: bool) -> str:
     year_last = _stamp(_token(2), f"if({month} <= 12, {month}, {day})", f"if({month} <= 12, {day}, {month})")
     compact = rf"regexp_replace({text}, r'^(\d\d\d\d)(\d\d)(\d\d)[T ]?', '$1-$2-$3 ')"
     clock = rf"rtrim(regexp_replace({compact}, r' (\d\d)(\d\d)(\d\d)?$', ' $1:$2:$3'))"
+    # fixed rule for years of two digits: 69 to 99 are of the last century
+    short = f"({_token(2)} + if({_token(2)} < 69, 2000, 1900))"
+    short_year = _stamp(short, f"if({month} <= 12, {month}, {day})", f"if({month} <= 12, {day}, {month})")
     forms = [
+        _form(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{2}" + _TIME, short_year),
+        _form(text, r"^\d{4}-\d{1,2}$", f"try_make_timestamp_ntz({_token(0)}, {_token(1)}, 1, 0, 0, 0)"),
         f"CASE WHEN {text} RLIKE r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}' THEN try_cast({text} AS TIMESTAMP_NTZ) END",
         _form(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{4}" + _TIME, year_last),
         _form(text, r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}" + _TIME, _stamp(_token(0), _token(1), _token(2))),
@@ -208,14 +219,19 @@ def parse_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit | Non
     digits = "replace(z, ':', '')"
     minutes = (
         f"CASE WHEN z RLIKE r'^[+-]' THEN if(startswith(z, '-'), -1, 1) * (CAST(substring({digits}, 2, 2) AS INT) * 60"
-        f" + CAST(substring({digits}, 4, 2) AS INT)) ELSE try_element_at(map({table}), z) END"
+        f" + coalesce(try_cast(substring({digits}, 4, 2) AS INT), 0)) ELSE try_element_at(map({table}), z) END"
     )
     pair = f"struct({_local_sql('b', source.dayfirst)} AS at, {minutes} AS off)"
-    given = f"CASE WHEN q.off IS NULL THEN {in_target('q.at', source.tz or 'UTC')} ELSE {in_target(_shift_sql('q.at', '-q.off'), 'UTC')} END"
+    # a zone nobody knows makes the time unknown
+    given = f"CASE WHEN q.off IS NOT NULL THEN {in_target(_shift_sql('q.at', '-q.off'), 'UTC')} END"
     zoned = _let("rtrim(substring(t, 1, length(t) - length(z)))", "b", _let(pair, "q", given))
     split_zone = _let(f"regexp_extract(t, r'{_ZONE_TAIL}', 1)", "z", f"CASE WHEN z = '' THEN {naive} ELSE {zoned} END")
     # a quick test first: only a text with a time of day can end in a zone
-    return _apply(F.trim(col), "t", f"CASE WHEN t RLIKE r'{_ZONE_END}' THEN {split_zone} ELSE {naive} END")
+    body = f"CASE WHEN t RLIKE r'{_ZONE_END}' THEN {split_zone} ELSE {naive} END"
+    hour = f"(try_cast(regexp_extract(w, r'{_TWELVE}', 1) AS INT) % 12 + if(lower(regexp_extract(w, r'{_TWELVE}', 3)) = 'p', 12, 0))"
+    clock = f"CASE WHEN w RLIKE r'{_TWELVE}' THEN regexp_replace(w, r'{_TWELVE}', concat(lpad({hour}, 2, '0'), '$2')) ELSE w END"
+    ordered = f"regexp_replace(regexp_replace(v, r'{_WEEKDAY}', ''), r'{_TIME_FIRST}', '$2 $1')"
+    return _apply(F.trim(col), "v", _let(ordered, "w", _let(clock, "t", body)))
 
 
 def convert_datetime(col: Column, source: DateTimeUnit, target: DateTimeUnit) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from cubemerge.schema import COMPLEX, INT_BOUNDS, spark_type, text_length
 
 # Labels kept as a literal array in the plan; larger sets go through the join form in operators.harmonize.
-MAX_LITERAL_LABELS = 1000
 
 FLOATS = (T.DoubleType, T.FloatType)
 
@@ -105,15 +104,11 @@ def cast_typed(col: Column, source: T.DataType, type_name: str | None) -> tuple[
 
 def encode_labels(col: Column, labels: tuple[Any, ...]) -> Column:
     """Label to its 1-based code; unknown and missing to 0."""
-    if len(labels) > MAX_LITERAL_LABELS:
-        raise ValueError("too many labels for a literal list, use operators.harmonize.encode_with_table")
     return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]), col), F.lit(0).cast("long"))
 
 
 def decode_labels(code: Column, labels: tuple[Any, ...]) -> Column:
     """Code back to its label; 0 is missing."""
-    if len(labels) > MAX_LITERAL_LABELS:
-        raise ValueError("too many labels for a literal list, use operators.harmonize.decode_with_table")
     return F.get(F.array(*[F.lit(x) for x in labels]), F.nullif(code, F.lit(0)).cast("int") - 1)
 
 

@@ -131,7 +131,7 @@ kept AS (SELECT site, min(x) AS x FROM pts GROUP BY 1 UNION ALL SELECT n.site, n
 def adjust_grid_joins(t: Tables) -> DataFrame:
     """The same rule with every group treated as too large for one task."""
     hours = t.events.select(F.col("event_type").alias("site"), to_epoch_ticks(F.col("ts"), "h").alias("x"))
-    return align.adjust_grid(hours, "x", 2, 5, ["site"], group_limit=1)
+    return align.adjust_grid(hours, "x", 2, 5, ["site"])
 
 
 LIMITED = NodeSchema.from_dict({

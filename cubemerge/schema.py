@@ -159,16 +159,25 @@ class Coord(Variable):
 
 
 def _interval(spec: Any) -> tuple[Any, Any, str | None] | None:
-    if spec is None:
-        return (-math.inf, -math.inf, None)
-    spec = list(spec) if isinstance(spec, (list, tuple)) else [spec]
-    if not spec:
-        return (-math.inf, math.inf, None)
-    if len(spec) == 1:
-        spec = spec * 2
-    if len(spec) > 3:
-        raise SchemaError(f"invalid interval {spec}")
-    return (spec[0], spec[1], spec[2] if len(spec) == 3 else None)
+    """Bounds and unit of an allowed range.
+
+    Nothing given means that no value is allowed, an empty list that every value is. One bound stands for both; a third
+    entry is the unit of the bounds.
+    """
+    match spec:
+        case None:
+            return -math.inf, -math.inf, None
+        case []:
+            return -math.inf, math.inf, None
+        case [low, high, unit]:
+            return low, high, unit
+        case [low, high]:
+            return low, high, None
+        case [only]:
+            return only, only, None
+        case list() | tuple():
+            raise SchemaError(f"an interval has two bounds and a unit at most: {spec}")
+    return spec, spec, None
 
 
 def _step_limits(spec: Any) -> StepLimits:
@@ -192,6 +201,8 @@ def _common(name: str, spec: dict[str, Any]) -> dict[str, Any]:
     rng = _none(spec.get("range")) or {}
     coords = _none(spec.get("coords")) or ()
     labels = rng.get("discrete")
+    if isinstance(labels, str):
+        raise SchemaError(f"{name}: 'discrete' is the list of labels; for the table {labels!r} use label_table and encode_with_table")
     type_name = _none(spec.get("type"))
     if type_name is not None:
         spark_type(type_name)

@@ -37,7 +37,6 @@ from cubemerge.session import materialize, read_exact
 log = logging.getLogger(__name__)
 
 # Touched buckets are listed on the driver up to this many; beyond it the whole cube is merged.
-MAX_LISTED_BUCKETS = 10_000
 HASH_BUCKETS = 16
 # Appends to an axis before it is written as a whole again.
 MAX_AXIS_GENERATIONS = 64
@@ -127,7 +126,8 @@ class Node:
 
     def version(self) -> int:
         names = [n for n in self.store.files.names(self._rel("_versions")) if n.endswith(".json")]
-        return int(names[-1][1:-5]) if names else 0
+        # by number: as text, version 1000000 would come before 999999
+        return max((int(n[1:-5]) for n in names), default=0)
 
     def _state(self) -> dict[str, Any]:
         number = self.version()
@@ -409,9 +409,8 @@ class Node:
         lead = self._leading(coords)
         if policy == merge.OVERWRITE and lead is not None and lead.name in targets:
             touched = touched.union(targets[lead.name].overlap.select(self._bucket(coords, span).alias("b"))).distinct()
-        listed = [r["b"] for r in touched.limit(MAX_LISTED_BUCKETS + 1).collect()]
-        whole = len(listed) > MAX_LISTED_BUCKETS or (policy == merge.OVERWRITE and lead is None)
-        buckets = None if whole else listed
+        # as many as the state file lists at most, which is read on the driver anyway
+        buckets = None if policy == merge.OVERWRITE and lead is None else [r["b"] for r in touched.collect()]
         if buckets is not None and not buckets:
             result.buckets[name] = 0
             return
@@ -446,7 +445,7 @@ class Node:
             for parent in parents:
                 for gen in self.store.files.names(self._rel(parent)):
                     folder = f"{parent}/{gen}"
-                    if gen.startswith("gen=") and int(gen[4:10]) <= current and folder not in used:
+                    if gen.startswith("gen=") and int(gen[4:].split("-")[0]) <= current and folder not in used:
                         self.store.files.delete(self._rel(folder))
                         removed.append(folder)
         return removed

@@ -44,6 +44,18 @@ def test_unit_conversion():
     ("20240102T101112", DateTimeUnit("s"), datetime(2024, 1, 2, 10, 11, 12)),
     ("20240102", DateTimeUnit("s"), datetime(2024, 1, 2)),
     ("2024/1/2 1:02", DateTimeUnit("s"), datetime(2024, 1, 2, 1, 2)),
+    ("2024-01-01 12:00:00+03", DateTimeUnit("s"), datetime(2024, 1, 1, 9)),
+    ("2024-01-01 12:00:00 EAT", DateTimeUnit("s"), datetime(2024, 1, 1, 9)),
+    ("2024-01-01 12:00:00 SAST", DateTimeUnit("s"), datetime(2024, 1, 1, 10)),
+    ("2024-01-01 12:00:00 XQZ", DateTimeUnit("s"), None),
+    ("2024-01-01 3:05 PM", DateTimeUnit("s"), datetime(2024, 1, 1, 15, 5)),
+    ("2024-01-01 12:10:00 am", DateTimeUnit("s"), datetime(2024, 1, 1, 0, 10)),
+    ("Mon, 01 Jan 2024 12:00:00 +0100", DateTimeUnit("s"), datetime(2024, 1, 1, 11)),
+    ("Mon, 01 Jan 2024 12:00:00 GMT", DateTimeUnit("s"), datetime(2024, 1, 1, 12)),
+    ("12:30 2024-01-01", DateTimeUnit("s"), datetime(2024, 1, 1, 12, 30)),
+    ("2024-05", DateTimeUnit("s"), datetime(2024, 5, 1)),
+    ("5/3/99", DateTimeUnit("s"), datetime(1999, 5, 3)),
+    ("5/3/24 1:00", DateTimeUnit("s", dayfirst=True), datetime(2024, 3, 5, 1)),
     ("NaT", DateTimeUnit("s"), None),
     ("yesterday", DateTimeUnit("s"), None),
     ("2025-13-40", DateTimeUnit("s"), None),

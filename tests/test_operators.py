@@ -23,7 +23,7 @@ def values(df, column="x"):
     return sorted(r[column] for r in df.select(column).collect())
 
 
-def greedy(xs, low, high):
+def greedy(xs, low, high, whole=False):
     xs = sorted(set(xs))
     out = [xs[0]]
     last = xs[0]
@@ -33,7 +33,7 @@ def greedy(xs, low, high):
             continue
         if d > high:
             n = int(-(-d // high))
-            out += [last + k * d / n for k in range(1, n)]
+            out += [last + k * (d // n if whole else d / n) for k in range(1, n)]
         out.append(x)
         last = x
     return out
@@ -49,12 +49,20 @@ def test_adjust_grid(spark, low, high):
     assert max(steps) <= high + 1e-9 and min(steps) >= low / 2
 
 
-def test_adjust_grid_large_groups_match(spark):
-    rng = random.Random(3)
-    rows = [("hot" if rng.random() < 0.5 else f"k{rng.randrange(4)}", rng.randrange(600)) for _ in range(500)]
-    df = spark.createDataFrame(rows, "k string, x long")
-    run = lambda limit: sorted((r["k"], r["x"]) for r in align.adjust_grid(df, "x", 7, 9, ["k"], limit).collect())
-    assert run(1_000_000) == run(100)
+def test_adjust_grid_null_and_wide_keys(spark):
+    big = 2**53 + 1
+    rows = [(None, x) for x in (0, 1, 2, 9, 30)] + [(big, x) for x in (0, 1, 2, 9, 30)] + [(7, 3 * i) for i in range(300)]
+    got = align.adjust_grid(spark.createDataFrame(rows, "k long, x long"), "x", 7, 9, ["k"]).collect()
+    for key in (None, big, 7):
+        want = greedy([x for k, x in rows if k == key], 7, 9, whole=True)
+        assert sorted(r["x"] for r in got if r["k"] == key) == want
+    plan = align.adjust_grid(spark.createDataFrame(rows, "k long, x long"), "x", 7, 9, ["k"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_adjust_grid_wide_gap(spark):
+    got = align.adjust_grid(spark.createDataFrame([(0,), (250_001,)], "x long"), "x", 1, 1)
+    assert got.count() == 250_002 and got.distinct().count() == 250_002
 
 
 @pytest.mark.parametrize("spec, expected", [

@@ -4,11 +4,12 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
+import __spark_entry__  # noqa: F401  registers the queries
 from compare import compare, connect
+from cubemerge.plans.registry import QUERIES as RUN
+from cubemerge.plans.registry import SQL
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-RUN, SQL = contract.queries(), contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")

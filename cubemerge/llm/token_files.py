@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubemerge.llm.tables import ROW, Scratch, keyed, packed, unpack
+from cubemerge.llm.tables import ROW, Scratch, keyed
 from cubemerge.llm.words import BLANK_SEPARATED, Words, pieces, ragged
 
 BLOCK_IDS = 16384
@@ -119,7 +119,7 @@ class IdTable:
         self.flat, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each of the distinct keys, or the free one where it would go."""
+        """Slot of each of the keys, or the free one where it would go."""
         slot = (keys & np.uint64(self.SLOTS - 1)).astype(np.int64)
         left = np.arange(len(keys))
         while len(left):
@@ -148,19 +148,20 @@ class IdTable:
     def gather(self, keys: np.ndarray, unit: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of the units with these hashes; ``unit(i)`` is the text of unit ``i``."""
         keys = keys | np.uint64(1 << 63)
-        distinct, sample, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        slot = self._slots(distinct)
-        new = np.flatnonzero(self.keys[slot] == 0)
-        if len(new) and self.count + len(new) > self.SLOTS * 0.7:
-            self._clear()
-            slot = self._slots(distinct)
-            new = np.flatnonzero(self.keys[slot] == 0)
-        if len(new):
-            self._add(distinct[new], [unit(i) for i in sample[new].tolist()])
-            slot = self._slots(distinct)
-        size = self.size[slot][inverse].astype(np.int64)
+        slot = self._slots(keys)
+        missing = np.flatnonzero(self.keys[slot] == 0)
+        if len(missing):
+            distinct, sample = np.unique(keys[missing], return_index=True)
+            sample = missing[sample]
+            if self.count + len(distinct) > self.SLOTS * 0.7:
+                self._clear()
+                distinct, sample = np.unique(keys, return_index=True)
+                missing = np.arange(len(keys))
+            self._add(distinct, [unit(i) for i in sample.tolist()])
+            slot[missing] = self._slots(keys[missing])
+        size = self.size[slot].astype(np.int64)
         word, inner = ragged(size)
-        return self.flat[self.start[slot][inverse][word].astype(np.int64) + inner], size
+        return self.flat[self.start[slot].astype(np.int64)[word] + inner], size
 
 
 class WordTable(IdTable):
@@ -270,25 +271,23 @@ def _write(tokenizer: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                chunk = batch.slice(start, 64)
-                for piece in pieces(pa.RecordBatch.from_arrays([chunk.column(ROW), unpack(chunk.column("packed"))], names=[ROW, "text"])):
-                    flat, size = table.ids(piece.column("text"))
-                    flat = np.insert(flat, np.cumsum(size), end_id)
-                    size += 1
-                    keys = piece.column(ROW).to_numpy()
-                    # whole documents until a block is full
-                    done, border = 0, np.cumsum(size)
-                    while done < len(size):
-                        before = border[done] - size[done]
-                        stop = min(len(size), max(done + 1, int(np.searchsorted(border, before + BLOCK_IDS - held)) + 1))
-                        ids.append(flat[before : border[stop - 1]])
-                        rows.append(keys[done:stop])
-                        sizes.append(size[done:stop].astype(np.int32))
-                        held += int(border[stop - 1] - before)
-                        done = stop
-                        if held >= BLOCK_IDS:
-                            yield flush()
+            for piece in pieces(batch):
+                flat, size = table.ids(piece.column("text"))
+                flat = np.insert(flat, np.cumsum(size), end_id)
+                size += 1
+                keys = piece.column(ROW).to_numpy()
+                # whole documents until a block is full
+                done, border = 0, np.cumsum(size)
+                while done < len(size):
+                    before = border[done] - size[done]
+                    stop = min(len(size), max(done + 1, int(np.searchsorted(border, before + BLOCK_IDS - held)) + 1))
+                    ids.append(flat[before : border[stop - 1]])
+                    rows.append(keys[done:stop])
+                    sizes.append(size[done:stop].astype(np.int32))
+                    held += int(border[stop - 1] - before)
+                    done = stop
+                    if held >= BLOCK_IDS:
+                        yield flush()
         if held:
             yield flush()
 
@@ -300,8 +299,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
 
     ``end_id`` ends every document, so a NULL or empty text is one id. ``tokenizer`` is a tokenizers file, readable on all executors.
     """
-    ordered = packed(docs, "doc_id", ROW).repartitionByRange("doc_id", ROW).sortWithinPartitions("doc_id", ROW)
-    ordered.select(ROW, "packed").mapInArrow(_write(tokenizer, end_id), BLOCKS).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
+    ordered = docs.select("doc_id", ROW, "text").repartitionByRange("doc_id", ROW).sortWithinPartitions("doc_id", ROW)
+    ordered.select(ROW, "text").mapInArrow(_write(tokenizer, end_id), BLOCKS).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(folder)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ Streaming file source; each micro-batch goes through ``foreachBatch``. Merging i
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -70,13 +72,34 @@ class Extractors:
         self.functions[name] = run
 
     def csv(self, name: str, schema: str, sep: str = ",", header: bool = True) -> None:
-        """Tabular CSV payloads; a line that does not fit the schema is dropped."""
+        """Tabular CSV payloads, columns by the names in the header (by position without one).
+
+        A header that lacks a column of the schema makes the message fail. A line with another number of fields than the
+        header, or with a text that its column's type cannot hold, is dropped. Quoted fields may hold line ends.
+        """
+        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
+        written = ", ".join(f"`{n}` string" for n in kinds)
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"]):
+                    lines = [r for r in csv.reader(io.StringIO(bytes(content or b"").decode("utf-8-sig", "replace")), delimiter=sep) if any(x.strip() for x in r)]
+                    names = [n.strip() for n in lines[0]] if header and lines else list(kinds)
+                    lacking = [n for n in kinds if n not in names]
+                    if lacking:
+                        yield pd.DataFrame({"path": [path], ERROR: [f"columns not in the header: {lacking}"]}).reindex(columns=["path", "_line", *kinds, ERROR]).astype(object).where(lambda t: t.notna(), None)
+                        continue
+                    body = [(k, r) for k, r in enumerate(lines) if k >= header and len(r) == len(names)]
+                    table = {n: [r[names.index(n)].strip() or None for _, r in body] for n in kinds}
+                    yield pd.DataFrame({"path": path, "_line": [k for k, _ in body], **table, ERROR: None}, dtype=object)
 
         def run(messages: DataFrame) -> DataFrame:
-            lines = messages.select("path", F.posexplode(F.split(F.col("content").cast("string"), r"\r?\n")).alias("_line", "_text"))
-            body = lines.where((F.trim("_text") != "") & (F.col("_line") >= (1 if header else 0)))
-            parsed = body.select("path", "_line", F.from_csv("_text", F.lit(schema), {"sep": sep}).alias("_r"))
-            return parsed.where("_r IS NOT NULL").select("path", "_line", "_r.*")
+            texts = messages.select("path", "content").mapInPandas(read, f"path string, _line long, {written}, {ERROR} string")
+            fits = F.lit(True)
+            for column, kind in kinds.items():
+                fits = fits & (F.col(column).isNull() | F.col(column).try_cast(kind).isNotNull())
+            typed = [F.col(n).try_cast(k).alias(n) for n, k in kinds.items()]
+            return texts.where(fits).select("path", "_line", *typed, ERROR)
 
         self.functions[name] = run
 
@@ -143,7 +166,7 @@ class Ingest:
             try:
                 self._merge(mine, target["node"], target["extractor"], batch)
             except Exception as problem:
-                text = f"{type(problem).__name__}: {problem}"[:1000]
+                text = f"{type(problem).__name__}: {problem}"
                 self.store.log_event("ERROR", target["node"], text)
                 self._one_by_one(mine, target["node"], target["extractor"], text, batch)
         self._mark_done(messages, batch)
@@ -181,7 +204,7 @@ class Ingest:
                     raise RuntimeError(problem)
                 self._merge(single, node, extractor, batch)
             except Exception as cause:
-                text = str(cause)[:1000]
+                text = str(cause)
                 self._dead_letter(single.withColumn("reason", F.lit(text)), batch)
 
     # --- bookkeeping -----------------------------------------------------------------------------------
@@ -225,14 +248,16 @@ class Ingest:
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
         return writer.start()
 
-    def replay(self, limit: int = 1000) -> int:
-        """Try failed messages again, those tried longest ago first; returns how many were tried.
+    def replay(self, limit: int | None = None) -> int:
+        """Try failed messages again, all of them or the ``limit`` tried longest ago; returns how many were tried.
 
         Metadata is read again, so a corrected sidecar counts.
         """
         last = self.failed().groupBy("path").agg(F.max_by("content", "batch").alias("content"), F.max("batch").alias("batch"))
         open_ones = self.done().groupBy("path").agg(F.bool_or("accepted").alias("ok")).where(~F.col("ok")).select("path")
-        chosen = last.join(open_ones, "path", "left_semi").orderBy("batch", "path").limit(limit)
+        chosen = last.join(open_ones, "path", "left_semi")
+        if limit is not None:
+            chosen = chosen.orderBy("batch", "path").limit(limit)
         again = materialize(chosen.select("path", "content"), "replay")
         count = again.count()
         if count:

@@ -56,14 +56,17 @@ def test_ingest_and_replay(spark, tmp_path):
     assert {r["type"]: r["n"] for r in ingest.failures().collect()}["empty payload"] == 1
 
     # a second run takes only new files; a missing sidecar is reported
-    put([message("b.csv", "x,v\n3,30\n", target_node="")])
+    # columns by name, more of them than asked for, quoted line ends; lines that do not fit are dropped
+    put([message("b.csv", 'v,note,x\n30,"a\nb, c",3\n31,5\nten,,6\n', target_node="")])
+    put([message("bb.csv", "x,w\n9,1\n", target_node="")])
     (tmp_path / "queue" / "c.csv").write_text("x,v\n4,40\n")
     run()
     assert read("") == {1: 10.0, 2: 21.0, 3: 30.0}
     assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in ingest.failed().collect()}["c.csv"] == "no metadata"
+    assert {r["path"].rsplit("/", 1)[1]: r["reason"] for r in ingest.failed().collect()}["bb.csv"] == "columns not in the header: ['v']"
 
     # once the metadata is there, a replay merges the message
     (tmp_path / "queue" / "c.csv.meta.json").write_text(json.dumps({"content_type": "text/csv", "target_node": ""}))
-    assert ingest.replay() == 7
+    assert ingest.replay() == 8
     assert read("")[4] == 40.0
-    assert ingest.replay() == 6
+    assert ingest.replay() == 7

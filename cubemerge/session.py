@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -48,6 +51,25 @@ def scratch_root(spark: SparkSession) -> str:
     return path + "/cubemerge"
 
 
+# Scratch tables made inside the current scope; None outside of any.
+_MADE: ContextVar[list[str] | None] = ContextVar("scratch tables", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside the block when it ends: for work whose results are stored by then."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
 def read_exact(spark: SparkSession, schema: T.StructType, *paths: str, base: str | None = None) -> DataFrame:
     """Read parquet with a known schema, so no footer is opened for inference."""
     reader = spark.read.schema(schema)
@@ -64,5 +86,8 @@ def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return read_exact(spark, T.StructType.fromJson(json.loads(df.schema.json())), path)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cubemerge.functions.text import content_kind
 from cubemerge.operators.lookup import with_sidecar
-from cubemerge.session import materialize
+from cubemerge.session import materialize, scratch_scope
 from cubemerge.sources.store import Store
 from cubemerge.streaming.messages import METADATA, failure_summary, reject_reason, route
 
@@ -136,7 +136,11 @@ class Ingest:
         return here.select("path", text.alias("metadata_json"), F.from_json(text, METADATA).alias("metadata"))
 
     def process(self, files: DataFrame, batch: int) -> None:
-        """Handle one batch of message files (path, content)."""
+        """Handle one batch of message files (path, content); its intermediate tables are deleted when it is done."""
+        with scratch_scope(self.spark):
+            self._process(files, batch)
+
+    def _process(self, files: DataFrame, batch: int) -> None:
         files = materialize(files.select("path", "content"), "batch")
         data = files.where(~F.col("path").endswith(SIDECAR))
         seen = self._table(f"_done/batch={batch}", "path string, accepted boolean").select("path")
@@ -258,10 +262,11 @@ class Ingest:
         chosen = last.join(open_ones, "path", "left_semi")
         if limit is not None:
             chosen = chosen.orderBy("batch", "path").limit(limit)
-        again = materialize(chosen.select("path", "content"), "replay")
-        count = again.count()
-        if count:
-            self.process(again, (self.done().agg(F.max("batch")).first()[0] or 0) + 1)
+        with scratch_scope(self.spark):
+            again = materialize(chosen.select("path", "content"), "replay")
+            count = again.count()
+            if count:
+                self.process(again, (self.done().agg(F.max("batch")).first()[0] or 0) + 1)
         return count
 
 

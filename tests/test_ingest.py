@@ -1,6 +1,7 @@
 """Message files through the stream into a store."""
 
 import json
+import os
 
 import pandas as pd
 
@@ -70,3 +71,9 @@ def test_ingest_and_replay(spark, tmp_path):
     assert ingest.replay() == 8
     assert read("")[4] == 40.0
     assert ingest.replay() == 7
+    # nothing of a batch stays in the scratch folder
+    scratch = spark.conf.get("spark.checkpoint.dir") + "/cubemerge"
+    left = [n for n in os.listdir(scratch) if n.split("-")[0] in ("batch", "messages", "rows", "update", "cells", "replay")]
+    before = set(left)
+    assert ingest.replay() == 7
+    assert {n for n in os.listdir(scratch) if n.split("-")[0] in ("batch", "messages", "rows", "update", "cells", "replay")} <= before

@@ -36,7 +36,7 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 # difference of log likelihoods that stands for five standard deviations
 TOLERANCE = 12.5
-LEADER_ROUNDS = 5
+LEADER_ROUNDS = 2
 BITS = 1024
 
 _FACTORS = np.random.default_rng(5).integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -84,8 +84,10 @@ def test_sentencepiece_parity(spark):
     whole = sentencepiece_backend.PieceTable(path).model.tokenizer()
     for doc, text, *_ in rows:
         ids = library.encode(text or "")
-        assert got[doc].ids == ids and got[doc].parity and got[doc].round_trip
-        assert got[doc].decoded == (text or "") == library.decode(ids)
+        assert got[doc].ids == ids and got[doc].parity
+        # a mark written in a text comes back as a blank, from the library too
+        assert got[doc].decoded == library.decode(ids) == (text or "").replace("▁", " ")
+        assert got[doc].round_trip == ("▁" not in (text or ""))
         assert whole.decode(ids) == library.decode(ids)
         if text:
             assert whole.encode(text, add_special_tokens=False).ids == ids

@@ -5,6 +5,9 @@ of what each holds. N-grams are hashed to ``BUCKETS`` presence flags. A bounded
 features of a text are its kernel values with the landmarks times the inverse root of the landmarks' own kernel matrix, and a
 ridge regression for each language against the others is solved on these features. Documents are scored in batches, by one matrix product with
 the landmarks' flags and one with the regression weights; texts are read whole and never shuffled.
+
+The scores of one text add up to about 2 minus the number of languages, so no fixed score tells a text in none of them. The limit of the
+pipeline's stage comes from the scores of the labelled sample: all of its rows pass, and so does what lies a little below its lowest one.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ BUCKETS = 1 << 14
 PER_LANGUAGE, LANDMARKS = 400, 48
 RIDGE = 1e-2
 UNDETERMINED = "und"
-# documents scored below this are taken for no language
-LEAST = 0.2
+# how far below the lowest score of the labelled sample a document is still taken for one of the languages, in parts of the distance
+# between that score and the sample's percentile, and at least
+SLACK, LEAST_SLACK = 0.25, 0.05
 _MULTIPLY = np.uint32(0x9E3779B1)
 
 
@@ -56,7 +60,7 @@ class Model:
     """Landmark flags, and per landmark and language the weights of the regression on Nyström features."""
 
     def __init__(self, texts: list[str], langs: list[str]):
-        self.langs = sorted(set(langs))
+        self.langs, self.limit = sorted(set(langs)), -np.inf
         if not self.langs:
             return
         rows = flags(pa.array(texts, pa.string())).astype(np.float32)
@@ -75,6 +79,8 @@ class Model:
         gram = features.T @ (weight * features) + RIDGE * np.eye(features.shape[1])
         solved = np.linalg.solve(gram, features.T @ (weight * target))
         self.weights, self.bias = (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32)
+        best = (features @ solved).max(1)
+        self.limit = float(best.min() - max(LEAST_SLACK, SLACK * (np.quantile(best, 0.01) - best.min())))
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         rows = flags(texts)
@@ -140,23 +146,23 @@ def identify(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return predict(docs.select("doc_id", held_out, "text"), model, "doc_id", "held_out")
 
 
-def _keep(shared, least: float):
+def _keep(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
             for part in pieces(batch):
                 keep = part.column("_llm_lettered").to_numpy(zero_copy_only=False).astype(bool)
                 if model.langs:
-                    keep &= model.scores(part.column("text").fill_null("")).max(1) >= 2 * least - 1
+                    keep &= model.scores(part.column("text").fill_null("")).max(1) >= model.limit
                 names = [n for n in part.schema.names if n != "_llm_lettered"]
                 yield part.select(names).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without those whose language is undetermined or scored below ``least``; all columns stay."""
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` without those whose language is undetermined or whose best score is below the model's limit; all columns stay."""
     model = fit(docs.where(held_out_bucket(4) != 2).select("doc_id", "lang", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_llm_lettered", lettered).mapInArrow(_keep(shared, least), docs.schema)
+    return docs.withColumn("_llm_lettered", lettered).mapInArrow(_keep(shared), docs.schema)

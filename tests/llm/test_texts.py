@@ -37,6 +37,14 @@ def test_language_stage_keeps_clean_documents(spark):
     assert got.where("doc_id < 0").count() == 0 and got.count() == docs.count()
 
 
+def test_language_stage_drops_other_languages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = ["съешь ещё этих мягких французских булок да выпей чаю " * 5, "今日は世界 こんにちは", "hidztfljcffiqfviuwjowkppdajmkn zycidpyopumzgdpa", "x"]
+    odd = frame(spark, [(-1 - i, t, None, None, len(t)) for i, t in enumerate(texts)])
+    got = language_id.identified(docs.unionByName(odd))
+    assert got.where("doc_id < 0").count() == 0 and got.count() == docs.count()
+
+
 def test_kernel_counts_common_grams():
     import pyarrow as pa
 

@@ -211,3 +211,18 @@ def test_chat_keeps_maximal_conversations(spark):
     assert set(got) == {2, 4, 5, 6, 7, None}
     assert got[2] == (3, 2, "<|im_start|>user\na<|im_end|>\n<|im_start|>bot\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n")
     assert got[4][2].endswith("<|im_start|>bot\n<|im_end|>\n") and got[5][2] == "<|im_start|>unknown\nx<|im_end|>\n"
+
+
+def test_long_conversations_meet_as_segments_only(spark):
+    said = {None: 300, 1: 300, 2: 299, 3: 120, 4: 1}  # turns; 2 to 4 are prefixes of 1, the NULL one has another first turn
+    rows = [(c, k, f"r{k % 3}", f"text {k}" if k or c else "other") for c, n in said.items() for k in range(n)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    with Scratch(spark, "t") as scratch:
+        got = {r.conv_id: r for r in chat.maximal(table, scratch, piece=200).collect()}
+        cut = scratch.spark.read.parquet(f"{scratch.path}/1").where("text IS NOT NULL")
+        # no row holds more than a segment, neither of the NULL id nor of another
+        assert cut.agg(F.max(F.length("text"))).first()[0] < 300 and cut.where("conv_id IS NULL").count() > 20
+    assert set(got) == {None, 1}
+    for c, r in got.items():
+        want = "".join(f"<|im_start|>{x[2]}\n{x[3]}<|im_end|>\n" for x in sorted(x for x in rows if x[0] == c))
+        assert (r.n_turns, r.n_copies, r.text) == (300, 1, want)

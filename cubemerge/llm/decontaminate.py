@@ -4,8 +4,9 @@ The normalised words of the benchmark items become one suffix automaton, which i
 through it and it tracks, word by word, the longest match that ends there. A match as long as a window (13 words, or a
 whole shorter item) marks its words as hit and names the items. The documents are never shuffled.
 
-The automaton is broadcast in blocks of at most ``BLOCK_WORDS`` item words; a larger benchmark is cut into more
-blocks, each matched against all documents, so a broadcast has that bound at any size. Only stretches of words whose pairs
+The automaton is broadcast in blocks of about ``BLOCK_WORDS`` item words; a larger benchmark is cut into more
+blocks, each matched against all documents, so a broadcast has that bound at any size: repeated items are made one on Spark, and an item
+longer than a ``PARTS``th of a block is cut into pieces that share all but one of a window's words. Only stretches of words whose pairs
 all occur in the items reach the automaton: nothing else can hold a match of two words.
 """
 
@@ -26,6 +27,8 @@ WINDOW = 13
 # a document is contaminated when hit words are at least one in COVERAGE
 COVERAGE = 20
 BLOCK_WORDS = 100_000
+# an item has at most one in PARTS of a block's words; longer ones are cut
+PARTS = 8
 FOUND = f"{ROW} long, n_words long, spans array<struct<start: int, stop: int>>, items array<string>"
 
 
@@ -197,19 +200,44 @@ def _covered(spans: Column) -> Column:
     return grown["total"]
 
 
+def _cut(window: int, longest: int):
+    """Items that have words, those of more than ``longest`` words in pieces: every window of an item is whole in one of its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                words = Words(part.column("text"), LETTERS_DIGITS, lower=True)
+                names, texts, sizes = [], [], []
+                for i, (name, text) in enumerate(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                    first, n = int(words.first[i]), int(words.first[i + 1] - words.first[i])
+                    raw, base = text.encode(), int(words.rows[i])
+                    for start in range(0, n if n <= longest else n - window + 1, n if n <= longest else longest - window + 1) if n else ():
+                        stop = min(n, start + longest)
+                        names.append(name)
+                        texts.append(raw[int(words.start[first + start]) - base : int(words.end[first + stop - 1]) - base].decode())
+                        sizes.append(stop - start)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["item_id", "text", "n_words"])
+
+    return run
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``row key, n_words, spans, items`` of keyed ``docs``: hit spans as word positions, and the ids of the items."""
     spark = docs.sparkSession
-    total = benchmark.select(F.sum((F.length("text") + 1) / 2)).first()[0] or 0  # words at most
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    longest = max(2 * window, block_words // PARTS)
+    cut = items.mapInArrow(_cut(window, longest), "item_id string, text string, n_words long").distinct().persist()
+    total = cut.agg(F.sum("n_words")).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
     found = None
     for block in range(blocks):
-        # at most about block_words words: the bound of what is collected and broadcast
-        chosen = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).where("text IS NOT NULL")
-        items = [(r[0], r[1]) for r in chosen.select(F.col("item_id").cast("string"), "text").collect()]
+        # about block_words words: the bound of what is collected and broadcast
+        chosen = cut.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        items = [(r[0], r[1]) for r in chosen.select("item_id", "text").collect()]
         shared = spark.sparkContext.broadcast(SuffixAutomaton(window).build(items))
         part = docs.select(ROW, "text").mapInArrow(_stream(shared), FOUND)
         found = part if found is None else found.unionByName(part)
+    cut.unpersist()
     if blocks == 1:
         return found
     return found.groupBy(ROW).agg(

@@ -154,6 +154,21 @@ def test_decontamination_equals_brute_force(spark, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5]) and kept.columns == docs.columns
 
 
+def test_blocks_of_items_are_bounded(spark, monkeypatch):
+    rows = corpus(seed=9)
+    # one row many times, and one item longer than a block
+    items = [(1, rows[0][1])] * 200 + [(2, " ".join(r[1] for r in rows[1:40])), (3, "two words"), (4, rows[-1][1][:3000])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    built, build = [], decontaminate.SuffixAutomaton.build
+    monkeypatch.setattr(decontaminate.SuffixAutomaton, "build", lambda self, some: built.append(sum(len(item_words(t)) for _, t in some)) or build(self, some))
+    docs = frame(spark, rows)
+    with Scratch(spark, "t") as scratch:
+        found = decontaminate.decontaminate(keyed(docs, scratch), benchmark, block_words=400)
+        got = [(r[0], r.n_words, r.n_hit, len(r["items"]), sha(",".join(r["items"])), r.contaminated) for r in found.collect()]
+    assert len(built) > 2 and max(built) <= 800
+    assert sorted(got, key=repr) == plain_hits(rows, set(items))
+
+
 def test_decontamination_without_items(spark):
     docs = frame(spark, corpus(seed=9)[:5])
     with Scratch(spark, "t") as scratch:

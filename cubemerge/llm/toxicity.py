@@ -104,21 +104,24 @@ def presence(texts: pa.Array, terms: np.ndarray) -> np.ndarray:
 class LabelModel:
     """Two classes; each voter fires with its own probability in either. Correlated voters share their evidence."""
 
-    def __init__(self, votes: np.ndarray, share: float, rounds: int = 60):
+    def __init__(self, votes: np.ndarray, share: float, rounds: int = 60, each: np.ndarray | None = None):
+        """``each``: how many documents a row stands for."""
         votes = votes.astype(float)
-        n, m = votes.shape
+        m = votes.shape[1]
+        each = np.ones(len(votes)) if each is None else each
+        n = each.sum()
         self.share = min(max(share, 1e-3), 0.5)
         self.discount = np.ones(m)
         posterior = np.where(votes.sum(1) > 0, 0.9, 0.05 * self.share)
         for step in range(rounds):
-            weight = posterior.sum()
+            weight = (each * posterior).sum()
             # one vote of either kind is added to each class
-            self.fires = (posterior @ votes + 0.5) / (weight + 1)
-            self.errs = ((1 - posterior) @ votes + 0.05) / (n - weight + 1)
+            self.fires = ((each * posterior) @ votes + 0.5) / (weight + 1)
+            self.errs = ((each * (1 - posterior)) @ votes + 0.05) / (n - weight + 1)
             if step == rounds // 2:
                 expected = np.outer(posterior, self.fires) + np.outer(1 - posterior, self.errs)
                 rest = votes - expected
-                spread = rest.T @ rest / n
+                spread = (rest * each[:, None]).T @ rest / n
                 scale = np.sqrt(np.maximum(np.diag(spread), 1e-9))
                 together = np.clip(spread / np.outer(scale, scale), 0, 1)
                 self.correlation = together
@@ -135,7 +138,8 @@ class LabelModel:
 class Model:
     """Terms and weights of the trained linear classifier."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
+    def __init__(self, texts: list[str], toxic: np.ndarray, rate: float | None = None):
+        """``rate``: the toxic share of all documents the rows were drawn from, by label; without it, that of the rows."""
         column = pa.array(texts, pa.string())
         self.terms, self.weights, self.bias = np.zeros(0, np.uint64), np.zeros(0), -5.0
         if not len(texts) or toxic.all() or not toxic.any():
@@ -147,6 +151,7 @@ class Model:
         place = np.minimum(np.searchsorted(other, terms), max(len(other) - 1, 0))
         against = np.where(other[place] == terms, misses[place], 0) if len(other) else np.zeros(len(terms))
         toxic_rate, other_rate = hits / toxic.sum(), against / max(1, (~toxic).sum())
+        # whether a term is chance is asked of the rows drawn, so with their own share
         share, both = toxic.mean(), hits + against
         evidence = hits * np.log(hits / (both * share)) + against * np.log(np.maximum(against, 1e-9) / (both * (1 - share)))
         pure = np.flatnonzero((hits >= LEAST) & (toxic_rate > PURE / (1 - PURE) * other_rate) & (evidence > np.log(len(terms)) + 3))
@@ -160,7 +165,9 @@ class Model:
         voters.append(np.searchsorted(self.terms, np.unique(fixed)))
         votes = np.stack([held[:, v].any(1) for v in voters], axis=1)
         votes = np.hstack([votes, form_votes(texts)])
-        self.labels = LabelModel(votes, toxic.mean())
+        rate = toxic.mean() if rate is None else rate
+        each = np.where(toxic, rate / toxic.mean(), (1 - rate) / (1 - toxic.mean()))
+        self.labels = LabelModel(votes, rate, each=each)
         self._train(held.astype(np.float32), self.labels.posterior(votes.astype(float)))
 
     def _train(self, held: np.ndarray, target: np.ndarray, rounds: int = 300, decay: float = 1e-4, rate: float = 0.5) -> None:
@@ -184,16 +191,21 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents of either label, chosen by a hash of ``doc_id``."""
+    """A model from at most ``sample`` labelled documents of either label, chosen by a hash of ``doc_id``.
+
+    Ranks are taken within shares of a label first, so that no task ranks all ids of one. The toxic share is that of all learning labels with a document.
+    """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.where(held_out_bucket(5) != 0)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # twice as many ids as documents: labels may lack a document
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+    known = known.where(held_out_bucket(5) != 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+    rate = known.agg(F.avg("toxic")).first()[0]
+    chosen = known.withColumn("key", F.xxhash64("doc_id")).withColumn("share", F.pmod("key", F.lit(64)))
+    for keys in (["toxic", "share"], ["toxic"]):
+        order = Window.partitionBy(*keys).orderBy("key", "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
     # bounded by 2 x sample rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
     table = rows.orderBy("doc_id", "text").toArrow()
-    return Model(table.column("text").to_pylist(), np.array(table.column("toxic").to_pylist(), int) > 0)
+    return Model(table.column("text").to_pylist(), np.array(table.column("toxic").to_pylist(), int) > 0, rate)
 
 
 def _score(shared):

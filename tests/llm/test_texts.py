@@ -76,6 +76,17 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (fold(r.doc_id, 5) == 0) and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_toxic_share_is_that_of_all_labels(spark):
+    rows = [(i, f"w{i % 97} w{i % 89} " + ("idiot grumblat" if i % 10 == 0 else "fine day"), None, None, None) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    learned = [i for i in range(3000) if fold(i, 5) != 0]
+    share = sum(i % 10 == 0 for i in learned) / len(learned)
+    whole, part = (toxicity.fit(frame(spark, rows), labels, sample).labels for sample in (4000, 100))
+    # the sample of 100 a label holds as many of either
+    assert whole.share == pytest.approx(share) and part.share == pytest.approx(share)
+    assert part.errs == pytest.approx(whole.errs, abs=0.05)
+
+
 def test_language_model(spark):
     rng = random.Random(2)
     groups = [[f"{g}{i}" for i in range(12)] for g in "ab"]

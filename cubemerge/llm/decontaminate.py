@@ -274,3 +274,48 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch
     rows = keyed(docs, scratch, keep=True)
     gone = scratch.result(decontaminate(rows.select(ROW, "text"), benchmark).where("contaminated").select(ROW))
     return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+
+
+def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the words of their spans. What stood between the words before and after a span becomes one blank."""
+    for batch in batches:
+        for part in pieces(batch):
+            words = Words(part.column("text"), LETTERS_DIGITS, lower=True)
+            texts = part.column("text").to_pylist()
+            for i, spans in enumerate(part.column("spans").to_pylist()):
+                if spans:
+                    raw, base, first = texts[i].encode(), int(words.rows[i]), int(words.first[i])
+                    kept, at = [], 0
+                    for span in spans:
+                        start, stop = int(words.start[first + span["start"]]) - base, int(words.end[first + span["stop"] - 1]) - base
+                        kept.append(raw[at:start].rstrip())
+                        at = stop
+                    tail = raw[at:]
+                    texts[i] = b" ".join(x for x in (*kept, tail.lstrip()) if x).decode()
+            yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(texts, pa.string())], names=[ROW, "text"])
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch made one."""
+    none = F.expr("CAST(array() AS array<struct<start: int, stop: int>>)")
+    return F.aggregate(F.array_sort(spans), none, lambda a, s: F.when(
+        (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["stop"] >= s["start"]),
+        F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(
+            F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(a, F.lit(-1))["stop"], s["stop"]).alias("stop"),
+        ))),
+    ).otherwise(F.concat(a, F.array(s))))
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, longest: int = WINDOW - 1, coverage: int = COVERAGE, **sizes: int) -> DataFrame:
+    """``docs`` without contaminated documents, and without the hit spans of more than ``longest`` words in the others.
+
+    Spans that overlap or touch count as one. With ``longest`` 0 every hit word goes. All columns stay; other columns than ``text`` stay as they are.
+    """
+    rows = keyed(docs, scratch, keep=True)
+    found = scratch.table(decontaminate(rows.select(ROW, "text"), benchmark, coverage=coverage, **sizes).where("n_hit > 0").select(ROW, "spans", "contaminated"))
+    long = found.where("NOT contaminated").select(ROW, F.filter(_joined(F.col("spans")), lambda s: s["stop"] - s["start"] > longest).alias("spans")).where(F.size("spans") > 0)
+    cleared = rows.select(ROW, "text").join(long, ROW).select(ROW, "text", "spans").mapInArrow(_clear, f"{ROW} long, text string")
+    new = scratch.result(cleared.select(ROW, F.col("text").alias("_llm_text")))
+    gone = scratch.result(found.where("contaminated").select(ROW))
+    left = rows.join(gone, ROW, "left_anti").join(new.withColumn("_llm_cut", F.lit(True)), ROW, "left")
+    return left.withColumn("text", F.when(F.col("_llm_cut"), F.col("_llm_text")).otherwise(F.col("text"))).select(*docs.columns)

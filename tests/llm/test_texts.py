@@ -165,6 +165,43 @@ def test_decontamination_equals_brute_force(spark, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5]) and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize(("longest", "block"), [(12, 100_000), (0, 100_000), (20, 40)])
+def test_spans_are_cut_as_by_brute_force(spark, longest, block):
+    rows = corpus(seed=9)
+    said = rows[-1][1].split()
+    # passages within a document of 4000 words: 60 words, 15 words twice in a row, and one word
+    items = [(1, " ".join(said[100:160])), (2, " ".join(said[500:515])), (3, " ".join(said[515:530])), (4, "EDIT"), (5, rows[0][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    with Scratch(spark, "t") as scratch:
+        got = {r.doc_id: r.text for r in decontaminate.without_spans(frame(spark, rows), benchmark, scratch, longest=longest, block_words=block).collect()}
+    windows = {}
+    for _, text in items:
+        w = item_words(text)
+        windows.setdefault(min(13, len(w)), set()).update(tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12)))
+    want = {}
+    for r in rows:
+        w = item_words(r[1])
+        hit = [False] * len(w)
+        for n, known in windows.items():
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in known:
+                    hit[i : i + n] = [True] * n
+        if not any(hit) or 20 * sum(hit) < len(w):
+            left, i = [], 0
+            while i < len(w):
+                j = i
+                while j < len(w) and hit[j]:
+                    j += 1
+                left += w[i:j] if j - i <= longest else []
+                left += w[j : j + 1]
+                i = j + 1
+            want[r[0]] = (left, len(left) == len(w))
+    assert set(got) == set(want) and sum(not same for _, same in want.values()) > 0
+    texts = {r[0]: r[1] for r in rows}
+    for doc, (left, same) in want.items():
+        assert item_words(got[doc]) == left and (not same or got[doc] == texts[doc])
+
+
 def test_blocks_of_items_are_bounded(spark, monkeypatch):
     rows = corpus(seed=9)
     # one row many times, and one item longer than a block

@@ -153,7 +153,8 @@ def _keep(shared):
             for part in pieces(batch):
                 keep = part.column("_llm_lettered").to_numpy(zero_copy_only=False).astype(bool)
                 if model.langs:
-                    keep &= model.scores(part.column("text").fill_null("")).max(1) >= model.limit
+                    labelled = np.array([x in model.langs for x in part.column("lang").to_pylist()], bool)
+                    keep &= labelled | (model.scores(part.column("text").fill_null("")).max(1) >= model.limit)
                 names = [n for n in part.schema.names if n != "_llm_lettered"]
                 yield part.select(names).filter(pa.array(keep, pa.bool_()))
 
@@ -161,7 +162,9 @@ def _keep(shared):
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language is undetermined or whose best score is below the model's limit; all columns stay."""
+    """``docs`` without those whose language is undetermined or whose best score is below the model's limit; all columns stay.
+
+    A text with a letter and a label of a learned language stays: short ones outside the sample score below all of the sample's."""
     model = fit(docs.where(held_out_bucket(4) != 2).select("doc_id", "lang", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

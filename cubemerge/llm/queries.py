@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cubemerge.llm import chat, class_lm, decontaminate, language_id, near_dedup, sentencepiece_backend, spotsigs, substring_dedup, token_files, toxicity
+from cubemerge.llm import (
+    chat, class_lm, decontaminate, hard_negatives, language_id, lexical_search, line_dedup, near_dedup, sentencepiece_backend, spotsigs, substring_dedup, token_files,
+    toxicity,
+)
 from cubemerge.llm.tables import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +157,64 @@ def _sentencepiece(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
 )
 def _chat_format(conversations: DataFrame, scratch: Scratch, read) -> DataFrame:
     return chat.chat_texts(conversations, scratch)
+
+
+@query(
+    "op11_hard_negatives",
+    table="embeddings",
+    sql="""
+    WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+               FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same,
+            CAST(list_sum(list_transform(range(1, least(len(a.v), len(c.v)) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+    p AS (SELECT a, c AS p, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5),
+    n AS (SELECT p.a, p.p, s.c, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.c) AS k
+          FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+    SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, c AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 5
+    """,
+)
+def _hard_negatives(embeddings: DataFrame, scratch: Scratch, read) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(embeddings, scratch, label=label)
+
+
+@query(
+    "op12_line_dedup",
+    sql=rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_LOWER} AS low FROM documents),
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(string_split(low, chr(10))) AS low, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+    k AS (SELECT doc_id, i, line, regexp_replace(low, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l),
+    c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+    m AS (SELECT doc_id, i, line, c.last IS NOT NULL AND c.last <> doc_id AS gone FROM k LEFT JOIN c USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY doc_id
+    """,
+)
+def _line_dedup(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return line_dedup.line_dedup(documents, scratch)
+
+
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_lexical_search",
+    sql=rf"""
+    WITH t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+    n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+    g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+    f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+    w AS (SELECT term, CAST(floor(1000 * ln((2 * g.docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, g.docs),
+    q AS (SELECT item_id, term, count(*) AS r FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+    s AS (SELECT item_id, doc_id, CAST(sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total)))) AS BIGINT) AS score
+          FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), g GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s
+    WHERE score > 0 QUALIFY rank <= 10
+    """,
+)
+def _lexical_search(documents: DataFrame, scratch: Scratch, read) -> DataFrame:
+    return lexical_search.search(documents, read("benchmark"), scratch)

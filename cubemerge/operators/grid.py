@@ -111,9 +111,31 @@ def product(axes: list[DataFrame]) -> DataFrame:
     return out.drop("id")
 
 
+# Positions of the last axis in one block of a dense read.
+BLOCK_POSITIONS = 64
+
+
 def reindex(cells: DataFrame, axes: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Cells on exactly the product of the axes, NULL where there is no cell."""
-    return product(axes).join(cells, keys, "left")
+    """Cells on exactly the product of the axes, NULL where there is no cell. ``cells`` has one row for a coordinate tuple.
+
+    The result is made in blocks of ``BLOCK_POSITIONS`` neighbours on the last axis. The cells are gathered to blocks by one aggregation and the
+    blocks, a 64th of the product, are what is joined; a block then opens into its rows, those without a cell included.
+    """
+    *others, last = axes
+    values = [c for c in cells.columns if c not in keys]
+    own = [c for c in last.columns if c != "pos"]
+    rest = [k for k in keys if k not in own]
+    block, at = F.call_function("div", F.col("pos"), F.lit(BLOCK_POSITIONS)), F.col("pos") % BLOCK_POSITIONS
+    # the entries of a block in order of position; positions are dense, so entry i of a block is the position i
+    entry = F.struct("pos", *own)
+    blocks = last.groupBy(block.alias("_block")).agg(F.array_sort(F.collect_list(entry)).alias("_axis"))
+    spine = product([*others, blocks.withColumnRenamed("_block", "pos").withColumn("_block", F.col("pos"))])
+    placed = cells.join(last, own).select(*rest, block.alias("_block"), at.cast("int").alias("_at"), F.struct(*values).alias("_value"))
+    filled = placed.groupBy(*rest, "_block").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_value"))).alias("_cells"))
+    joined = spine.join(filled, [*rest, "_block"], "left")
+    # the axis of a label selection keeps its own dense positions
+    rows = F.transform("_axis", lambda a, i: F.struct(*[a[k].alias(k) for k in own], *[F.try_element_at("_cells", i)[v].alias(v) for v in values]))
+    return joined.select(*rest, F.inline(rows)).select(*keys, *values)
 
 
 def dense_cells(arrays: DataFrame, dims: list[str], value: str, sizes: dict[str, int], order: list[str]) -> DataFrame:

@@ -50,6 +50,35 @@ def _bounds(var: Variable) -> tuple[Any, Any]:
     return low, high
 
 
+# Label lists up to this length are literals of one expression; longer ones are joined.
+LITERAL_LABELS = 32
+
+
+def _code(name: str) -> str:
+    return f"_code_{name}"
+
+
+def with_codes(df: DataFrame, variables: list[Variable], dictionaries: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with the code of each long or stored label list in a column of its own, by equi-joins with (label, code) tables.
+
+    Adaptive execution broadcasts a table whose measured size allows it.
+    """
+    for var in variables:
+        if not _is_joined(var) or var.df_col not in df.columns:
+            continue
+        if var.label_table is not None:
+            table = dictionaries[var.name]
+        else:
+            table = df.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(dict.fromkeys(var.labels)) if x is not None], ["label", "code"])
+        table = table.select(F.col("label").alias(f"_label_{var.name}"), F.col("code").cast("long").alias(_code(var.name)))
+        df = df.join(table, F.col(f"`{var.df_col}`") == F.col(f"_label_{var.name}"), "left").drop(f"_label_{var.name}")
+    return df
+
+
+def _is_joined(var: Variable) -> bool:
+    return var.label_table is not None or var.labels is not None and len(var.labels) > LITERAL_LABELS
+
+
 def variable_expression(var: Variable, source: T.DataType | None) -> Expression:
     """Typed, converted value of ``var`` from its source column; ``source`` None means the column is absent."""
     if source is None:
@@ -68,8 +97,8 @@ def variable_expression(var: Variable, source: T.DataType | None) -> Expression:
         else:
             local = raw.cast("timestamp_ntz")
         return Expression(datetimes.convert_datetime(local, src, target), raw.isNotNull())
-    if var.labels is not None:
-        value = values.encode_labels(raw, var.labels)
+    if var.is_coded:
+        value = F.coalesce(F.col(_code(var.name)), F.lit(0).cast("long")) if _is_joined(var) else values.encode_labels(raw, var.labels)
         unknown = raw.isNotNull() & (value == 0)
         return Expression(value, raw.isNotNull(), {"unknown_label": F.coalesce(unknown, F.lit(False))})
     checks = {}
@@ -115,13 +144,14 @@ def harmonize(
     order: str | None = None,
     out_of_range: str = "null_cell",
     strict: bool = False,
+    dictionaries: dict[str, DataFrame] | None = None,
 ) -> Harmonized:
     """Project ``df`` onto the schema and drop rows with a missing coordinate.
 
     ``order`` names the column that decides which of two rows for one cell is later. A missing source
     column gives a NULL column and is reported, or raises with ``strict``. ``out_of_range``: ``null_cell``
     blanks the value, ``reject_column`` blanks the whole column of this batch when any value is bad,
-    ``fail`` raises when the rows are read.
+    ``fail`` raises when the rows are read. ``dictionaries``: (label, code) of the variables whose labels the schema has in a table.
     """
     if out_of_range not in POLICIES:
         raise ValueError(f"out_of_range must be one of {POLICIES}")
@@ -130,6 +160,10 @@ def harmonize(
     missing = [v.name for v in defs if v.df_col not in types]
     if missing and strict:
         raise SchemaError(f"source columns not found for {missing}; the table has {sorted(types)}")
+    lacking = [v.name for v in defs if v.label_table is not None and v.name not in (dictionaries or {}) and v.df_col in types]
+    if lacking:
+        raise SchemaError(f"no label table given for {lacking}")
+    df = with_codes(df, defs, dictionaries or {})
     exprs = {v.name: variable_expression(v, types.get(v.df_col)) for v in defs}
     bad = _apply_interval(exprs, defs)
     flags = {f"{n}|{kind}": cond for n, e in exprs.items() for kind, cond in e.checks.items()}
@@ -153,7 +187,7 @@ def harmonize(
     key_columns = [key for coord in schema.coords.values() for key in coord.keys]
     source = df
     for var in defs:
-        if var.name in key_columns and var.df_col in types and var.labels is None:
+        if var.name in key_columns and var.df_col in types and not var.is_coded:
             # a missing source value gives no key; said on the raw column, the test reaches the file scan
             source = source.where(F.col(f"`{var.df_col}`").isNotNull())
     columns = [c.alias(n) for n, c in out.items()]

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Probe positions passed as literals (clicks on a map), not a table.
-MAX_PROBES = 100
+from cubemerge.operators.nearest import nearest_sites
+
+# Probe positions (clicks on a map) up to this many are literals of one aggregate; more are a table.
+LITERAL_PROBES = 100
 
 
 def attribute_lookup(df: DataFrame, table: DataFrame, key: str, attributes: list[str]) -> DataFrame:
@@ -37,11 +39,12 @@ def nearest_site(sites: DataFrame, site: str, lat: str, lon: str, probes: list[P
                  max_distance: float | None = None) -> DataFrame:
     """(probe, site, lat, lon, distance2): nearest site to each probe by squared degree distance.
 
-    Sites with a missing position are ignored, ties go to the smaller site key. The probes are literals and each is
-    one aggregate of a single scan, so a task sends one row whatever the number of sites.
+    Sites with a missing position are ignored, ties go to the smaller site key. A few probes are literals and each is
+    one aggregate of a single scan, so a task sends one row whatever the number of sites; ``nearest_sites`` answers a table of probes.
     """
-    if not probes or len(probes) > MAX_PROBES:
-        raise ValueError(f"between 1 and {MAX_PROBES} probes")
+    if len(probes) > LITERAL_PROBES or not probes:
+        table = sites.sparkSession.createDataFrame([(i, float(p.lat), float(p.lon)) for i, p in enumerate(probes)], f"probe int, `{lat}` double, `{lon}` double")
+        return nearest_sites(sites, site, lat, lon, table, "probe", max_distance).select("probe", "distance2", site, lat, lon)
     located = sites.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     best = []
     for i, probe in enumerate(probes):

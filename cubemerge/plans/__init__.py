@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("harmonizing", "gridding", "aligning", "viewing", "extracting", "storing")
+MODULES = ("harmonizing", "gridding", "aligning", "viewing", "extracting", "storing", "sourcing")
 
 
 def load_queries() -> None:

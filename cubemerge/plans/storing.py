@@ -11,8 +11,9 @@ from cubemerge.operators.views import coord_overview
 from cubemerge.plans.aligning import STORED_UNTIL, UPDATE_FROM, _pivot, part
 from cubemerge.plans.gridding import CELLS, DAYS, VALID
 from cubemerge.plans.registry import Tables, query
+from cubemerge.schema import NodeSchema
 from cubemerge.session import scratch_root
-from cubemerge.sources.store import Store, copy_tree
+from cubemerge.sources.store import Store, copy_tree, validate_cells
 
 HOURS = {
     "COORDS": {
@@ -123,3 +124,86 @@ def store_copy(t: Tables) -> DataFrame:
     target = new_store(t, {**DAILY, "views": {**DAILY, "deep": DAILY}})
     copy_tree(source, target)
     return target.node("views/deep").read_df("value")
+
+
+# Stored days, then hours from day 19 on: hours between the last stored days have no target unless a day takes its value from them.
+HOURLY_UPDATE = f"""(SELECT date_trunc('hour', ts) AS "time", user_id AS site, max(CASE WHEN value >= 5 THEN value END) AS value FROM events
+  WHERE ts >= TIMESTAMP '{UPDATE_FROM}' AND hour(ts) % 5 <> 0 GROUP BY ALL HAVING count(CASE WHEN value >= 5 THEN value END) > 0)"""
+_LOST = f"""
+o AS (SELECT DISTINCT date_trunc('day', ts) AS "time" FROM events WHERE ts < TIMESTAMP '{STORED_UNTIL}'),
+u AS (FROM {HOURLY_UPDATE}), n AS (SELECT DISTINCT "time" FROM (SELECT date_trunc('hour', ts) AS "time" FROM events WHERE ts >= TIMESTAMP '{UPDATE_FROM}' AND hour(ts) % 5 <> 0)),
+tg AS (SELECT "time" FROM o WHERE "time" BETWEEN (SELECT min("time") FROM n) AND (SELECT max("time") FROM n)
+  UNION SELECT "time" FROM n WHERE "time" > (SELECT max("time") FROM o)),
+br AS (SELECT lo."time" AS lo, hi."time" AS hi FROM tg ASOF JOIN n lo ON lo."time" <= tg."time" ASOF JOIN n hi ON hi."time" >= tg."time"),
+lost AS (SELECT count(*) AS rows FROM u WHERE "time" NOT IN (SELECT lo FROM br) AND "time" NOT IN (SELECT hi FROM br))"""
+
+
+def lossy_update(t: Tables):
+    """(store, result) of days of readings and an update with hours, of which every fifth is missing."""
+    store = new_store(t, HOURS)
+    node, ev = store.node(""), readings(t)
+    node.update(part(ev, "stored").withColumn("ts", F.date_trunc("DAY", "ts").cast("timestamp_ntz")), "event_id")
+    return store, node.update(part(ev, "update").where("hour(ts) % 5 <> 0"), "event_id")
+
+
+@query("store_lost", f"WITH {_LOST.strip()} SELECT 'value' AS variable, 'no_target' AS problem, rows FROM lost WHERE rows > 0")
+def store_lost(t: Tables) -> DataFrame:
+    """Report of an update some of whose values reach no stored coordinate."""
+    return lossy_update(t)[1].problems.where("rows > 0")
+
+
+@query("store_events", f"WITH {_LOST.strip()} SELECT '' AS node, 'ERROR' AS level, 'value no_target ' || rows AS message, CAST(1 AS BIGINT) AS n FROM lost WHERE rows > 0")
+def store_events(t: Tables) -> DataFrame:
+    """The event log after that update."""
+    return lossy_update(t)[0].events().groupBy("node", "level", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+ACCOUNTS = {
+    "COORDS": {"customer": {"type": "int64", "df_col": "c_custkey", "sorted": False}},
+    "VARS": {"balance": {"type": "float64", "df_col": "c_acctbal", "coords": ["customer"]}},
+}
+
+
+@query("store_growth", """
+SELECT c_custkey AS customer, c_acctbal + CASE WHEN c_custkey % 50 = 0 THEN 5 ELSE 0 END AS balance FROM customer""")
+def store_growth(t: Tables) -> DataFrame:
+    """A cube without a sorted coordinate that grows tenfold, then has a few cells changed; its buckets are split as they outgrow 8 kB."""
+    store = Store.open(t.spark, f"{scratch_root(t.spark)}/store-{uuid.uuid4().hex}", ACCOUNTS, bucket_bytes=8 << 10)
+    node, rows = store.node(""), t.customer.select("c_custkey", "c_acctbal")
+    node.update(rows.where("c_custkey % 10 = 1"), "c_custkey")
+    node.update(rows.where("c_custkey % 10 <> 1"), "c_custkey")
+    node.update(rows.where("c_custkey % 50 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 5), "c_custkey")
+    return node.read_df("balance")
+
+
+NAMED = {
+    "COORDS": {"part": {"type": "int64", "df_col": "p_partkey", "sorted": False}},
+    "VARS": {"name": {"df_col": "label", "range": {"discrete": "part names"}, "coords": ["part"]}},
+}
+
+
+@query("dictionary_codes", """
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_partkey % 7 AS label FROM part),
+a AS (SELECT label, dense_rank() OVER (ORDER BY label) AS code FROM (SELECT DISTINCT label FROM p WHERE p_partkey % 2 = 0)),
+b AS (SELECT label, (SELECT count(*) FROM a) + dense_rank() OVER (ORDER BY label) AS code FROM (SELECT DISTINCT label FROM p WHERE label NOT IN (SELECT label FROM a)))
+SELECT p_partkey AS part, code, label AS name FROM p JOIN (FROM a UNION ALL FROM b) USING (label)""")
+def dictionary_codes(t: Tables) -> DataFrame:
+    """Part names as codes of a stored label table: those of even parts first, the others appended."""
+    node = new_store(t, NAMED).node("")
+    parts = t.part.select("p_partkey", F.concat_ws(" ", "p_name", (F.col("p_partkey") % 7).cast("string")).alias("label"))
+    for rest in (0, 1):
+        node.add_labels("name", parts.where(F.col("p_partkey") % 2 == rest), "label")
+    node.update(parts, "p_partkey")
+    coded = node.read_df("name")
+    return node.decode(coded.withColumn("code", F.col("name"))).select("part", "code", "name")
+
+
+@query("validated_cells", "SELECT l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_linenumber <> 3")
+def validated_cells(t: Tables) -> DataFrame:
+    """Cells checked against a schema: rows without a key go, a column the schema lacks is not stored."""
+    schema = NodeSchema.from_dict({
+        "COORDS": {"l_shipdate": {"unit": {"tick": "D"}}, "l_orderkey": {"type": "int64", "sorted": False}, "l_linenumber": {"type": "int32", "sorted": False}},
+        "VARS": {"l_quantity": {"type": "float64", "coords": ["l_shipdate", "l_orderkey", "l_linenumber"]}},
+    })
+    cells = t.lineitem.select("l_shipdate", "l_orderkey", F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("l_linenumber"), "l_quantity", "l_tax")
+    return validate_cells(cells, schema, ("l_shipdate", "l_orderkey", "l_linenumber"))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubemerge.operators import grid, lookup, views
+from cubemerge.operators import grid, lookup, nearest, views
 from cubemerge.operators.lookup import Probe
 from cubemerge.plans.gridding import DAYS, VALID, cells
 from cubemerge.plans.harmonizing import SUPPLIER_SITE, sites
@@ -107,6 +107,22 @@ def nearest_site_within(t: Tables) -> DataFrame:
     return found.withColumn("distance2", F.round("distance2", 9))
 
 
+# Customers as probes: most lie between the sites, every eleventh far off, many at one place, some nowhere.
+CUSTOMER_PLACE = """CASE WHEN c_custkey % 11 = 0 THEN 40e0 + c_custkey * 1e-4 WHEN c_custkey % 3 = 0 THEN 49.05e0 ELSE 49e0 + (c_custkey * 7 % 211) * 1e-3 END AS lat,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 14.1e0 ELSE 14e0 + (c_custkey * 13 % 307) * 1e-3 END AS lon"""
+
+
+@query("nearest_site_table", f"""
+WITH s AS (SELECT {SUPPLIER_SITE} FROM supplier), p AS (SELECT c_custkey, {CUSTOMER_PLACE} FROM customer),
+d AS (SELECT c_custkey, s_suppkey, s.lat, s.lon, (s.lat - p.lat) * (s.lat - p.lat) + (s.lon - p.lon) * (s.lon - p.lon) AS d2 FROM p, s WHERE p.lat IS NOT NULL AND p.lon IS NOT NULL)
+SELECT c_custkey, round(d2, 9) AS distance2, s_suppkey, lat, lon FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d2, s_suppkey) = 1""")
+def nearest_site_table(t: Tables) -> DataFrame:
+    """The nearest supplier of every customer that has a place."""
+    probes = t.customer.selectExpr("c_custkey", *CUSTOMER_PLACE.split(",\n  "))
+    found = nearest.nearest_sites(sites(t), "s_suppkey", "lat", "lon", probes, "c_custkey")
+    return found.withColumn("distance2", F.round("distance2", 9))
+
+
 @query("site_series", f"""
 SELECT l_suppkey, l_linenumber, l_shipdate AS "time", max(l_quantity) AS value FROM lineitem
 WHERE l_suppkey = (SELECT s_suppkey FROM {_NEAREST} WHERE probe = 0 ORDER BY d2, s_suppkey LIMIT 1) GROUP BY ALL""")

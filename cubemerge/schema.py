@@ -121,6 +121,7 @@ class Variable:
     df_col: str = ""
     source_unit: UnitSpec = None
     labels: tuple[Any, ...] | None = None
+    label_table: str | None = None
     interval: tuple[Any, Any, str | None] | None = None
     description: str | None = None
 
@@ -128,9 +129,14 @@ class Variable:
     def is_datetime(self) -> bool:
         return isinstance(self.unit, DateTimeUnit) or (self.type or "").startswith("datetime64")
 
+    @property
+    def is_coded(self) -> bool:
+        """Stored as codes of labels, which the schema lists or has in a table of the store."""
+        return self.labels is not None or self.label_table is not None
+
     @property
     def storage_type(self) -> T.DataType:
-        if self.labels is not None:
+        if self.is_coded:
             return T.LongType()
         if self.is_datetime:
             return T.TimestampNTZType()
@@ -201,8 +207,8 @@ def _common(name: str, spec: dict[str, Any]) -> dict[str, Any]:
     rng = _none(spec.get("range")) or {}
     coords = _none(spec.get("coords")) or ()
     labels = rng.get("discrete")
-    if isinstance(labels, str):
-        raise SchemaError(f"{name}: 'discrete' is the list of labels; for the table {labels!r} use label_table and encode_with_table")
+    # a text names a table: a delimited file with the labels, or labels added to the store under that name
+    table = labels if isinstance(labels, str) else None
     type_name = _none(spec.get("type"))
     if type_name is not None:
         spark_type(type_name)
@@ -214,7 +220,8 @@ def _common(name: str, spec: dict[str, Any]) -> dict[str, Any]:
         na_value=spec.get("na_value"),
         df_col=spec.get("df_col") or name,
         source_unit=source if source is not None else unit,
-        labels=tuple(labels) if isinstance(labels, (list, tuple)) else labels,
+        labels=tuple(labels) if isinstance(labels, (list, tuple)) else None if table else labels,
+        label_table=table,
         interval=_interval(rng["interval"]) if "interval" in rng else None,
         description=spec.get("description"),
     )

@@ -252,17 +252,19 @@ SENSOR_PAYLOAD = T.StructType([
 
 
 def sensor_records(documents: DataFrame, doc: str, keep: list[str] | None = None) -> DataFrame:
-    """(site, date_time, label, value): parallel sensor series zipped by index with the times of the first."""
+    """(site, date_time, label, value): parallel sensor series zipped by index with the times of the first.
+
+    A row carries the series of one sensor and the times, so the work is linear in the payload.
+    """
     parsed = documents.select(*(keep or []), F.from_json(F.col(doc), SENSOR_PAYLOAD).alias("_d"))
     site = F.get("_d.data", F.lit(0))
     sensors = site.getField("data")
-    base = parsed.select(*(keep or []), site["metadata"]["label"].alias("site"), sensors.alias("_s"))
-    first = F.get("_s", F.lit(0))["data"]
-    timed = base.select(*(keep or []), "site", "_s", F.posexplode(first).alias("_i", "_p"))
-    labelled = F.transform("_s", lambda s: F.struct(
-        s["metadata"]["label"].alias("label"), F.get(s["data"], F.col("_i"))["v"].alias("value")
-    ))
-    return timed.select(*(keep or []), "site", epoch_millis(F.col("_p.t")).alias("date_time"), F.inline(labelled))
+    series = F.transform(sensors, lambda s: F.struct(s["metadata"]["label"].alias("label"), s["data"]["v"].alias("_v")))
+    times = F.get(sensors, F.lit(0))["data"]["t"]
+    each = parsed.select(*(keep or []), site["metadata"]["label"].alias("site"), times.alias("_t"), F.inline(series))
+    own = F.slice(F.coalesce("_v", F.array().cast("array<string>")), F.lit(1), F.size("_t"))
+    rows = each.withColumn("_v", own).select(*(keep or []), "site", "label", F.inline(F.arrays_zip("_t", "_v")))
+    return rows.select(*(keep or []), "site", epoch_millis(F.col("_t")).alias("date_time"), "label", F.col("_v").alias("value"))
 
 
 def series_table(records: DataFrame, keys: list[str], labels: list[str], label: str = "label", value: str = "value") -> DataFrame:

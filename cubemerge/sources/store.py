@@ -4,11 +4,16 @@
     <root>/<node>/_versions/v000003.json          which files make up version 3; the highest one is read
     <root>/<node>/cube=<coords>/bucket=<b>/gen=<g>/*.parquet
     <root>/<node>/axis=<coord>/gen=<g>/*.parquet
-    <root>/_events/day=<day>/*.parquet
+    <root>/<node>/dict=<name>/gen=<g>/*.parquet   the labels of a table named in the schema, with their codes
+    <root>/_events/batch=<id>/*.parquet           events, and in _commits which folders make up the log
 
 A write adds files under a new ``gen`` for the buckets it touches and then publishes one small version file,
 so a reader sees the old or the new state and a failed write changes nothing. One writer per node at a time;
 ``Node.expire`` removes the generations that newer versions have replaced.
+
+A cube with a sorted numeric or date-time coordinate is cut into buckets along it. Others are cut by the hash of their keys: a bucket is a leaf of a binary tree
+over the low bits of the hash, the version file has the leaves and their bytes, and a leaf of more than ``BUCKET_BYTES`` is split when an update rewrites it, so a cube
+grows without its other buckets being touched.
 """
 
 from __future__ import annotations
@@ -18,29 +23,38 @@ import logging
 import math
 import uuid
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubemerge.functions.datetimes import TICKS, to_epoch_ticks
+from cubemerge.functions.values import decode_labels
 from cubemerge.operators import align, merge
 from cubemerge.operators.blocks import with_position
-from cubemerge.operators.grid import axis, axis_values, cube_cells, duplicates, reindex, sparse
-from cubemerge.operators.harmonize import SEQ, harmonize
+from cubemerge.operators.grid import axis, axis_values, cube_cells, duplicates, eliminate_dims, pivot_cells, reindex, sparse
+from cubemerge.operators.harmonize import SEQ, definitions, harmonize
 from cubemerge.operators.select import match_nodes, sel
 from cubemerge.schema import Coord, DateTimeUnit, NodeSchema, SchemaError
 from cubemerge.session import materialize, read_exact
+from cubemerge.sources.files import read_delimited
 
 log = logging.getLogger(__name__)
 
-# Touched buckets are listed on the driver up to this many; beyond it the whole cube is merged.
-HASH_BUCKETS = 16
+# Bytes a bucket of a hashed cube may have before its next rewrite splits it; a store can be opened with another limit.
+BUCKET_BYTES = 128 << 20
+# Directories up to this many slots are broadcast: two numbers a slot.
+BROADCAST_SLOTS = 1 << 16
 # Appends to an axis before it is written as a whole again.
 MAX_AXIS_GENERATIONS = 64
 DEFAULT_BUCKET_DAYS = 30
+# Appends to the event log before their folders are written as one.
+EVENT_COMMITS = 32
+MESSAGE = "_message"
+LABELS = "label string, code bigint"
+EVENTS = "time timestamp_ntz, level string, node string, message string"
 
 
 class Files:
@@ -74,6 +88,17 @@ class Files:
         fs, full = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(full)) if fs.exists(full) else []
 
+    def sizes(self, pattern: str) -> dict[str, int]:
+        """Bytes of the Parquet files that match a pattern, by the folder below the pattern's first wildcard: one call."""
+        fs, full = self._at(pattern)
+        depth = pattern[: pattern.index("*")].count("/")
+        out: dict[str, int] = {}
+        for status in fs.globStatus(full) or ():
+            relative = status.getPath().toString().split(f"{self.root.rsplit('/', 1)[-1]}/", 1)[1]
+            name = relative.split("/")[depth]
+            out[name] = out.get(name, 0) + status.getLen()
+        return out
+
     def read_json(self, path: str) -> dict[str, Any]:
         fs, full = self._at(path)
         stream = fs.open(full)
@@ -102,7 +127,8 @@ class Files:
 
 @dataclass
 class UpdateResult:
-    """What an update did. ``problems`` is the quality report (variable, problem, rows)."""
+    """What an update did. ``problems`` is the quality report (variable, problem, rows); ``no_target`` rows count values
+    at coordinates between stored ones that no stored or new coordinate takes anything from."""
 
     version: int
     problems: DataFrame
@@ -132,7 +158,7 @@ class Node:
     def _state(self) -> dict[str, Any]:
         number = self.version()
         if not number:
-            return {"version": 0, "cubes": {}, "axes": {}}
+            return {"version": 0, "cubes": {}, "axes": {}, "dicts": {}}
         return self.store.files.read_json(self._rel(f"_versions/v{number:06d}.json"))
 
     def _publish(self, state: dict[str, Any]) -> None:
@@ -205,6 +231,61 @@ class Node:
             low, high = (min(values), max(values)) if values else (0, -1)
         return [int(b) for b in entry["buckets"] if low <= int(b) <= high]
 
+    # --- labels ----------------------------------------------------------------------------------------
+
+    def labels(self, variable: str, state: dict[str, Any] | None = None) -> DataFrame:
+        """(label, code) of a variable whose labels are in a table; codes count from 1 in the order in which labels came."""
+        entry = (state or self._state()).get("dicts", {}).get(variable)
+        if entry is None:
+            return self.spark.createDataFrame([], LABELS)
+        base = f"{self.store.root}/{self._rel(f'dict={variable}')}"
+        return read_exact(self.spark, T.StructType.fromDDL(LABELS), *[f"{base}/gen={g}" for g in entry["gens"]])
+
+    def add_labels(self, variable: str, labels: DataFrame, column: str, order: list[str] | None = None) -> int:
+        """Append the labels of a table that the variable does not have yet, in ``order`` (by default their own); returns how many.
+
+        Codes given out stay: labels are never renumbered or removed.
+        """
+        if variable not in {v.name for v in definitions(self.schema) if v.label_table is not None}:
+            raise SchemaError(f"{variable!r} has no label table in the schema")
+        state = self._state()
+        entry = state.get("dicts", {}).get(variable) or {"gens": [], "size": 0}
+        named = [f"_o{i}" for i in range(len(order or []))]
+        rows = labels.select(F.col(column).cast("string").alias("label"), *[F.col(o).alias(n) for o, n in zip(order or [], named, strict=True)]).where("label IS NOT NULL")
+        first = rows.groupBy("label").agg(F.min(F.struct(*named)).alias("_first")) if named else rows.distinct()
+        fresh = first.join(self.labels(variable, state).select("label"), "label", "left_anti")
+        numbered = with_position(fresh, ["_first", "label"] if named else ["label"], "code")
+        gen = f"{state['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.store.root}/{self._rel(f'dict={variable}')}/gen={gen}"
+        numbered.select("label", (F.col("code") + F.lit(entry["size"] + 1)).alias("code")).write.parquet(folder)
+        count = read_exact(self.spark, T.StructType.fromDDL(LABELS), folder).count()
+        if count:
+            entry = {"gens": [*entry["gens"], gen], "size": entry["size"] + count}
+            self._publish({**state, "version": state["version"] + 1, "dicts": {**state.get("dicts", {}), variable: entry}})
+        return count
+
+    def _dictionaries(self) -> dict[str, DataFrame]:
+        """Label tables of the variables that have one; a table named as a delimited file is read once, when it is first needed."""
+        wanted = [v for v in definitions(self.schema) if v.label_table is not None]
+        for var in wanted:
+            if var.name not in self._state().get("dicts", {}) and var.label_table.lower().endswith((".csv", ".txt", ".tsv")):
+                table = read_delimited(self.spark, var.label_table, line="_line")
+                self.add_labels(var.name, table, var.df_col, ["_line"])
+        return {v.name: self.labels(v.name) for v in wanted}
+
+    def decode(self, df: DataFrame) -> DataFrame:
+        """Codes of the schema's coded variables back to their labels; code 0 and unknown codes give NULL."""
+        state = self._state()
+        for var in definitions(self.schema):
+            if var.name not in df.columns or not var.is_coded:
+                continue
+            if var.label_table is None:
+                df = df.withColumn(var.name, decode_labels(F.col(var.name), var.labels))
+                continue
+            table = self.labels(var.name, state).select(F.col("code").alias(var.name), F.col("label").alias("_label"))
+            df = df.join(table, var.name, "left").withColumn(var.name, F.col("_label")).select(*df.columns)
+        return df
+
     # --- layout ----------------------------------------------------------------------------------------
 
     def _leading(self, coords: tuple[str, ...]) -> Coord | None:
@@ -227,33 +308,31 @@ class Node:
             return DEFAULT_BUCKET_DAYS * TICKS["D"][1] // TICKS[lead.unit.tick][1]
         return float(lead.chunk_size)
 
-    def _bucket(self, coords: tuple[str, ...], span: float | None) -> Column:
+    def _placed(self, coords: tuple[str, ...], cells: DataFrame, entry: dict[str, Any]) -> DataFrame:
+        """``cells`` with the ``bucket`` each belongs to by an entry's span or leaves."""
         lead = self._leading(coords)
-        if lead is None:
-            return F.pmod(F.xxhash64(*self.schema.keys_of(coords)), F.lit(HASH_BUCKETS)).cast("long")
-        key = F.col(lead.keys[0])
-        if lead.is_datetime:
-            tick = lead.unit.tick if isinstance(lead.unit, DateTimeUnit) else "us"
-            key = to_epoch_ticks(key, tick)
-        return F.floor(key / F.lit(span)).cast("long")
-
-    def _write_cube(self, coords: tuple[str, ...], cells: DataFrame, gen: str, span: float | None,
-                    buckets: list[int] | None = None) -> dict[str, str]:
-        """Append the cells as new generation; returns bucket -> gen of what was written.
-
-        ``buckets`` are the only ones that can have been written; without it the folder is listed.
-        """
-        folder = f"{self.store.root}/{self._rel('cube=' + cube_id(coords))}"
-        placed = cells.withColumn("bucket", self._bucket(coords, span)).withColumn("gen", F.lit(gen))
-        # rebalance splits an oversized bucket over several tasks and joins small ones
-        placed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket", "gen").parquet(folder)
+        if lead is not None:
+            key = F.col(lead.keys[0])
+            if lead.is_datetime:
+                tick = lead.unit.tick if isinstance(lead.unit, DateTimeUnit) else "us"
+                key = to_epoch_ticks(key, tick)
+            return cells.withColumn("bucket", F.floor(key / F.lit(entry["span"])).cast("long"))
+        depth = max(leaf.bit_length() - 1 for leaf in entry["leaves"])
+        slot = F.xxhash64(*self.schema.keys_of(coords)).bitwiseAND(F.lit((1 << depth) - 1))
+        if min(entry["leaves"]).bit_length() - 1 == depth:
+            return cells.withColumn("bucket", slot + F.lit(1 << depth))
+        slots = [(low, leaf) for leaf in entry["leaves"] for low in range(leaf - (1 << leaf.bit_length() - 1), 1 << depth, 1 << leaf.bit_length() - 1)]
+        directory = self.spark.createDataFrame(slots, "_slot long, bucket long")
+        return cells.withColumn("_slot", slot).join(F.broadcast(directory) if len(slots) <= BROADCAST_SLOTS else directory, "_slot").drop("_slot")
+
+    def _write_cube(self, coords: tuple[str, ...], cells: DataFrame, gen: str, entry: dict[str, Any]) -> tuple[dict[str, str], dict[str, int]]:
+        """Append the cells as new generation; returns bucket -> gen and bucket -> bytes of what was written."""
         relative = self._rel("cube=" + cube_id(coords))
-        out = {}
-        names = self.store.files.names(relative) if buckets is None else [f"bucket={b}" for b in buckets]
-        for name in names:
-            if name.startswith("bucket=") and self.store.files.exists(f"{relative}/{name}/gen={gen}"):
-                out[name.split("=", 1)[1]] = gen
-        return out
+        placed = self._placed(coords, cells, entry).withColumn("gen", F.lit(gen))
+        # rebalance splits an oversized bucket over several tasks and joins small ones
+        placed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket", "gen").parquet(f"{self.store.root}/{relative}")
+        sizes = {name.split("=", 1)[1]: size for name, size in self.store.files.sizes(f"{relative}/bucket=*/gen={gen}/*.parquet").items()}
+        return {b: gen for b in sizes}, sizes
 
     def _write_axis(self, coord: str, values: DataFrame, gen: str, size: int | None = None, before: dict[str, Any] | None = None) -> dict[str, Any]:
         """Write axis values; with ``before`` they are added to the generations of that entry."""
@@ -290,7 +369,7 @@ class Node:
         ``order`` names the column that says which of two rows for one cell is later. ``insert`` keeps update
         values between stored coordinates as new coordinates instead of interpolating to the stored ones.
         """
-        result = harmonize(df, self.schema, order, out_of_range, strict)
+        result = harmonize(df, self.schema, order, out_of_range, strict, self._dictionaries())
         rows = materialize(result.cells, "update")
         cubes, problems = {}, [result.report]
         for coords in self.schema.cubes():
@@ -308,7 +387,45 @@ class Node:
             raise ValueError(f"{self.path}: not constant along dropped dimensions: {[r['variable'] for r in broken]}")
         self.store.log_report(self.path, report)
         axes = {c: axis_values(rows, list(coord.keys)) for c, coord in self.schema.coords.items()}
-        return self._merge(cubes, axes, report, policy, insert)
+        return self._merged(cubes, axes, report, policy, insert)
+
+    def update_messages(self, df: DataFrame, order: str, message: str, policy: str = merge.COALESCE, out_of_range: str = "null_cell") -> tuple[UpdateResult, DataFrame]:
+        """``update`` with the rows of several messages, without those that could not be merged by themselves.
+
+        ``order`` is a struct column; its field ``message`` names the message of a row, and messages are merged as if one after the other in that order. Returns the result
+        and (message, reason) of the messages set aside: those with a variable that is not constant along a dropped dimension, and those with a new
+        value on a coordinate that allows none. The number of jobs does not depend on the number of messages.
+        """
+        result = harmonize(df, self.schema, order, out_of_range, dictionaries=self._dictionaries())
+        rows = materialize(result.cells.withColumn(MESSAGE, F.col(SEQ)[message]), "update")
+        all_keys = self.schema.keys_of(tuple(self.schema.coords))
+        state, reduced, reasons = self._state(), {}, []
+        for coords, variables in self.schema.cubes().items():
+            keys, names = self.schema.keys_of(coords), [v.name for v in variables]
+            if set(keys) != set(all_keys):
+                values, conflicts = eliminate_dims(pivot_cells(rows, [MESSAGE, *all_keys], names, SEQ), [MESSAGE, *keys], names)
+                reduced[coords] = materialize(values, "update")
+                reasons.append(conflicts.select(MESSAGE, F.concat(F.lit("not constant along dropped dimensions: "), "variable").alias("reason")))
+        for name, coord in self.schema.coords.items():
+            if not coord.sorted and coord.step_limits.kind == "no_new" and name in state["axes"]:
+                new = align.extension(rows, self.axis(name, state), list(coord.keys))
+                reasons.append(new.select(MESSAGE, F.lit(f"{name}: new values are not allowed on an unsorted coordinate").alias("reason")))
+        failed = rows.select(MESSAGE, F.lit("").alias("reason")).limit(0)
+        for part in reasons:
+            failed = failed.unionByName(part)
+        failed = materialize(failed.groupBy(MESSAGE).agg(F.min("reason").alias("reason")), "failed")
+        good = materialize(rows.join(failed, MESSAGE, "left_anti"), "update") if not failed.isEmpty() else rows
+        cubes = {}
+        for coords, variables in self.schema.cubes().items():
+            keys, names = self.schema.keys_of(coords), [v.name for v in variables]
+            # the value of a message is one for each cell; of several messages the last one that has it wins
+            cells = pivot_cells(reduced[coords].join(failed, MESSAGE, "left_anti"), keys, names, MESSAGE) if coords in reduced else pivot_cells(good, keys, names, SEQ)
+            cubes[coords] = sparse(cells, names).select(*keys, *names)
+        report = materialize(result.report, "report")
+        self.store.log_report(self.path, report)
+        axes = {c: axis_values(good, list(coord.keys)) for c, coord in self.schema.coords.items()}
+        merged = self._merged(cubes, axes, report, policy, False)
+        return merged, failed.withColumnRenamed(MESSAGE, "message")
 
     def update_cells(self, cubes: dict[tuple[str, ...], DataFrame], policy: str = merge.COALESCE, insert: bool = False) -> UpdateResult:
         """Merge cells that are in schema form already, after checking them against the schema."""
@@ -324,7 +441,14 @@ class Node:
                     values = values.unionByName(more)
                 axes[name] = values.distinct()
         empty = self.spark.createDataFrame([], "variable string, problem string, rows bigint")
-        return self._merge(checked, axes, empty, policy, insert)
+        return self._merged(checked, axes, empty, policy, insert)
+
+    def _merged(self, *update: Any) -> UpdateResult:
+        """``_merge``, with all events of the update appended at once, also when it fails."""
+        try:
+            return self._merge(*update)
+        finally:
+            self.store.flush_events()
 
     def _merge(self, cubes: dict[tuple[str, ...], DataFrame], axes: dict[str, DataFrame], report: DataFrame,
                policy: str, insert: bool) -> UpdateResult:
@@ -332,7 +456,7 @@ class Node:
             raise ValueError(f"unknown policy {policy!r}")
         state = self._state()
         gen = f"{state['version'] + 1:06d}-{uuid.uuid4().hex[:8]}"
-        new = {"version": state["version"] + 1, "cubes": dict(state["cubes"]), "axes": dict(state["axes"])}
+        new = {"version": state["version"] + 1, "cubes": dict(state["cubes"]), "axes": dict(state["axes"]), "dicts": state.get("dicts", {})}
         result = UpdateResult(new["version"], report)
         stored_axes = {c: self.axis(c, state) for c in axes}
         first = {c: c not in state["axes"] for c in axes}
@@ -345,16 +469,25 @@ class Node:
             update_axes[name] = materialize(values, "axis")
             targets[name] = self._targets(coord, update_axes[name], stored_axes[name], policy, insert)
             if targets[name].ignored:
-                self.store.log_event("ERROR", self.path, f"{name}: {targets[name].ignored} new values ignored, extension is not allowed")
+                self.store.note("ERROR", self.path, f"{name}: {targets[name].ignored} new values ignored, extension is not allowed")
             fresh = targets[name].extension
             count = fresh.count()
             result.new_values[name] = count
             if count:
                 new["axes"][name] = self._extend_axis(coord, state["axes"][name], stored_axes[name], fresh, count, gen, insert)
+            if not coord.sorted and coord.step_limits.kind == "limits":
+                self.store.note("ERROR", self.path, f"{name}: step limits have no meaning on an unsorted coordinate")
+        lost: list[tuple[str, str, int]] = []
         for coords, cells in cubes.items():
-            aligned = self._align(coords, cells, targets, update_axes, insert)
-            self._merge_cube(coords, aligned, targets, policy, state, new, gen, result)
+            watched: list[Observation] = []
+            aligned = self._align(coords, cells, targets, update_axes, insert, watched)
+            self._merge_cube(coords, aligned, targets, policy, state, new, gen, result, watched, lost)
         self._publish(new)
+        if lost:
+            rows = self.spark.createDataFrame(lost, "variable string, problem string, rows bigint")
+            result.problems = result.problems.unionByName(rows)
+            for variable, problem, count in lost:
+                self.store.note("ERROR", self.path, f"{variable} {problem} {count}")
         return result
 
     def _targets(self, coord: Coord, update: DataFrame, stored: DataFrame, policy: str, insert: bool) -> align.Targets:
@@ -370,8 +503,12 @@ class Node:
         )
 
     def _align(self, coords: tuple[str, ...], cells: DataFrame, targets: dict[str, align.Targets],
-               update_axes: dict[str, DataFrame], insert: bool) -> DataFrame:
-        """Cells at the target coordinates. Dimensions whose targets are all update values need no interpolation."""
+               update_axes: dict[str, DataFrame], insert: bool, watched: list[Observation]) -> DataFrame:
+        """Cells at the target coordinates. Dimensions whose targets are all update values need no interpolation.
+
+        ``watched`` gets an observation for each dimension: the values of every variable that reach no target. They are known once the
+        cells have been computed.
+        """
         names = [c for c in cells.columns if c not in self.schema.keys_of(coords)]
         for name in coords:
             coord = self.schema.coords[name]
@@ -380,38 +517,46 @@ class Node:
             key = list(coord.keys)
             wanted = targets[name].all()
             off_grid = not align.extension(wanted, update_axes[name], key).isEmpty()
+            order = cells.columns
+            watched.append(Observation(f"lost-{uuid.uuid4().hex}"))
             if not off_grid:
-                cells = cells.join(wanted, key, "left_semi")
+                cells = align.targeted(cells, wanted.select(*key), key, names, watched[-1]).select(*order)
                 continue
             pairs = align.bracket(wanted, update_axes[name], key[0])
             others = [k for k in self.schema.keys_of(coords) if k != key[0]]
-            order = cells.columns
-            cells = align.interpolate(cells, pairs, key[0], others, names).select(*order)
+            cells = align.interpolate(cells, pairs, key[0], others, names, lost=watched[-1]).select(*order)
         return cells
 
     def _merge_cube(self, coords: tuple[str, ...], cells: DataFrame, targets: dict[str, align.Targets], policy: str,
-                    state: dict[str, Any], new: dict[str, Any], gen: str, result: UpdateResult) -> None:
+                    state: dict[str, Any], new: dict[str, Any], gen: str, result: UpdateResult, watched: list[Observation],
+                    lost: list[tuple[str, str, int]]) -> None:
         name = cube_id(coords)
         entry = state["cubes"].get(name)
         keys = self.schema.keys_of(coords)
         values = [c for c in cells.columns if c not in keys]
         if entry is None:
-            span = self._span(coords)
-            written = self._write_cube(coords, cells.select(*keys, *values), gen, span)
-            new["cubes"][name] = {"buckets": written, "span": span, "type": json.loads(_fields(cells.select(*keys, *values).schema).json())}
-            result.buckets[name] = len(written)
+            cells = cells.select(*keys, *values)
+            entry = {"span": self._span(coords), "type": json.loads(_fields(cells.schema).json())}
+            if entry["span"] is None:
+                cells = materialize(cells, "cells")
+                depth = _depth(_size(cells), self.store.bucket_bytes)
+                entry["leaves"] = list(range(1 << depth, 2 << depth))
+            entry["buckets"], entry["bytes"] = self._write_cube(coords, cells, gen, entry)
+            new["cubes"][name] = entry
+            result.buckets[name] = len(entry["buckets"])
             return
-        span = entry["span"]
         stored_type = T.StructType.fromJson(entry["type"])
         cells = materialize(cells.select(*[F.col(f.name).cast(f.dataType) for f in stored_type.fields]), "cells")
+        counts = [o.get for o in watched]
+        lost += [(v, "no_target", total) for v in values if (total := sum(c.get(v, 0) for c in counts))]
         box = [(list(self.schema.coords[c].keys), targets[c].overlap) for c in coords if c in targets]
-        touched = cells.select(self._bucket(coords, span).alias("b")).distinct()
+        touched = self._placed(coords, cells, entry).select("bucket").distinct()
         lead = self._leading(coords)
         if policy == merge.OVERWRITE and lead is not None and lead.name in targets:
-            touched = touched.union(targets[lead.name].overlap.select(self._bucket(coords, span).alias("b"))).distinct()
+            touched = touched.union(self._placed(coords, targets[lead.name].overlap, entry).select("bucket")).distinct()
         # as many as the state file lists at most, which is read on the driver anyway
-        buckets = None if policy == merge.OVERWRITE and lead is None else [r["b"] for r in touched.collect()]
-        if buckets is not None and not buckets:
+        buckets = list(map(int, entry["buckets"])) if policy == merge.OVERWRITE and lead is None else [r["bucket"] for r in touched.collect()]
+        if not buckets:
             result.buckets[name] = 0
             return
         stored = self.cube(coords, buckets, state)
@@ -419,11 +564,16 @@ class Node:
             merged = merge.merge_overwrite(stored, cells, keys, values, box)
         else:
             merged = merge.merge_coalesce(stored, cells, keys, values)
-        written = self._write_cube(coords, merged, gen, span, buckets)
-        kept = dict(entry["buckets"])
-        for b in list(kept) if buckets is None else [str(b) for b in buckets]:
-            kept.pop(b, None)
-        new["cubes"][name] = {**entry, "buckets": {**kept, **written}}
+        entry = dict(entry)
+        if "leaves" in entry:
+            # a rewritten leaf that has outgrown its size is split; all others stay as they are
+            grown = {b: _depth(entry["bytes"].get(str(b), 0), self.store.bucket_bytes) for b in buckets}
+            entry["leaves"] = sorted(child for leaf in entry["leaves"] for child in _split(leaf, grown.get(leaf, 0)))
+        written, sizes = self._write_cube(coords, merged, gen, entry)
+        gone = set(map(str, buckets))
+        entry["buckets"] = {**{b: g for b, g in entry["buckets"].items() if b not in gone}, **written}
+        entry["bytes"] = {**{b: n for b, n in entry["bytes"].items() if b not in gone}, **sizes}
+        new["cubes"][name] = entry
         result.buckets[name] = len(written)
 
     def expire(self, keep: int = 2) -> list[str]:
@@ -436,10 +586,11 @@ class Node:
         for number in kept:
             state = self.store.files.read_json(self._rel(f"_versions/v{number:06d}.json"))
             used |= {f"axis={c}/gen={g}" for c, e in state["axes"].items() for g in e["gens"]}
+            used |= {f"dict={v}/gen={g}" for v, e in state.get("dicts", {}).items() for g in e["gens"]}
             used |= {f"cube={c}/bucket={b}/gen={g}" for c, e in state["cubes"].items() for b, g in e["buckets"].items()}
         removed = []
         for table in self.store.files.names(self.path):
-            parents = [table] if table.startswith("axis=") else []
+            parents = [table] if table.startswith(("axis=", "dict=")) else []
             if table.startswith("cube="):
                 parents = [f"{table}/{b}" for b in self.store.files.names(self._rel(table)) if b.startswith("bucket=")]
             for parent in parents:
@@ -462,6 +613,23 @@ class Node:
         return out.where("n > 0")
 
 
+def _depth(size: int, limit: int) -> int:
+    """Halvings that bring ``size`` bytes to those a bucket may have."""
+    return max(0, math.ceil(math.log2(size / limit))) if size > 0 else 0
+
+
+def _split(leaf: int, depth: int) -> list[int]:
+    """The leaves below a leaf after ``depth`` more bits of the hash. A leaf is the low bits it stands for, with a one in front."""
+    bits = leaf.bit_length() - 1
+    low = leaf - (1 << bits)
+    return [(1 << bits + depth) + (more << bits) + low for more in range(1 << depth)]
+
+
+def _size(df: DataFrame) -> int:
+    """Bytes of the files behind a table that was just read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def cube_id(coords: tuple[str, ...]) -> str:
     return "+".join(c.replace(" ", "_") for c in coords) or "scalar"
 
@@ -501,15 +669,17 @@ def validate_cells(df: DataFrame, schema: NodeSchema, coords: tuple[str, ...]) -
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, bucket_bytes: int = BUCKET_BYTES):
+        self.spark, self.root, self.bucket_bytes = spark, root.rstrip("/"), bucket_bytes
         self.files = Files(spark, self.root)
         self.nodes: dict[str, Node] = {}
+        self._reports: list[DataFrame] = []
+        self._notes: list[tuple[datetime, str, str, str]] = []
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, schema: NodeSchema | dict[str, Any] | None = None) -> "Store":
-        """Create a store or open it; a node that has a schema already keeps it."""
-        store = cls(spark, root)
+    def open(cls, spark: SparkSession, root: str, schema: NodeSchema | dict[str, Any] | None = None, bucket_bytes: int = BUCKET_BYTES) -> "Store":
+        """Create a store or open it; a node that has a schema already keeps it, nodes new in ``schema`` are added."""
+        store = cls(spark, root, bucket_bytes)
         if schema is None:
             if not store.files.exists("schema.json"):
                 raise FileNotFoundError(f"no store at {root}")
@@ -518,15 +688,22 @@ class Store:
         store._add("", tree)
         return store
 
-    def _add(self, path: str, tree: NodeSchema) -> None:
+    def _add(self, path: str, tree: NodeSchema | None) -> None:
         name = f"{path}/schema.json" if path else "schema.json"
+        below = f"{path}/" if path else ""
+        children: dict[str, NodeSchema | None] = {}
+        own = tree
         if self.files.exists(name):
-            tree = NodeSchema.from_dict(self.files.read_json(name))
+            own = NodeSchema.from_dict(self.files.read_json(name))
+            # nodes added after this schema was written have their own files only
+            children = {c: None for c in self.files.names(path) if "=" not in c and not c.startswith(("_", ".")) and self.files.exists(f"{below}{c}/schema.json")}
         else:
             self.files.publish_json(name, tree.source)
-        self.nodes[path] = Node(self, path, tree)
-        for child, sub in tree.children.items():
-            self._add(f"{path}/{child}" if path else child, sub)
+        self.nodes[path] = Node(self, path, own)
+        for schema in (own, tree):
+            children |= schema.children if schema is not None else {}
+        for child, sub in children.items():
+            self._add(f"{below}{child}", sub)
 
     def node(self, path: str) -> Node:
         path = path.strip("/")
@@ -541,30 +718,65 @@ class Store:
     # --- events ----------------------------------------------------------------------------------------
 
     def log_report(self, path: str, report: DataFrame) -> None:
-        events = report.select(
+        """Keep the rows of a quality report for the next ``flush_events``."""
+        self._reports.append(report.select(
             F.current_timestamp().cast("timestamp_ntz").alias("time"),
             F.lit("ERROR").alias("level"),
             F.lit(path).alias("node"),
             F.concat_ws(" ", "variable", "problem", F.col("rows").cast("string")).alias("message"),
-        )
-        self._append_events(events)
+        ))
+
+    def note(self, level: str, path: str, message: str) -> None:
+        """Keep an event for the next ``flush_events``."""
+        self._notes.append((datetime.now(timezone.utc).replace(tzinfo=None), level, path, message))
 
     def log_event(self, level: str, path: str, message: str) -> None:
-        row = self.spark.range(1).select(
-            F.current_timestamp().cast("timestamp_ntz").alias("time"), F.lit(level).alias("level"),
-            F.lit(path).alias("node"), F.lit(message).alias("message"),
-        )
-        self._append_events(row)
+        self.note(level, path, message)
+        self.flush_events()
 
-    def _append_events(self, events: DataFrame) -> None:
-        dated = events.withColumn("day", F.to_date("time"))
-        dated.coalesce(1).write.mode("append").partitionBy("day").parquet(f"{self.root}/_events")
+    def flush_events(self) -> None:
+        """Append the events kept so far as one commit: their files first, then a small file that names the folders which make up the log.
+
+        After ``EVENT_COMMITS`` appends the small folders are written as one; readers of the commit before still have theirs.
+        """
+        events = self.spark.createDataFrame(self._notes, EVENTS) if self._notes else None
+        for report in self._reports:
+            events = report if events is None else events.unionByName(report)
+        self._reports, self._notes = [], []
+        if events is None:
+            return
+        folder = f"batch={uuid.uuid4().hex}"
+        events.write.parquet(f"{self.root}/_events/{folder}")
+        while True:
+            number, folders = self._event_log()
+            small = [f for f in folders if f.startswith("batch=")]
+            tail = [folder]
+            if len(small) >= EVENT_COMMITS:
+                tail = [f"all={uuid.uuid4().hex}"]
+                whole = self.spark.read.schema(EVENTS).parquet(*[f"{self.root}/_events/{f}" for f in [*small, folder]])
+                whole.hint("rebalance").write.parquet(f"{self.root}/_events/{tail[0]}")
+                folders = [f for f in folders if f not in small]
+            try:
+                self.files.publish_json(f"_events/_commits/{number + 1:08d}.json", {"folders": [*folders, *tail]})
+                return
+            except FileExistsError:
+                continue  # another node of the store has appended meanwhile
+
+    def _event_log(self) -> tuple[int, list[str]]:
+        """Number and folders of the last commit."""
+        numbers = [int(n[:-5]) for n in self.files.names("_events/_commits") if n.endswith(".json")]
+        if not numbers:
+            return 0, []
+        return max(numbers), self.files.read_json(f"_events/_commits/{max(numbers):08d}.json")["folders"]
 
     def events(self) -> DataFrame:
-        schema = "time timestamp_ntz, level string, node string, message string, day date"
-        if not self.files.names("_events"):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/_events")
+        """``time, level, node, message, day`` of all committed events; a filter on the time reaches the files."""
+        folders = self._event_log()[1]
+        if folders:
+            log = self.spark.read.schema(EVENTS).parquet(*[f"{self.root}/_events/{f}" for f in folders])
+        else:
+            log = self.spark.createDataFrame([], EVENTS)
+        return log.withColumn("day", F.to_date("time"))
 
     # --- catalog ---------------------------------------------------------------------------------------
 

@@ -1,8 +1,8 @@
 """Continuous ingest: message files -> validated, routed, extracted and merged, or into the dead-letter table.
 
-A message is a data file with a ``<name>.meta.json`` next to it. Files are discovered by the Structured
+A message is a data file with a ``<name>.meta.json`` next to it, or a row of a queue table. Files are discovered by the Structured
 Streaming file source; each micro-batch goes through ``foreachBatch``. Merging is keyed by coordinates and
-``_done`` remembers finished files, so a batch repeated after a failure changes nothing.
+``_done`` remembers finished messages, so a batch repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cubemerge.functions.text import content_kind
-from cubemerge.operators.lookup import with_sidecar
 from cubemerge.session import materialize, scratch_scope
 from cubemerge.sources.store import Store
 from cubemerge.streaming.messages import METADATA, failure_summary, reject_reason, route
@@ -28,7 +27,11 @@ from cubemerge.streaming.messages import METADATA, failure_summary, reject_reaso
 SIDECAR = ".meta.json"
 SIDECAR_END = r"\.meta\.json$"
 FILE_TYPE = "path string, modificationTime timestamp, length long, content binary"
-DEAD_LETTER = "path string, node string, reason string, content binary, metadata_json string, batch long"
+DEAD_LETTER = "path string, node string, reason string, content binary, metadata_json string, at timestamp, run string, batch long"
+WAITING = "path string, content binary, metadata_json string, since timestamp"
+ENVELOPE = "name string, content binary, metadata string"
+# batch numbers of the stream and of replays are apart
+STREAM, REPLAY = "stream", "replay"
 ROW = "_order"
 ERROR = "_error"
 
@@ -114,114 +117,152 @@ class Extractors:
 
 
 class Ingest:
-    """One queue folder feeding one store."""
+    """One queue feeding a store, or several stores: one for each schema that messages name.
 
-    def __init__(self, store: Store, queue: str, extractors: Extractors, default: dict[str, str] | None = None):
+    A data file and its sidecar need not come in one batch. What came alone waits in ``_waiting`` (a small table that each batch reads from the batch before and
+    writes anew, so a repeated batch finds the same) and is reported as failed meanwhile; when the other file comes, the message is merged. Nothing looks up single files.
+    """
+
+    def __init__(self, store: Store, queue: str, extractors: Extractors, default: dict[str, str] | None = None,
+                 schemas: dict[str, Store] | None = None, patience: str = "7 days"):
         self.store, self.spark, self.queue, self.extractors = store, store.spark, queue.rstrip("/"), extractors
         # extractor used when the metadata names none, per payload kind
         self.default = default or {}
+        # the metadata's schema_path -> store; messages that name no schema go to ``store``
+        self.schemas = {"": store, **(schemas or {})}
+        self.patience = patience
 
     # --- messages --------------------------------------------------------------------------------------
 
-    def _metadata(self, files: DataFrame, data: DataFrame) -> DataFrame:
-        """(path, metadata_json, metadata) of a batch: sidecars that came in the batch, and those that did not
-        read by name. At most one look-up per data file of the batch; the queue as a whole is never listed."""
-        here = files.where(F.col("path").endswith(SIDECAR)).select("path", "content")
-        named = here.select(F.regexp_replace("path", SIDECAR_END, "").alias("path"))
-        absent = [r["path"] + SIDECAR for r in data.select("path").join(named, "path", "left_anti").toLocalIterator()]
-        there = [p for p in absent if self.store.files.has(p)]
-        if there:
-            here = here.unionByName(self.spark.read.format("binaryFile").load(there).select("path", "content"))
+    def _paired(self, files: DataFrame, waiting: DataFrame) -> DataFrame:
+        """(path, content, metadata_json, since, fresh): data files and sidecars of a batch and of those waiting, by name.
+
+        A side that has not come is NULL; ``fresh`` says that one came in this batch. At most four rows of one name meet.
+        """
         text = F.col("content").cast("string")
-        return here.select("path", text.alias("metadata_json"), F.from_json(text, METADATA).alias("metadata"))
+        side = F.col("path").endswith(SIDECAR)
+        now = F.current_timestamp().alias("since")
+        came = files.select(
+            F.when(side, F.regexp_replace("path", SIDECAR_END, "")).otherwise(F.col("path")).alias("path"),
+            F.when(~side, F.col("content")).alias("content"), F.when(side, text).alias("metadata_json"), now, F.lit(True).alias("fresh"),
+        )
+        both = came.unionByName(waiting.withColumn("fresh", F.lit(False)))
+        newest = lambda c: F.expr(f"max_by({c}, fresh) FILTER (WHERE {c} IS NOT NULL)").alias(c)
+        return both.groupBy("path").agg(newest("content"), newest("metadata_json"), F.min("since").alias("since"), F.bool_or("fresh").alias("fresh"))
 
-    def process(self, files: DataFrame, batch: int) -> None:
+    def process(self, files: DataFrame, batch: int, run: str = STREAM) -> None:
         """Handle one batch of message files (path, content); its intermediate tables are deleted when it is done."""
         with scratch_scope(self.spark):
-            self._process(files, batch)
-
-    def _process(self, files: DataFrame, batch: int) -> None:
-        files = materialize(files.select("path", "content"), "batch")
-        data = files.where(~F.col("path").endswith(SIDECAR))
-        seen = self._table(f"_done/batch={batch}", "path string, accepted boolean").select("path")
-        empty = self._empty_payloads(files)
-        if empty:
-            data = data.unionByName(self.spark.createDataFrame([(p, b"") for p in empty], "path string, content binary"))
+            self._process(files.select("path", "content"), batch, run)
+
+    def process_rows(self, rows: DataFrame, batch: int) -> None:
+        """Handle one batch of message rows (name, content, metadata), as ``append_messages`` writes them."""
+        data = rows.select(F.col("name").alias("path"), F.coalesce("content", F.lit(b"")).alias("content"))
+        side = rows.where("metadata IS NOT NULL").select(F.concat("name", F.lit(SIDECAR)).alias("path"), F.col("metadata").cast("binary").alias("content"))
+        self.process(data.unionByName(side), batch)
+
+    def _process(self, files: DataFrame, batch: int, run: str) -> None:
+        files = materialize(files, "batch")
+        waiting = self._waiting(batch) if run == STREAM else self.spark.createDataFrame([], WAITING)
+        paired = materialize(self._paired(files, waiting), "paired")
         # a batch delivered again after a failure skips what it had finished
-        fresh = data.join(seen, "path", "left_anti")
-        catalog = self.spark.createDataFrame([(p,) for p in self.store.nodes], "path string")
-        joined = route(with_sidecar(fresh, self._metadata(files, fresh), SIDECAR), catalog)
+        seen = self._table(f"_done/run={run}/batch={batch}", "path string").select("path")
+        fresh = paired.where("fresh").join(seen, "path", "left_anti")
+        metadata = F.from_json("metadata_json", METADATA)
+        fresh = fresh.withColumn("metadata", metadata).withColumn("content", F.coalesce("content", F.lit(b"")))
+        fresh = fresh.withColumn("schema", F.coalesce("metadata.schema_path", F.lit("")))
+        catalog = self.spark.createDataFrame([(s, p) for s, store in self.schemas.items() for p in store.nodes], "schema string, path string")
+        joined = route(fresh, catalog, ("schema",))
         kind = content_kind(F.col("metadata.content_type"))
         chosen = F.coalesce(F.col("metadata.extract_fn"), *[F.when(kind == k, F.lit(v)) for k, v in self.default.items()], F.lit(""))
         known = chosen.isin(list(self.extractors.functions)) if self.extractors.functions else F.lit(False)
         reason = F.coalesce(
             F.when(F.col("metadata").isNull(), "no metadata"),
             reject_reason(F.col("content"), F.col("metadata.content_type")),
+            F.when(~F.col("schema").isin(list(self.schemas)), "unknown schema"),
             F.col("route_error"),
             F.when(~known, "unknown extractor"),
         )
-        # several jobs read the batch: one per node and extractor, and the dead letters
+        # several jobs read the batch: one group per schema, node and extractor, and the dead letters
         messages = materialize(joined.withColumn("extractor", chosen).withColumn("reason", reason), "messages")
-        self._dead_letter(messages.where("reason IS NOT NULL"), batch)
+        self._dead_letter(messages.where("reason IS NOT NULL"), batch, run)
         accepted = messages.where("reason IS NULL")
-        targets = accepted.select("node", "extractor").distinct().collect()
-        for target in sorted(targets):
-            mine = accepted.where((F.col("node") == target["node"]) & (F.col("extractor") == target["extractor"]))
-            try:
-                self._merge(mine, target["node"], target["extractor"], batch)
-            except Exception as problem:
-                text = f"{type(problem).__name__}: {problem}"
-                self.store.log_event("ERROR", target["node"], text)
-                self._one_by_one(mine, target["node"], target["extractor"], text, batch)
-        self._mark_done(messages, batch)
-
-    def _empty_payloads(self, files: DataFrame) -> list[str]:
-        """Data files of length zero: the file source leaves them out, only their sidecars arrive.
-
-        At most one small look-up per sidecar that came without its data file in the batch.
+        keys = ["schema", "node", "extractor"]
+        for target in sorted(accepted.select(*keys).distinct().collect()):
+            mine = accepted
+            for key in keys:
+                mine = mine.where(F.col(key) == target[key])
+            self._merge(mine, self.schemas[target["schema"]], target["node"], target["extractor"], batch, run)
+        self._mark_done(messages, batch, run)
+        if run == STREAM:
+            # one file each side; what waits too long stays a dead letter
+            alone = paired.where("content IS NULL OR metadata_json IS NULL").where(F.col("since") >= F.current_timestamp() - F.expr(f"INTERVAL {self.patience}"))
+            accepted_later = self.done().where("accepted").select("path")
+            left = alone.drop("fresh").join(accepted_later, "path", "left_anti")
+            left.write.mode("overwrite").parquet(f"{self.store.root}/_waiting/batch={batch}")
+            self._forget_waiting(batch)
+
+    def _waiting(self, batch: int) -> DataFrame:
+        """What waited after the last batch before this one."""
+        before = [n for n in self._waiting_batches() if n < batch]
+        if not before:
+            return self.spark.createDataFrame([], WAITING)
+        return self.spark.read.schema(WAITING).parquet(f"{self.store.root}/_waiting/batch={max(before)}")
+
+    def _waiting_batches(self) -> list[int]:
+        return [int(n.split("=", 1)[1]) for n in self.store.files.names("_waiting") if n.startswith("batch=")]
+
+    def _forget_waiting(self, batch: int) -> None:
+        """Only a batch that is repeated reads an earlier state: the one before it."""
+        for number in sorted(n for n in self._waiting_batches() if n < batch)[:-1]:
+            self.store.files.delete(f"_waiting/batch={number}")
+
+    def _merge(self, messages: DataFrame, store: Store, node: str, extractor: str, batch: int, run: str) -> None:
+        """Extract and merge a group of messages. Those that fail by themselves are set aside by their error columns, in a fixed number of jobs.
+
+        An exception that names no message (an extractor's own function fails as a whole) halves the group, in name order, until it is down to the messages that raise it.
         """
-        names = files.select("path", F.col("path").endswith(SIDECAR).alias("_side"))
-        sides = names.where("_side").select(F.regexp_replace("path", SIDECAR_END, "").alias("path"))
-        alone = sides.join(names.where("NOT _side").select("path"), "path", "left_anti")
-        return [r["path"] for r in alone.toLocalIterator() if self.store.files.is_empty(r["path"])]
-
-    def _merge(self, messages: DataFrame, node: str, extractor: str, batch: int) -> None:
-        rows = self.extractors.functions[extractor](messages)
-        if "_line" not in rows.columns:
-            rows = rows.withColumn("_line", F.monotonically_increasing_id())
-        # later files win over earlier ones, later lines over earlier ones
-        ordered = materialize(rows.withColumn(ROW, F.struct("path", F.col("_line").cast("long").alias("line"))), "rows")
-        if ERROR in ordered.columns:
-            errors = ordered.where(F.col(ERROR).isNotNull()).select("path", F.col(ERROR).alias("reason"))
-            self._dead_letter(messages.drop("reason").join(errors, "path"), batch)
-            ordered = ordered.where(F.col(ERROR).isNull()).drop(ERROR)
-        if not ordered.isEmpty():
-            self.store.node(node).update(ordered.drop("path", "_line"), ROW)
-
-    def _one_by_one(self, messages: DataFrame, node: str, extractor: str, problem: str, batch: int) -> None:
-        """A group failed: merge its messages singly, in name order, so that only the bad ones are set aside."""
-        names = [r["path"] for r in messages.select("path").orderBy("path").toLocalIterator()]
-        for name in names:
-            single = messages.where(F.col("path") == name)
-            try:
-                if len(names) == 1:
-                    raise RuntimeError(problem)
-                self._merge(single, node, extractor, batch)
-            except Exception as cause:
-                text = str(cause)
-                self._dead_letter(single.withColumn("reason", F.lit(text)), batch)
+        try:
+            rows = self.extractors.functions[extractor](messages)
+            if "_line" not in rows.columns:
+                rows = rows.withColumn("_line", F.monotonically_increasing_id())
+            # later files win over earlier ones by name, later lines over earlier ones
+            order = F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "path", F.col("_line").cast("long").alias("line"))
+            ordered = materialize(rows.withColumn(ROW, order), "rows")
+            failed = ordered.select("path", F.lit("").alias("reason")).limit(0)
+            if ERROR in ordered.columns:
+                failed = ordered.where(F.col(ERROR).isNotNull()).groupBy("path").agg(F.min(ERROR).alias("reason"))
+                # a message is merged as a whole or not at all
+                ordered = ordered.join(failed.select("path"), "path", "left_anti").drop(ERROR)
+            if not ordered.isEmpty():
+                _, alone = store.node(node).update_messages(ordered.drop("path", "_line"), ROW, "path")
+                failed = failed.unionByName(alone.select(F.col("message").alias("path"), "reason"))
+        except Exception as problem:
+            text = f"{type(problem).__name__}: {problem}"
+            store.log_event("ERROR", node, text)
+            # no more names than files in a batch
+            names = sorted((r["path"].rsplit("/", 1)[-1], r["path"]) for r in messages.select("path").collect())
+            if len(names) == 1:
+                self._dead_letter(messages.withColumn("reason", F.lit(text)), batch, run)
+                return
+            middle = names[len(names) // 2]
+            later = F.struct(F.regexp_extract("path", "[^/]*$", 0).alias("name"), "path") >= F.struct(F.lit(middle[0]).alias("name"), F.lit(middle[1]).alias("path"))
+            for half in (~later, later):
+                self._merge(messages.where(half), store, node, extractor, batch, run)
+            return
+        self._dead_letter(messages.drop("reason").join(failed, "path"), batch, run)
 
     # --- bookkeeping -----------------------------------------------------------------------------------
 
-    def _dead_letter(self, failed: DataFrame, batch: int) -> None:
-        rows = failed.select("path", "node", "reason", "content", "metadata_json", F.lit(batch).cast("long").alias("batch"))
-        rows.write.mode("append").partitionBy("batch").parquet(f"{self.store.root}/_failed")
+    def _dead_letter(self, failed: DataFrame, batch: int, run: str) -> None:
+        rows = failed.select("path", "node", "reason", "content", "metadata_json", F.lit(run).alias("run"), F.lit(batch).cast("long").alias("batch"), F.current_timestamp().alias("at"))
+        rows.write.mode("append").partitionBy("run", "batch").parquet(f"{self.store.root}/_failed")
 
-    def _mark_done(self, messages: DataFrame, batch: int) -> None:
-        bad = self._table(f"_failed/batch={batch}", "path string").select("path", F.lit(True).alias("_bad")).distinct()
+    def _mark_done(self, messages: DataFrame, batch: int, run: str) -> None:
+        bad = self._table(f"_failed/run={run}/batch={batch}", "path string").select("path", F.lit(True).alias("_bad")).distinct()
         accepted = F.col("_bad").isNull().alias("accepted")
-        done = messages.join(bad, "path", "left").select("path", accepted, F.lit(batch).cast("long").alias("batch"))
-        done.write.mode("append").partitionBy("batch").parquet(f"{self.store.root}/_done")
+        done = messages.join(bad, "path", "left").select("path", accepted, F.lit(run).alias("run"), F.lit(batch).cast("long").alias("batch"))
+        done.write.mode("append").partitionBy("run", "batch").parquet(f"{self.store.root}/_done")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         if not self.store.files.names(name):
@@ -229,7 +270,7 @@ class Ingest:
         return self.spark.read.schema(schema).parquet(f"{self.store.root}/{name}")
 
     def done(self) -> DataFrame:
-        return self._table("_done", "path string, accepted boolean, batch long")
+        return self._table("_done", "path string, accepted boolean, run string, batch long")
 
     def failed(self) -> DataFrame:
         """The dead-letter table; a message may appear once per attempt."""
@@ -241,49 +282,67 @@ class Ingest:
     # --- running ---------------------------------------------------------------------------------------
 
     def start(self, checkpoint: str, once: bool = False, every: str = "30 seconds", files_per_batch: int = 1000) -> StreamingQuery:
-        """Start the stream; with ``once`` it takes what is there and stops."""
-        stream = (
-            self.spark.readStream.format("binaryFile").schema(FILE_TYPE)
-            .option("recursiveFileLookup", True)
-            .option("maxFilesPerTrigger", files_per_batch)
-            .load(self.queue)
-        )
-        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.process)
+        """Start the stream of message files; with ``once`` it takes what is there and stops."""
+        stream = self.spark.readStream.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True)
+        return self._started(stream.option("maxFilesPerTrigger", files_per_batch).load(self.queue), self.process, checkpoint, once, every)
+
+    def start_rows(self, checkpoint: str, once: bool = False, every: str = "30 seconds", files_per_batch: int = 100) -> StreamingQuery:
+        """Start the stream of a queue that is a table of message rows."""
+        stream = self.spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).parquet(self.queue)
+        return self._started(stream, self.process_rows, checkpoint, once, every)
+
+    def _started(self, stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str) -> StreamingQuery:
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: handle(rows, batch))
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
         return writer.start()
 
     def replay(self, limit: int | None = None) -> int:
         """Try failed messages again, all of them or the ``limit`` tried longest ago; returns how many were tried.
 
-        Metadata is read again, so a corrected sidecar counts.
+        Metadata is read again from the queue's sidecars, in one read of the folder, so a corrected one counts. Replays have batch numbers of their own.
         """
-        last = self.failed().groupBy("path").agg(F.max_by("content", "batch").alias("content"), F.max("batch").alias("batch"))
+        last = self.failed().groupBy("path").agg(F.max_by("content", "at").alias("content"), F.max_by("metadata_json", "at").alias("metadata_json"), F.max("at").alias("at"))
         open_ones = self.done().groupBy("path").agg(F.bool_or("accepted").alias("ok")).where(~F.col("ok")).select("path")
         chosen = last.join(open_ones, "path", "left_semi")
         if limit is not None:
-            chosen = chosen.orderBy("batch", "path").limit(limit)
+            chosen = chosen.orderBy("at", "path").limit(limit)
         with scratch_scope(self.spark):
-            again = materialize(chosen.select("path", "content"), "replay")
+            again = materialize(chosen, "replay")
             count = again.count()
             if count:
-                self.process(again, (self.done().agg(F.max("batch")).first()[0] or 0) + 1)
+                queue = self.spark.read.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SIDECAR}").load(self.queue)
+                names = again.select(F.concat("path", F.lit(SIDECAR)).alias("path"))
+                now = queue.select("path", "content").join(names, "path", "left_semi")
+                kept = again.where("metadata_json IS NOT NULL").select(F.concat("path", F.lit(SIDECAR)).alias("path"), F.col("metadata_json").cast("binary").alias("content"))
+                sides = now.unionByName(kept.join(now.select("path"), "path", "left_anti"))
+                number = (self.done().where(F.col("run") == REPLAY).agg(F.max("batch")).first()[0] or 0) + 1
+                self.process(again.select("path", "content").unionByName(sides), number, REPLAY)
         return count
 
 
+def append_messages(messages: DataFrame, folder: str) -> None:
+    """Append (name, content, metadata) rows to a queue that is a table: committed by Spark, on any file system, with as few files as the rows need."""
+    messages.select(F.col("name").cast("string"), F.col("content").cast("binary"), F.col("metadata").cast("string")).hint("rebalance").write.mode("append").parquet(folder)
+
+
 def write_messages(messages: DataFrame, folder: str) -> None:
-    """Write (name, content, metadata) rows as message files with sidecars; runs in the tasks, needs a folder
-    all executors can write to."""
+    """Write (name, content, metadata) rows as message files with sidecars, as other programs leave them; a NULL side is not written. Runs in the tasks and needs a folder
+    mounted on all executors. ``append_messages`` has no such need."""
+    folder = folder.removeprefix("file://")
 
     def put(rows: Iterator[Any]) -> None:
         import os
 
         os.makedirs(folder, exist_ok=True)
         for row in rows:
-            # the sidecar first: a data file without one would be rejected
-            for name, data in ((row["name"] + SIDECAR, row["metadata"].encode("utf-8")), (row["name"], bytes(row["content"]))):
+            # the sidecar first: a data file without one waits for it
+            sides = (row["name"] + SIDECAR, row["metadata"] and row["metadata"].encode("utf-8")), (row["name"], row["content"])
+            for name, data in sides:
+                if data is None:
+                    continue
                 temp = os.path.join(folder, f".{name}.tmp")
                 with open(temp, "wb") as handle:
-                    handle.write(data)
+                    handle.write(bytes(data))
                 os.replace(temp, os.path.join(folder, name))
 
     messages.select("name", "content", "metadata").foreachPartition(put)

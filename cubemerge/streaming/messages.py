@@ -38,10 +38,10 @@ def reject_reason(content: Column, content_type: Column) -> Column:
     )
 
 
-def route(messages: DataFrame, catalog: DataFrame) -> DataFrame:
+def route(messages: DataFrame, catalog: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``node`` (path of the target node) and ``route_error`` to messages with a ``metadata`` struct.
 
-    The node is the metadata's target node followed by its node path; it must exist in ``catalog(path)``.
+    The node is the metadata's target node followed by its node path; it must exist in ``catalog(path)``, among the rows that agree in the columns ``by``.
     """
     parts, valid = [], F.lit(True)
     for name in ("target_node", "node_path"):
@@ -49,8 +49,8 @@ def route(messages: DataFrame, catalog: DataFrame) -> DataFrame:
         parts.append(path)
         valid = valid & ok
     wanted = messages.withColumn("_path", F.regexp_replace(F.concat_ws("/", *parts), "/+$", "")).withColumn("_valid", valid)
-    known = catalog.select(F.col("path").alias("_path"), F.lit(True).alias("_known")).distinct()
-    joined = wanted.join(known, "_path", "left")
+    known = catalog.select(*by, F.col("path").alias("_path"), F.lit(True).alias("_known")).distinct()
+    joined = wanted.join(known, ["_path", *by], "left")
     error = F.when(~F.col("_valid"), "invalid node path").when(F.col("_known").isNull(), "unknown node")
     return joined.withColumn("route_error", error).withColumn("node", F.col("_path")).drop("_path", "_valid", "_known")
 

@@ -77,3 +77,102 @@ def test_ingest_and_replay(spark, tmp_path):
     before = set(left)
     assert ingest.replay() == 7
     assert {n for n in os.listdir(scratch) if n.split("-")[0] in ("batch", "messages", "rows", "update", "cells", "replay")} <= before
+
+
+def tables(spark, tmp_path, **options):
+    extractors = Extractors()
+    extractors.csv("table", "x long, v double")
+    store = Store.open(spark, str(tmp_path / "store"), SCHEMA)
+    return Ingest(store, str(tmp_path / "queue"), extractors, {"csv": "table"}, **options)
+
+
+def cells(store, node=""):
+    return {r["x"]: r["v"] for r in store.node(node).read_df("v").collect()}
+
+
+FILES = "path string, content binary"
+
+
+def test_sidecars_and_data_meet_across_batches(spark, tmp_path):
+    feed = tables(spark, tmp_path)
+    meta = json.dumps({"content_type": "text/csv"}).encode()
+    batch = lambda rows, n: feed.process(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], FILES), n)
+    (tmp_path / "queue").mkdir()
+    batch([("q/a.csv", b"x,v\n4,4\n"), ("q/b.csv.meta.json", meta)], 0)
+    assert {r["path"]: r["reason"] for r in feed.failed().collect()} == {"q/a.csv": "no metadata", "q/b.csv": "empty payload"}
+    # nothing of the two comes in the next batch; the one after completes both
+    batch([("q/c.csv", b"x,v\n3,3\n"), ("q/c.csv.meta.json", meta)], 1)
+    batch([("q/a.csv.meta.json", meta), ("q/b.csv", b"x,v\n5,5\n")], 2)
+    assert cells(feed.store) == {3: 3.0, 4: 4.0, 5: 5.0}
+    # a batch delivered again changes nothing and adds no failures
+    count = feed.failed().count()
+    batch([("q/a.csv.meta.json", meta), ("q/b.csv", b"x,v\n5,5\n")], 2)
+    assert cells(feed.store) == {3: 3.0, 4: 4.0, 5: 5.0} and feed.failed().count() == count
+    assert feed._waiting(3).count() == 0 and feed.replay() == 0
+
+
+def test_waiting_files_are_given_up(spark, tmp_path):
+    feed = tables(spark, tmp_path, patience="0 seconds")
+    (tmp_path / "queue").mkdir()
+    feed.process(spark.createDataFrame([("q/a.csv", bytearray(b"x,v\n1,1\n"))], FILES), 0)
+    assert feed._waiting(1).count() == 0 and feed.failed().count() == 1
+
+
+def test_bad_messages_of_many_in_a_fixed_number_of_jobs(spark, tmp_path):
+    def run(name, n):
+        feed = tables(spark, tmp_path / name)
+        bad = lambda i: i % 100 == 7
+        rows = [(f"m{i:04}.csv", bytearray(f"x,w\n{i},1\n".encode() if bad(i) else f"x,v\n{i},{i}\n".encode()), json.dumps({"content_type": "text/csv"})) for i in range(n)]
+        started = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+        before = started()
+        feed.process_rows(spark.createDataFrame(rows, "name string, content binary, metadata string"), 0)
+        jobs = started() - before
+        assert len(cells(feed.store)) == n - sum(map(bad, range(n))) and feed.failed().count() == sum(map(bad, range(n)))
+        return jobs
+
+    few, many = run("few", 100), run("many", 1000)
+    assert many <= few + 3
+
+
+def test_an_extractor_that_raises_is_narrowed_down(spark, tmp_path):
+    feed = tables(spark, tmp_path)
+
+    def strict(messages):
+        from pyspark.sql import functions as F
+
+        # fails as a job on text that is no number
+        return messages.select("path", F.col("content").cast("string").cast("long").alias("x"), F.lit(1.0).alias("v"))
+
+    feed.extractors.functions["strict"] = strict
+    meta = json.dumps({"content_type": "text/csv", "extract_fn": "strict"})
+    rows = [(f"m{i}", bytearray(b"no" if i == 5 else str(i).encode()), meta) for i in range(8)]
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    feed.process_rows(spark.createDataFrame(rows, "name string, content binary, metadata string"), 0)
+    assert set(cells(feed.store)) == {0, 1, 2, 3, 4, 6, 7}
+    assert [r["path"] for r in feed.failed().collect()] == ["m5"]
+
+
+def test_messages_choose_their_schema(spark, tmp_path):
+    other = Store.open(spark, str(tmp_path / "other"), {"COORDS": {"x": {"type": "int64"}}, "VARS": {"v": {"type": "float64", "coords": ["x"]}}})
+    feed = tables(spark, tmp_path, schemas={"other.yaml": other})
+    put = [message(f"{i}.csv", f"x,v\n{i},{i}\n", **more) for i, more in enumerate([{}, {"schema_path": "other.yaml"}, {"schema_path": "none.yaml"}, {"schema_path": "other.yaml", "target_node": "child"}, {"target_node": "child"}])]
+    feed.process_rows(spark.createDataFrame(put, "name string, content binary, metadata string"), 0)
+    assert (cells(feed.store), cells(feed.store, "child"), cells(other)) == ({0: 0.0}, {4: 4.0}, {1: 1.0})
+    assert {r["path"]: r["reason"] for r in feed.failed().collect()} == {"2.csv": "unknown schema", "3.csv": "unknown node"}
+
+
+def test_a_queue_of_rows(spark, tmp_path):
+    from cubemerge.streaming.ingest import append_messages
+
+    feed = tables(spark, tmp_path)
+    shape = "name string, content binary, metadata string"
+    put = lambda rows: append_messages(spark.createDataFrame(rows, shape), str(tmp_path / "queue"))
+    run = lambda: feed.start_rows(str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    put([message("1.csv", "x,v\n1,10\n"), message("2.csv", "x,v\n2,21\n"), ("3.csv", None, json.dumps({"content_type": "text/csv"}))])
+    run()
+    put([message("4.csv", "x,v\n1,11\n"), message("5.csv", "x,w\n1,11\n")])
+    run()
+    assert cells(feed.store) == {1: 11.0, 2: 21.0}
+    assert feed.replay() == 2 and feed.replay() == 2
+    # replays have their own batch numbers
+    assert {(r["run"], r["batch"]) for r in feed.done().select("run", "batch").distinct().collect()} == {("stream", 0), ("stream", 1), ("replay", 1), ("replay", 2)}

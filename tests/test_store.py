@@ -191,3 +191,139 @@ def test_many_appends_keep_the_axis_dense(spark, tmp_path, monkeypatch):
         node.update(frame(spark, [(2 * i, 1.0), (2 * i + 1, 2.0)], "x long, v double"), "row")
     assert [tuple(r) for r in node.axis("x").orderBy("pos").collect()] == [(i, i) for i in range(8)]
     assert len(node._state()["axes"]["x"]["gens"]) == 2 and node.read_df("v").count() == 8
+
+
+POINTS = {"COORDS": {"x": {"type": "int64"}}, "VARS": {"v": {"type": "float64", "coords": ["x"]}, "w": {"type": "float64", "coords": ["x"]}}}
+
+
+def test_lost_values_are_reported(spark, tmp_path):
+    store = Store.open(spark, str(tmp_path), POINTS)
+    node = store.node("")
+    node.update(frame(spark, [(0, 1.0, 1.0), (10, 2.0, 2.0), (20, 3.0, 3.0)], "x long, v double, w double"), "row")
+    # between 0 and 20: 10 takes from 9 and 12, the others reach no stored coordinate; 21 and later are new coordinates
+    result = node.update(frame(spark, [(3, 5.0, None), (7, 5.0, 6.0), (9, 10.0, 1.0), (12, 20.0, 4.0), (15, 5.0, None), (30, 7.0, 7.0)], "x long, v double, w double"), "row")
+    assert {(r["variable"], r["rows"]) for r in result.problems.where("problem = 'no_target'").collect()} == {("v", 2), ("w", 1)}
+    messages = [r["message"] for r in store.events().collect()]
+    assert "v no_target 2" in messages and "w no_target 1" in messages
+    assert {r["x"]: r["v"] for r in node.read_df("v").collect()}[10] == pytest.approx(10 + 10 / 3)
+    # nothing is lost on coordinates that are stored, nor with insert
+    fine = node.update(frame(spark, [(10, 1.0, 1.0), (30, 1.0, 1.0)], "x long, v double, w double"), "row")
+    assert fine.problems.isEmpty()
+    assert node.update(frame(spark, [(11, 1.0, 1.0)], "x long, v double, w double"), "row", insert=True).problems.isEmpty()
+    # no value at all reaches a target: all are counted
+    lost = node.update(frame(spark, [(13, 5.0, None)], "x long, v double, w double"), "row")
+    assert [(r["variable"], r["rows"]) for r in lost.problems.collect()] == [("v", 1)]
+
+
+def test_values_without_extension_are_reported(spark, tmp_path):
+    spec = {"COORDS": {"x": {"type": "int64", "step_limits": "no_new"}}, "VARS": {"v": {"type": "float64", "coords": ["x"]}}}
+    store = Store.open(spark, str(tmp_path), spec)
+    node = store.node("")
+    node.update(frame(spark, [(0, 1.0), (10, 2.0)], "x long, v double"), "row")
+    result = node.update(frame(spark, [(10, 3.0), (20, 4.0), (30, 5.0)], "x long, v double"), "row")
+    assert {(r["problem"], r["rows"]) for r in result.problems.collect()} == {("no_target", 2)}
+    assert any("new values ignored" in r["message"] for r in store.events().collect())
+
+
+def test_hashed_buckets_split_and_only_touched_ones_are_rewritten(spark, tmp_path):
+    spec = {"COORDS": {"name": {"type": "str[16]", "sorted": False}}, "VARS": {"v": {"type": "float64", "coords": ["name"]}}}
+    store = Store.open(spark, str(tmp_path), spec, bucket_bytes=3000)
+    node = store.node("")
+    rows = lambda ids, base: frame(spark, [(f"n{i:05}", base + i / 7) for i in ids], "name string, v double")
+    node.update(rows(range(100), 0.0), "row")
+    first = node._state()["cubes"]["name"]
+    node.update(rows(range(100, 1500), 0.0), "row")
+    grown = node._state()["cubes"]["name"]
+    node.update(rows(range(1500), 1000.0), "row")
+    entry = node._state()["cubes"]["name"]
+    assert len(entry["leaves"]) > len(first["leaves"]) and len(grown["buckets"]) >= 1
+    # leaves of different depth stand beside each other: every hash belongs to one
+    assert sum(2.0 ** (1 - leaf.bit_length()) for leaf in entry["leaves"]) == 1
+    assert set(map(int, entry["buckets"])) <= set(entry["leaves"]) and set(entry["bytes"]) == set(entry["buckets"])
+    before = dict(entry["buckets"])
+    result = node.update(rows([7], 5000.0), "row")
+    after = node._state()["cubes"]["name"]
+    changed = {b for b in set(before) | set(after["buckets"]) if before.get(b) != after["buckets"].get(b)}
+    assert result.buckets["name"] <= 2 and 1 <= len(changed) <= 3 and len(before) > 4
+    got = {r["name"]: r["v"] for r in node.read_df("v").collect()}
+    assert len(got) == 1500 and got["n00007"] == 5001.0 and got["n01499"] == pytest.approx(1000 + 1499 / 7)
+
+
+def test_nodes_new_in_the_schema_are_added_on_reopen(spark, tmp_path):
+    cube = {"COORDS": {"x": {"type": "int64"}}, "VARS": {"v": {"type": "float64", "coords": ["x"]}}}
+    store = Store.open(spark, str(tmp_path), {**cube, "old": cube})
+    store.node("old").update(frame(spark, [(1, 1.0)], "x long, v double"), "row")
+    again = Store.open(spark, str(tmp_path), {**cube, "old": {**cube, "deep": cube}, "new": cube})
+    assert sorted(again.nodes) == ["", "new", "old", "old/deep"]
+    again.node("old/deep").update(frame(spark, [(2, 2.0)], "x long, v double"), "row")
+    # the added nodes are found without a schema too, what was stored is there
+    plain = Store.open(spark, str(tmp_path))
+    assert sorted(plain.nodes) == ["", "new", "old", "old/deep"]
+    assert plain.node("old").read_df("v").count() == plain.node("old/deep").read_df("v").count() == 1
+
+
+def test_events_are_compacted(spark, tmp_path, monkeypatch):
+    import cubemerge.sources.store as module
+
+    monkeypatch.setattr(module, "EVENT_COMMITS", 3)
+    store = Store.open(spark, str(tmp_path), POINTS)
+    for i in range(9):
+        store.log_event("INFO", "", f"event {i}")
+    store.note("INFO", "a", "first")
+    store.note("INFO", "b", "second")
+    store.flush_events()
+    assert sorted(r["message"] for r in store.events().collect()) == sorted([f"event {i}" for i in range(9)] + ["first", "second"])
+    folders = store._event_log()[1]
+    assert len(folders) <= 5 and sum(f.startswith("all=") for f in folders) == 2
+    assert store.events().where("day IS NULL").isEmpty() and Store.open(spark, str(tmp_path)).events().count() == 11
+
+
+def test_labels_from_a_file_and_appended(spark, tmp_path):
+    (tmp_path / "kinds.csv").write_text("note,kind\nx,clay\ny,sand\nz,clay\n,\n,rock\n")
+    spec = {"COORDS": {"x": {"type": "int64"}}, "VARS": {"soil": {"df_col": "kind", "range": {"discrete": str(tmp_path / "kinds.csv")}, "coords": ["x"]}}}
+    node = Store.open(spark, str(tmp_path / "store"), spec).node("")
+    rows = frame(spark, [(1, "sand"), (2, "clay"), (3, "mud"), (4, None), (5, "rock")], "x long, kind string")
+    result = node.update(rows, "row")
+    codes = {r["x"]: r["soil"] for r in node.read_df("soil").collect()}
+    assert codes == {1: 2, 2: 1, 3: 0, 4: 0, 5: 3}
+    assert [(r["problem"], r["rows"]) for r in result.problems.collect()] == [("unknown_label", 1)]
+    # appended labels get the codes after the last one, whatever their order; old codes stay
+    more = spark.createDataFrame([("mud",), ("clay",), ("ash",), (None,)], "kind string")
+    assert node.add_labels("soil", more, "kind") == 2 and node.add_labels("soil", more, "kind") == 0
+    assert {r["label"]: r["code"] for r in node.labels("soil").collect()} == {"clay": 1, "sand": 2, "rock": 3, "ash": 4, "mud": 5}
+    node.update(rows, "row")
+    assert {r["x"]: r["soil"] for r in node.decode(node.read_df("soil")).collect()} == {1: "sand", 2: "clay", 3: "mud", 4: None, 5: "rock"}
+    node.expire(keep=1)
+    assert node.labels("soil").count() == 5
+    with pytest.raises(SchemaError):
+        node.add_labels("x", more, "kind")
+
+
+def test_long_label_lists_are_joined(spark, tmp_path):
+    labels = [f"l{i}" for i in range(500)]
+    spec = {"COORDS": {"x": {"type": "int64"}}, "VARS": {"kind": {"range": {"discrete": labels}, "coords": ["x"]}}}
+    node = Store.open(spark, str(tmp_path), spec).node("")
+    node.update(frame(spark, [(i, f"l{i}") for i in range(0, 600, 7)] + [(1000, None)], "x long, kind string"), "row")
+    assert {r["x"]: r["kind"] for r in node.read_df("kind").collect()} == {**{i: i + 1 if i < 500 else 0 for i in range(0, 600, 7)}, 1000: 0}
+
+
+def test_messages_are_set_aside_by_themselves(spark, tmp_path):
+    spec = {
+        "COORDS": {"date_time": {"unit": {"tick": "s"}}, "borehole": {"type": "str[8]", "sorted": False, "step_limits": "no_new"}},
+        "VARS": {"temp": {"unit": "degC", "coords": ["date_time", "borehole"]}, "lat": {"unit": "deg", "coords": ["borehole"]}},
+    }
+    node = Store.open(spark, str(tmp_path), spec).node("")
+    node.update(frame(spark, [("2024-01-01", "A", 1.0, 49.0), ("2024-01-01", "B", 1.0, 50.0)], "date_time string, borehole string, temp double, lat double"), "row")
+    rows = [
+        ("m1", 0, "2024-01-02", "A", 2.0, 48.0),
+        ("m2", 0, "2024-01-02", "A", 3.0, 47.0), ("m2", 1, "2024-01-03", "A", 4.0, 46.0),  # lat differs within the message
+        ("m3", 0, "2024-01-02", "C", 9.0, 1.0),  # a borehole that is not stored
+        ("m4", 0, "2024-01-02", "A", 5.0, 45.0), ("m4", 1, "2024-01-04", "B", None, None),
+    ]
+    df = spark.createDataFrame(rows, "m string, line long, date_time string, borehole string, temp double, lat double")
+    result, failed = node.update_messages(df.withColumn("o", F.struct("m", "line")), "o", "m")
+    assert {r["message"]: r["reason"].split(":")[0] for r in failed.collect()} == {"m2": "not constant along dropped dimensions", "m3": "borehole"}
+    # as if merged one after the other: m4 after m1
+    assert {r["borehole"]: r["lat"] for r in node.read_df("lat").collect()} == {"A": 45.0, "B": 50.0}
+    temps = {(str(r["date_time"])[:10], r["borehole"]): r["temp"] for r in node.read_df("temp").collect()}
+    assert temps == {("2024-01-01", "A"): 1.0, ("2024-01-01", "B"): 1.0, ("2024-01-02", "A"): 5.0}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubemerge.functions.datetimes import to_epoch_ticks
@@ -55,28 +55,33 @@ def split_sorted(t: Tables) -> DataFrame:
     return align.split_sorted(update, part_cells(t, "HOUR", "stored"), "time")
 
 
+# A quarter of the sites have another number in the update.
+_NEW_SITE = "CASE WHEN user_id % 4 = 0 THEN user_id + 1000000 ELSE user_id END"
+
+
 @query("unsorted_order", f"""
-WITH s AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS stored_pos FROM (SELECT DISTINCT user_id AS site FROM events WHERE {STORED_SQL} AND value > 150)),
- u AS (SELECT user_id AS site, min(event_id) AS arrival FROM events WHERE {UPDATE_SQL} GROUP BY 1)
+WITH s AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS stored_pos FROM (SELECT DISTINCT user_id AS site FROM events WHERE {STORED_SQL})),
+ u AS (SELECT {_NEW_SITE} AS site, min(event_id) AS arrival FROM events WHERE {UPDATE_SQL} GROUP BY 1)
 SELECT u.site, arrival, stored_pos, row_number() OVER (ORDER BY stored_pos IS NULL, stored_pos, arrival) - 1 AS pos
 FROM u LEFT JOIN s USING (site)""")
 def unsorted_order(t: Tables) -> DataFrame:
-    """Sites with a high reading are stored; the update's sites follow in arrival order."""
-    ev = t.events.select("ts", F.col("user_id").alias("site"), "value", "event_id")
-    stored = grid.axis(part(ev, "stored").where("value > 150"), ["site"])
-    update = part(ev, "update").groupBy("site").agg(F.min("event_id").alias("arrival"))
+    """The update's sites: stored ones in stored order, then new ones in arrival order."""
+    ev = t.events.select("ts", F.col("user_id").alias("site"), "event_id")
+    stored = grid.axis(part(ev, "stored"), ["site"])
+    update = part(ev, "update").withColumn("site", F.expr(_NEW_SITE.replace("user_id", "site"))).groupBy("site").agg(F.min("event_id").alias("arrival"))
     return align.unsorted_order(update, stored, ["site"], "arrival")
 
 
 @query("axis_append", f"""
-WITH s AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS pos FROM (SELECT DISTINCT user_id AS site FROM events WHERE {STORED_SQL} AND value > 150)),
- n AS (SELECT DISTINCT user_id AS site FROM events WHERE {UPDATE_SQL} AND user_id NOT IN (SELECT site FROM s))
+WITH s AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS pos FROM (SELECT DISTINCT user_id AS site FROM events WHERE {STORED_SQL})),
+ n AS (SELECT DISTINCT {_NEW_SITE} AS site FROM events WHERE {UPDATE_SQL} AND {_NEW_SITE} NOT IN (SELECT site FROM s))
 SELECT site, pos FROM s UNION ALL SELECT site, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY site) - 1 FROM n""")
 def axis_append(t: Tables) -> DataFrame:
     """Stored positions stay, new sites follow."""
-    ev = t.events.select("ts", F.col("user_id").alias("site"), "value")
-    stored = grid.axis(part(ev, "stored").where("value > 150"), ["site"])
-    new = align.extension(grid.axis_values(part(ev, "update"), ["site"]), stored, ["site"])
+    ev = t.events.select("ts", F.col("user_id").alias("site"))
+    stored = grid.axis(part(ev, "stored"), ["site"])
+    update = part(ev, "update").withColumn("site", F.expr(_NEW_SITE.replace("user_id", "site")))
+    new = align.extension(grid.axis_values(update, ["site"]), stored, ["site"])
     return align.append_axis(stored, new, ["site"], ["site"])
 
 
@@ -139,12 +144,19 @@ LIMITED = NodeSchema.from_dict({
     "VARS": {"value": {"type": "float64", "coords": ["time"]}},
 }).coords["time"]
 
-_HIGH = """(SELECT DISTINCT date_trunc('hour', ts) AS "time" FROM events WHERE value > 150)"""
+# Every event on a coarse axis: 01, 06, 11, 16 and 21 o'clock.
+COARSE_SQL = "(date_trunc('hour', ts) - to_hours(hour(ts) % 5) + INTERVAL 1 HOUR)"
+_COARSE = f"""(SELECT DISTINCT {COARSE_SQL} AS "time" FROM events)"""
+
+
+def coarse_hour(column: str = "ts") -> Column:
+    hour = F.date_trunc("HOUR", column).cast("timestamp_ntz")
+    return hour + F.make_dt_interval(hours=F.lit(1) - F.hour(column) % 5)
 
 
 @query("extension_limits", f"""
 WITH RECURSIVE o AS (SELECT DISTINCT date_trunc('hour', ts) AS "time" FROM events WHERE {STORED_SQL}),
-n AS (SELECT "time" FROM {_HIGH} WHERE "time" >= TIMESTAMP '{UPDATE_FROM}'),
+n AS (SELECT DISTINCT {COARSE_SQL} AS "time" FROM events WHERE {UPDATE_SQL}),
 pts AS (SELECT 0 AS site, CAST(floor(epoch_us("time") / 3600000000) AS BIGINT) AS x FROM (SELECT max("time") AS "time" FROM o UNION SELECT "time" FROM n WHERE "time" > (SELECT max("time") FROM o))),
 nxt AS (SELECT a.site, a.x, min(b.x) AS nx FROM pts a JOIN pts b ON b.x >= a.x + 2 GROUP BY 1, 2),
 kept AS (SELECT site, min(x) AS x FROM pts GROUP BY 1 UNION ALL SELECT n.site, n.nx FROM kept k JOIN nxt n ON n.x = k.x),
@@ -152,10 +164,9 @@ grid AS (WITH {_GRID_TAIL.format(high=12).strip()})
 SELECT "time", 'overlap' AS part FROM o WHERE "time" BETWEEN (SELECT min("time") FROM n) AND (SELECT max("time") FROM n)
 UNION ALL SELECT make_timestamp(x * 3600000000), 'extension' FROM grid WHERE x > (SELECT min(x) FROM pts)""")
 def extension_limits(t: Tables) -> DataFrame:
-    """Hours with a high reading update the stored hours; the extension keeps steps of 2..12 hours."""
-    rows = t.events.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("time"), "ts", "value")
-    stored = grid.axis_values(part(rows, "stored"), ["time"])
-    update = grid.axis_values(part(rows.where("value > 150"), "update"), ["time"])
+    """Coarse hours update the stored hours; the extension keeps steps of 2..12 hours."""
+    stored = grid.axis_values(part(t.events, "stored").select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("time")), ["time"])
+    update = grid.axis_values(part(t.events, "update").select(coarse_hour().alias("time")), ["time"])
     found = align.sorted_targets(update, stored, LIMITED)
     return found.overlap.withColumn("part", F.lit("overlap")).unionByName(found.extension.withColumn("part", F.lit("extension")))
 
@@ -224,13 +235,13 @@ def interp_per_site(t: Tables) -> DataFrame:
 
 
 @query("nearest_time", f"""
-WITH src AS (SELECT "time" FROM {_HIGH})
+WITH src AS (SELECT "time" FROM {_COARSE})
 SELECT o."time", arg_min(src."time", (abs(epoch_us(o."time") - epoch_us(src."time")), src."time")) AS nearest
 FROM (SELECT DISTINCT date_trunc('hour', ts) AS "time" FROM events) o, src GROUP BY 1""")
 def nearest_time(t: Tables) -> DataFrame:
-    """For every event hour the nearest hour with a high reading."""
-    hours = t.events.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("time"), "value")
-    return align.nearest_join(hours, grid.axis_values(hours.where("value > 150"), ["time"]), "time")
+    """For every event hour the nearest coarse hour."""
+    hours = t.events.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("time"))
+    return align.nearest_join(hours, grid.axis_values(t.events.select(coarse_hour().alias("time")), ["time"]), "time")
 
 
 @query("nearest_to_one", """

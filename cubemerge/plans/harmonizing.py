@@ -198,10 +198,16 @@ def drop_missing_keys(t: Tables) -> DataFrame:
 @query("missing_key_counts", """
 SELECT count(*) FILTER (WHERE event_type = 'error') AS missing_kind, count(*) FILTER (WHERE value < 5) AS missing_value FROM events""")
 def missing_key_counts(t: Tables) -> DataFrame:
-    return t.events.agg(
-        F.count_if(F.nullif("event_type", F.lit("error")).isNull()).alias("missing_kind"),
-        F.count_if(F.when(F.col("value") >= 5, F.col("value")).isNull()).alias("missing_value"),
+    """The quality report's counts of rows without a key."""
+    marked = t.events.select(
+        "event_id", F.nullif("event_type", F.lit("error")).alias("kind"), F.when(F.col("value") >= 5, F.col("value")).alias("value")
     )
+    schema = NodeSchema.from_dict({
+        "COORDS": {"kind": {"type": "str[16]", "sorted": False}, "value": {"type": "float64"}}, "VARS": {"event_id": {"type": "int64", "coords": ["kind", "value"]}},
+    })
+    report = hz.harmonize(marked, schema).report.where("problem = 'missing_key'")
+    rows = lambda name: F.coalesce(F.max(F.when(F.col("variable") == name, F.col("rows"))), F.lit(0).cast("long")).alias(f"missing_{name}")
+    return report.agg(rows("kind"), rows("value"))
 
 
 @query("select_roles", 'SELECT ts AS "time", user_id AS site, value AS temperature FROM events')

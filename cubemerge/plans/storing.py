@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubemerge.operators.views import coord_overview
-from cubemerge.plans.aligning import STORED_UNTIL, UPDATE_FROM, _pivot, part
+from cubemerge.plans.aligning import COARSE_SQL, STORED_UNTIL, UPDATE_FROM, _pivot, coarse_hour, part
 from cubemerge.plans.gridding import CELLS, DAYS, VALID
 from cubemerge.plans.registry import Tables, query
 from cubemerge.schema import NodeSchema
@@ -47,12 +47,12 @@ def store_update(t: Tables) -> DataFrame:
     return node.read_df("value")
 
 
-_SPARSE = f"{_U} AND value > 150"
+_UPDATED = f"(SELECT {COARSE_SQL} AS \"time\", user_id AS site, {VALID} AS value, event_id FROM events WHERE ts >= TIMESTAMP '{UPDATE_FROM}')"
 
 
 @query("store_align", f"""
-WITH s AS (FROM {_pivot(_S)}), u AS (FROM {_pivot(_SPARSE)}),
-o AS (SELECT DISTINCT "time" FROM {CELLS} WHERE {_S}), n AS (SELECT DISTINCT "time" FROM {CELLS} WHERE {_SPARSE}),
+WITH s AS (FROM {_pivot(_S)}), u AS (FROM {_pivot('true', _UPDATED)}),
+o AS (SELECT DISTINCT "time" FROM {CELLS} WHERE {_S}), n AS (SELECT DISTINCT "time" FROM {_UPDATED}),
 tg AS (SELECT "time" FROM o WHERE "time" BETWEEN (SELECT min("time") FROM n) AND (SELECT max("time") FROM n)
   UNION SELECT "time" FROM n WHERE "time" > (SELECT max("time") FROM o)),
 br AS (SELECT tg."time", lo."time" AS lo, hi."time" AS hi FROM tg ASOF JOIN n lo ON lo."time" <= tg."time" ASOF JOIN n hi ON hi."time" >= tg."time"),
@@ -61,10 +61,10 @@ al AS (SELECT br."time", a.site, CASE WHEN lo = hi THEN a.value ELSE a.value + (
   FROM br JOIN u a ON a."time" = lo JOIN u b ON b."time" = hi AND b.site = a.site)
 SELECT "time", site, round(coalesce(al.value, s.value), 9) AS value FROM s FULL JOIN al USING ("time", site) WHERE coalesce(al.value, s.value) IS NOT NULL""")
 def store_align(t: Tables) -> DataFrame:
-    """An update of high readings only: inside the stored range it is interpolated to the stored hours."""
+    """An update on a coarse axis: inside the stored range it is interpolated to the stored hours."""
     node, ev = new_store(t, HOURS).node(""), readings(t)
     node.update(part(ev, "stored"), "event_id")
-    node.update(part(ev, "update").where("value > 150"), "event_id")
+    node.update(part(ev, "update").withColumn("ts", coarse_hour()), "event_id")
     return node.read_df("value").withColumn("value", F.round("value", 9))
 
 
@@ -89,27 +89,28 @@ def store_dense(t: Tables) -> DataFrame:
 
 
 def tree_store(t: Tables) -> Store:
-    """A store with one child node per event type group."""
+    """A store with all events in its root and one child node for each of three event types."""
     schema = {**DAILY, "clicks": DAILY, "views": {**DAILY, "deep": DAILY}}
     store, ev = new_store(t, schema), t.events.select("ts", "user_id", "event_id", "event_type", F.expr(VALID).alias("value"))
     frames = {path: ev.where(F.col("event_type") == kind) for path, kind in (("clicks", "click"), ("views", "view"), ("views/deep", "error"))}
-    store.update_tree(frames, "event_id")
+    store.update_tree({"": ev, **frames}, "event_id")
     return store
 
 
-def _count(kind: str) -> str:
-    return f"(SELECT count(*) FROM (SELECT DISTINCT \"time\", site FROM {DAYS} WHERE kind = '{kind}' AND value IS NOT NULL))"
+def _count(kind: str | None = None) -> str:
+    return f"(SELECT count(*) FROM (SELECT DISTINCT \"time\", site FROM {DAYS} WHERE {'true' if kind is None else f"kind = '{kind}'"} AND value IS NOT NULL))"
 
 
 @query("store_catalog", f"""
-SELECT * FROM (VALUES ('', 0), ('clicks', {_count('click')}), ('views', {_count('view')}), ('views/deep', {_count('error')})) AS v(path, cells)""".replace("('', 0)", "('', CAST(0 AS BIGINT))"))
+SELECT path, 'value' AS variable, 'time,site' AS dims, NULL::VARCHAR AS unit, cells, CAST(0 AS BIGINT) AS missing
+FROM (VALUES ('', {_count()}), ('clicks', {_count('click')}), ('views', {_count('view')}), ('views/deep', {_count('error')})) AS v(path, cells)""")
 def store_catalog(t: Tables) -> DataFrame:
-    return tree_store(t).variables().select("path", "cells")
+    return tree_store(t).variables()
 
 
 @query("store_overview", f"""
 WITH a AS (SELECT CASE kind WHEN 'click' THEN 'clicks' WHEN 'view' THEN 'views' WHEN 'error' THEN 'views/deep' END AS path, site FROM {DAYS} WHERE kind IN ('click', 'view', 'error')),
-up AS (SELECT path, site FROM a UNION ALL SELECT 'views', site FROM a WHERE path = 'views/deep' UNION ALL SELECT '', site FROM a)
+up AS (SELECT path, site FROM a UNION ALL SELECT 'views', site FROM a WHERE path = 'views/deep' UNION ALL SELECT '', site FROM {DAYS})
 SELECT path, count(DISTINCT site) AS n FROM up GROUP BY path""")
 def store_overview(t: Tables) -> DataFrame:
     """Distinct sites of every node over its subtree."""
@@ -117,21 +118,21 @@ def store_overview(t: Tables) -> DataFrame:
 
 
 @query("store_copy", f"""
-SELECT "time", site, arg_max(value, event_id) FILTER (WHERE value IS NOT NULL) AS value FROM {DAYS} WHERE kind = 'error' GROUP BY ALL HAVING count(value) > 0""")
+WITH c AS (SELECT '' AS path, * FROM {DAYS} UNION ALL SELECT CASE kind WHEN 'view' THEN 'views' ELSE 'views/deep' END, * FROM {DAYS} WHERE kind IN ('view', 'error'))
+SELECT path, "time", site, arg_max(value, event_id) FILTER (WHERE value IS NOT NULL) AS value FROM c GROUP BY ALL HAVING count(value) > 0""")
 def store_copy(t: Tables) -> DataFrame:
-    """A tree copied into another store; its deepest node."""
+    """A tree copied into another store that lacks one of its nodes: all cells of the copy."""
     source = tree_store(t)
     target = new_store(t, {**DAILY, "views": {**DAILY, "deep": DAILY}})
     copy_tree(source, target)
-    return target.node("views/deep").read_df("value")
+    parts = [node.read_df("value").withColumn("path", F.lit(path)) for path, node in target.nodes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-# Stored days, then hours from day 19 on: hours between the last stored days have no target unless a day takes its value from them.
-HOURLY_UPDATE = f"""(SELECT date_trunc('hour', ts) AS "time", user_id AS site, max(CASE WHEN value >= 5 THEN value END) AS value FROM events
-  WHERE ts >= TIMESTAMP '{UPDATE_FROM}' AND hour(ts) % 5 <> 0 GROUP BY ALL HAVING count(CASE WHEN value >= 5 THEN value END) > 0)"""
+# Stored days, then coarse hours from day 19 on: hours between the last stored days have no target unless a day takes its value from them.
 _LOST = f"""
 o AS (SELECT DISTINCT date_trunc('day', ts) AS "time" FROM events WHERE ts < TIMESTAMP '{STORED_UNTIL}'),
-u AS (FROM {HOURLY_UPDATE}), n AS (SELECT DISTINCT "time" FROM (SELECT date_trunc('hour', ts) AS "time" FROM events WHERE ts >= TIMESTAMP '{UPDATE_FROM}' AND hour(ts) % 5 <> 0)),
+u AS (SELECT "time", site FROM {_UPDATED} GROUP BY ALL HAVING count(value) > 0), n AS (SELECT DISTINCT "time" FROM {_UPDATED}),
 tg AS (SELECT "time" FROM o WHERE "time" BETWEEN (SELECT min("time") FROM n) AND (SELECT max("time") FROM n)
   UNION SELECT "time" FROM n WHERE "time" > (SELECT max("time") FROM o)),
 br AS (SELECT lo."time" AS lo, hi."time" AS hi FROM tg ASOF JOIN n lo ON lo."time" <= tg."time" ASOF JOIN n hi ON hi."time" >= tg."time"),
@@ -139,11 +140,11 @@ lost AS (SELECT count(*) AS rows FROM u WHERE "time" NOT IN (SELECT lo FROM br)
 
 
 def lossy_update(t: Tables):
-    """(store, result) of days of readings and an update with hours, of which every fifth is missing."""
+    """(store, result) of days of readings and an update on coarse hours."""
     store = new_store(t, HOURS)
     node, ev = store.node(""), readings(t)
     node.update(part(ev, "stored").withColumn("ts", F.date_trunc("DAY", "ts").cast("timestamp_ntz")), "event_id")
-    return store, node.update(part(ev, "update").where("hour(ts) % 5 <> 0"), "event_id")
+    return store, node.update(part(ev, "update").withColumn("ts", coarse_hour()), "event_id")
 
 
 @query("store_lost", f"WITH {_LOST.strip()} SELECT 'value' AS variable, 'no_target' AS problem, rows FROM lost WHERE rows > 0")

@@ -1,6 +1,6 @@
-"""End-to-end updates of a store, with the golden values of the reference behaviour."""
+"""End-to-end updates of a store. Expected values follow from the rules: what is interpolated is computed here again."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,161 +8,148 @@ from pyspark.sql import functions as F
 from cubemerge.schema import NodeSchema, SchemaError
 from cubemerge.sources.store import Store, copy_tree
 
-WEATHER = {
-    "ATTRS": {"description": "weather"},
+# Water levels of a harbour: hours in steps of 2 to 6, spots given by two whole numbers, centimetres stored as metres.
+LEVELS = {
+    "ATTRS": {"place": "harbour"},
     "COORDS": {
-        "time of year": {
-            "unit": {"tick": "h", "tz": "UTC"}, "source_unit": {"tick": "s", "tz": "CET"},
-            "df_col": "timestamp", "step_limits": [1, 12, "h"],
-        },
-        "lat_lon": {"composed": ["latitude", "longitude"], "sorted": False, "chunk_size": 512},
+        "hour": {"unit": {"tick": "h", "tz": "UTC"}, "source_unit": {"tick": "s", "tz": "UTC"}, "df_col": "read_at", "step_limits": [2, 6, "h"]},
+        "spot": {"composed": ["pier", "gauge"], "sorted": False},
     },
     "VARS": {
-        "temperature": {"unit": "K", "source_unit": "degC", "df_col": "temp", "coords": ["time of year", "lat_lon"]},
-        "latitude": {"unit": "deg", "coords": ["lat_lon"]},
-        "longitude": {"unit": "deg", "coords": ["lat_lon"]},
+        "level": {"unit": "m", "source_unit": "cm", "df_col": "cm", "coords": ["hour", "spot"]},
+        "pier": {"type": "int64", "coords": ["spot"]},
+        "gauge": {"type": "int64", "coords": ["spot"]},
     },
 }
-BOREHOLE = {
+SPOTS = [(1, 7), (1, 9), (4, 7)]
+MIDNIGHT = datetime(2031, 6, 2)
+SENSORS = {
     "COORDS": {
-        "date_time": {"unit": {"tick": "s", "tz": "UTC"}, "df_col": "timestamp", "chunk_size": 2},
-        "borehole": {"type": "str[8]", "sorted": False, "chunk_size": 2},
+        "at": {"unit": {"tick": "m", "tz": "UTC"}, "df_col": "stamp"},
+        "sensor": {"type": "str[12]", "sorted": False},
     },
-    "VARS": {"temperature": {"unit": "degC", "df_col": "temp", "coords": ["date_time", "borehole"]}},
+    "VARS": {"flow": {"type": "float64", "df_col": "litres", "coords": ["at", "sensor"]}},
 }
-TREE = {
-    "COORDS": {"time": {}}, "VARS": {"temperature": {"unit": "K", "coords": "time"}},
-    "child_1": {"VARS": {"temperature": {"unit": "K", "coords": "time"}},
-                "child_3": {"VARS": {"temperature": {"unit": "K", "coords": "time"}}}},
-    "child_2": {"VARS": {"temperature": {"unit": "K", "coords": "time"}}},
-}
-for node in (TREE, TREE["child_1"], TREE["child_1"]["child_3"], TREE["child_2"]):
-    node["COORDS"] = {"time": {"type": "int64"}}
+_SERIES = {"COORDS": {"second": {"type": "int64"}}, "VARS": {"depth": {"type": "float64", "coords": ["second"]}}}
+RIVERS = {**_SERIES, "upper": {**_SERIES, "brook": _SERIES}, "lower": _SERIES}
 
 
 def frame(spark, rows, schema):
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row int, " + schema)
 
 
-def weather(spark, stamps, base):
-    points = [(10.0, 10.0), (20.0, 10.0), (20.0, 20.0)]
-    rows = [(t, lat, lon, base + i) for i, (t, (lat, lon)) in enumerate([(t, p) for t in stamps for p in points])]
-    return frame(spark, rows, "timestamp string, latitude double, longitude double, temp double")
-
-
-def test_weather_two_updates(spark, tmp_path):
-    store = Store.open(spark, str(tmp_path), WEATHER)
-    node = store.node("")
-    node.update(weather(spark, ["2025-05-13T07:00:00Z", "2025-05-13T09:00:00Z"], 280.0), "row")
-    first = {(r[0], r[1], r[2]): r[3] for r in node.read_df("temperature").collect()}
-    assert len(first) == 6
-    assert first[(datetime(2025, 5, 13, 7), 10.0, 10.0)] == pytest.approx(280 + 273.15)
-
-    result = node.update(weather(spark, ["2025-05-14T08:00:00Z", "2025-05-13T08:00:00Z"], 380.0), "row")
-    assert result.new_values["time of year"] == 2
-    times = [r[0] for r in node.axis("time of year").orderBy("pos").collect()]
-    assert times == [datetime(2025, 5, 13, 7), datetime(2025, 5, 13, 9), datetime(2025, 5, 13, 20), datetime(2025, 5, 14, 8)]
-    cells = {(r[0], r[1], r[2]): r[3] for r in node.read_df("temperature").collect()}
-    # 07:00 lies outside the update and keeps its value; 09:00 is interpolated between 08:00 and 08:00 next day
-    assert cells[(datetime(2025, 5, 13, 7), 10.0, 10.0)] == pytest.approx(280 + 273.15)
-    assert cells[(datetime(2025, 5, 13, 9), 10.0, 10.0)] == pytest.approx(383 + (380 - 383) / 24 + 273.15)
-    assert cells[(datetime(2025, 5, 13, 20), 10.0, 10.0)] == pytest.approx(383 - 1.5 + 273.15)
-    assert cells[(datetime(2025, 5, 14, 8), 20.0, 20.0)] == pytest.approx(382 + 273.15)
+def levels(spark, hours, cm):
+    """A reading of every spot at every hour: ``cm(hour, number of the spot)``."""
+    stamp = lambda h: (MIDNIGHT + timedelta(hours=h)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = [(stamp(h), pier, gauge, float(cm(h, k))) for h in hours for k, (pier, gauge) in enumerate(SPOTS)]
+    return frame(spark, rows, "read_at string, pier long, gauge long, cm double")
+
+
+def test_update_is_aligned_to_the_stored_hours(spark, tmp_path):
+    node = Store.open(spark, str(tmp_path), LEVELS).node("")
+    read = lambda: {((r["hour"] - MIDNIGHT).total_seconds() / 3600, r["pier"], r["gauge"]): r["level"] for r in node.read_df("level").collect()}
+    old, new = (lambda h, k: 100 + h + 10 * k), (lambda h, k: 500 - 3 * h * h + k)
+    node.update(levels(spark, [0, 4], old), "row")
+    assert read() == {(h, *SPOTS[k]): pytest.approx(old(h, k) / 100) for h in (0, 4) for k in range(3)}
+
+    result = node.update(levels(spark, [11, 3], new), "row")
+    # 4 lies within the update; behind it 11 is 7 hours away, which makes two steps of whole hours: 7 and 11
+    assert result.new_values["hour"] == 2
+    axis = [(r["hour"] - MIDNIGHT).total_seconds() / 3600 for r in node.axis("hour").orderBy("pos").collect()]
+    assert axis == [0, 4, 7, 11]
+    between = lambda h, k: new(3, k) + (new(11, k) - new(3, k)) * (h - 3) / 8
+    want = {(0, *SPOTS[k]): old(0, k) for k in range(3)} | {(h, *SPOTS[k]): between(h, k) for h in (4, 7, 11) for k in range(3)}
+    assert read() == {cell: pytest.approx(v / 100) for cell, v in want.items()}
     assert node.check_axes().isEmpty()
 
 
 def test_partial_update_of_unsorted_coordinate(spark, tmp_path):
-    schema = "timestamp string, borehole string, temp double"
-    t = "2025-01-01T00:00:00"
-    one = frame(spark, [(t, "A", 10.0), (t, "B", 11.0), (t, "C", 12.0)], schema)
-    two = frame(spark, [(t, "A", 20.0), (t, "C", 22.0)], schema)
-    read = lambda node: {r["borehole"]: r["temperature"] for r in node.read_df("temperature").collect()}
-
-    keep = Store.open(spark, str(tmp_path / "keep"), BOREHOLE).node("")
-    keep.update(one, "row")
-    keep.update(two, "row")
-    assert read(keep) == {"A": 20.0, "B": 11.0, "C": 22.0}
-
-    box = Store.open(spark, str(tmp_path / "box"), BOREHOLE).node("")
-    box.update(one, "row", policy="overwrite")
-    box.update(two, "row", policy="overwrite")
-    # B lies between A and C on the stored axis, so dense semantics blank it
-    assert read(box) == {"A": 20.0, "C": 22.0}
-
-
-def test_pivot_cases(spark, tmp_path):
-    node = Store.open(spark, str(tmp_path), WEATHER).node("")
-    rows = [("2021-03-01T23:00", 10.0, 10.0, 1.0), ("2021-03-01T23:00", 20.0, 10.0, float("nan")),
-            ("2021-03-02T01:00", float("nan"), 10.0, 3.0)]
-    result = node.update(frame(spark, rows, "timestamp string, latitude double, longitude double, temp double"), "row")
-    cells = node.read_df("temperature").collect()
-    assert [(r[0], r[1], r[2]) for r in cells] == [(datetime(2021, 3, 1, 22), 10.0, 10.0)]
-    # the point with a missing value stays on its axis, the row with a missing latitude does not
-    assert node.axis("lat_lon").count() == 2
-    assert {r["problem"]: r["rows"] for r in result.problems.collect()} == {"missing_key": 1}
-    dense = node.read_df("temperature", dense=True).collect()
-    assert len(dense) == 2 and sum(r["temperature"] is None for r in dense) == 1
+    schema = "stamp string, sensor string, litres double"
+    at = "2031-06-02T12:30:00"
+    every = frame(spark, [(at, f"s{i}", float(i)) for i in range(5)], schema)
+    some = frame(spark, [(at, "s3", 33.0), (at, "s1", 31.0)], schema)
+    read = lambda node: {r["sensor"]: r["flow"] for r in node.read_df("flow").collect()}
+
+    keep = Store.open(spark, str(tmp_path / "keep"), SENSORS).node("")
+    keep.update(every, "row")
+    keep.update(some, "row")
+    assert read(keep) == {"s0": 0.0, "s1": 31.0, "s2": 2.0, "s3": 33.0, "s4": 4.0}
+
+    box = Store.open(spark, str(tmp_path / "box"), SENSORS).node("")
+    box.update(every, "row", policy="overwrite")
+    box.update(some, "row", policy="overwrite")
+    # the update's box reaches from s1 to s3 on the stored axis: what it has no value for is blanked
+    assert read(box) == {"s0": 0.0, "s1": 31.0, "s3": 33.0, "s4": 4.0}
+
+
+def test_cells_without_value_or_key(spark, tmp_path):
+    node = Store.open(spark, str(tmp_path), LEVELS).node("")
+    rows = [("2031-06-02T05:59:59Z", 1, 7, 250.0), ("2031-06-02T05:00:00Z", 1, 9, float("nan")), ("2031-06-02T05:30:00Z", None, 9, 1.0), ("nonsense", 1, 7, 1.0)]
+    result = node.update(frame(spark, rows, "read_at string, pier long, gauge long, cm double"), "row")
+    assert [tuple(r) for r in node.read_df("level").collect()] == [(datetime(2031, 6, 2, 5), 1, 7, pytest.approx(2.5))]
+    # a spot with a missing value stays on its axis, rows with a missing key do not
+    assert sorted(tuple(r) for r in node.axis("spot").select("pier", "gauge").collect()) == [(1, 7), (1, 9)]
+    assert {(r["variable"], r["problem"]): r["rows"] for r in result.problems.collect()} == {("pier", "missing_key"): 1, ("hour", "missing_key"): 1, ("hour", "unparsable"): 1}
+    dense = node.read_df("level", dense=True).collect()
+    assert len(dense) == 2 and sum(r["level"] is None for r in dense) == 1
 
 
 def test_tree_update_and_reopen(spark, tmp_path):
-    store = Store.open(spark, str(tmp_path), TREE)
-    rows = {"": (1000, 280.0), "child_1": (1002, 282.0), "child_1/child_3": (1003, 283.0)}
-    frames = {p: frame(spark, [r], "time long, temperature double") for p, r in rows.items()}
-    store.update_tree(frames, "row")
+    store = Store.open(spark, str(tmp_path), RIVERS)
+    cells = {"": (5, 0.5), "upper": (60, 1.25), "upper/brook": (61, 0.125)}
+    store.update_tree({p: frame(spark, [r], "second long, depth double") for p, r in cells.items()}, "row")
     again = Store.open(spark, str(tmp_path))
-    for path, (time, value) in rows.items():
-        assert [tuple(r) for r in again.node(path).read_df("temperature").collect()] == [(time, value)]
-    assert again.node("child_2").read_df("temperature").count() == 0
-    assert {r["path"] for r in again.find("*child_3").collect()} == {"child_1/child_3"}
-    counts = {r["path"]: r["cells"] for r in again.variables().collect()}
-    assert counts == {"": 1, "child_1": 1, "child_1/child_3": 1, "child_2": 0}
+    for path, cell in cells.items():
+        assert [tuple(r) for r in again.node(path).read_df("depth").collect()] == [cell]
+    assert again.node("lower").read_df("depth").count() == 0
+    assert {r["path"] for r in again.find("*brook").collect()} == {"upper/brook"}
+    assert {r["path"]: r["cells"] for r in again.variables().collect()} == {"": 1, "upper": 1, "upper/brook": 1, "lower": 0}
 
-    small = {k: v for k, v in TREE.items() if k != "child_1"}
-    target = Store.open(spark, str(tmp_path / "copy"), small)
-    assert copy_tree(again, target) == ["child_1", "child_1/child_3"]
-    assert [tuple(r) for r in target.node("").read_df("temperature").collect()] == [(1000, 280.0)]
+    target = Store.open(spark, str(tmp_path / "copy"), {**_SERIES, "lower": _SERIES})
+    assert copy_tree(again, target) == ["upper", "upper/brook"]
+    assert [tuple(r) for r in target.node("").read_df("depth").collect()] == [cells[""]]
 
 
 def test_read_slice_opens_only_needed_buckets(spark, tmp_path):
-    spec = {"COORDS": {"time": {"unit": {"tick": "D"}, "bucket_span": 2}},
-            "VARS": {"temperature": {"type": "int64", "coords": ["time"]}}}
+    spec = {"COORDS": {"day": {"unit": {"tick": "D"}, "bucket_span": 3}}, "VARS": {"count": {"type": "int64", "coords": ["day"]}}}
     node = Store.open(spark, str(tmp_path), spec).node("")
-    rows = [(f"2024-01-0{d}", d) for d in range(1, 6)]
-    node.update(frame(spark, rows, "time string, temperature long"), "row")
-    part = node.read_df("temperature", time=slice("2024-01-02", "2024-01-04"))
-    assert sorted(r["temperature"] for r in part.collect()) == [2, 3, 4]
-    assert len({f.rsplit("bucket=", 1)[1].split("/")[0] for f in part.inputFiles()}) == 2
+    day = lambda d: str((MIDNIGHT + timedelta(days=d)).date())
+    read = lambda **label: sorted(r["count"] for r in node.read_df("count", **label).collect())
+    node.update(frame(spark, [(day(d), d) for d in range(9)], "day string, count long"), "row")
+    part = node.read_df("count", day=slice(day(2), day(4)))
+    assert sorted(r["count"] for r in part.collect()) == [2, 3, 4]
+    opened = {f.rsplit("bucket=", 1)[1].split("/")[0] for f in part.inputFiles()}
+    number = lambda d: (MIDNIGHT + timedelta(days=d) - datetime(1970, 1, 1)).days // 3
+    assert opened == {str(number(d)) for d in (2, 3, 4)}
     with pytest.raises(KeyError):
-        node.read_df("temperature", time="2024-02-01").collect()
-    result = node.update(frame(spark, [("2024-01-05", 50)], "time string, temperature long"), "row")
-    assert result.buckets == {"time": 1}
-    assert sorted(r["temperature"] for r in node.read_df("temperature").collect()) == [1, 2, 3, 4, 50]
+        read(day=day(40))
+    result = node.update(frame(spark, [(day(8), 80)], "day string, count long"), "row")
+    assert result.buckets == {"day": 1} and read() == [*range(8), 80]
     assert len(node.expire(keep=1)) == 1 and node.expire(keep=1) == []
-    assert sorted(r["temperature"] for r in node.read_df("temperature").collect()) == [1, 2, 3, 4, 50]
+    assert read() == [*range(8), 80]
 
 
 def test_dropped_dimension_must_be_constant(spark, tmp_path):
     spec = {
-        "COORDS": {"date_time": {"unit": {"tick": "s"}}, "borehole": {"type": "str[8]", "sorted": False}},
-        "VARS": {"temp": {"unit": "degC", "coords": ["date_time", "borehole"]}, "lat": {"unit": "deg", "coords": ["borehole"]}},
+        "COORDS": {"at": {"unit": {"tick": "s"}}, "sensor": {"type": "str[12]", "sorted": False}},
+        "VARS": {"flow": {"type": "float64", "coords": ["at", "sensor"]}, "height": {"unit": "m", "coords": ["sensor"]}},
     }
-    schema = "date_time string, borehole string, temp double, lat double"
-    good = [("2024-01-01", "A", 1.0, 49.0), ("2024-01-02", "A", 2.0, None), ("2024-01-02", "B", 3.0, 50.0)]
+    schema = "at string, sensor string, flow double, height double"
     node = Store.open(spark, str(tmp_path / "a"), spec).node("")
-    node.update(frame(spark, good, schema), "row")
-    assert {r["borehole"]: r["lat"] for r in node.read_df("lat").collect()} == {"A": 49.0, "B": 50.0}
-    bad = [("2024-01-01", "A", 1.0, 49.0), ("2024-01-02", "A", 2.0, 48.0)]
+    node.update(frame(spark, [("2031-06-02", "s1", 1.0, 12.5), ("2031-06-03", "s1", 2.0, None), ("2031-06-03", "s2", 3.0, 13.0)], schema), "row")
+    assert {r["sensor"]: r["height"] for r in node.read_df("height").collect()} == {"s1": 12.5, "s2": 13.0}
+    bad = [("2031-06-02", "s1", 1.0, 12.5), ("2031-06-03", "s1", 2.0, 12.25)]
     with pytest.raises(ValueError, match="not constant"):
         Store.open(spark, str(tmp_path / "b"), spec).node("").update(frame(spark, bad, schema), "row")
 
 
 def test_missing_column_is_reported_or_raises(spark, tmp_path):
-    node = Store.open(spark, str(tmp_path), BOREHOLE).node("")
-    df = frame(spark, [("2024-01-01", "A")], "timestamp string, borehole string")
+    node = Store.open(spark, str(tmp_path), SENSORS).node("")
+    df = frame(spark, [("2031-06-02", "s1")], "stamp string, sensor string")
     with pytest.raises(SchemaError):
         node.update(df, "row", strict=True)
     result = node.update(df, "row")
-    assert {(r["variable"], r["problem"]) for r in result.problems.collect()} == {("temperature", "missing_column")}
+    assert {(r["variable"], r["problem"]) for r in result.problems.collect()} == {("flow", "missing_column")}
     assert not node.store.events().where(F.col("message").contains("missing_column")).isEmpty()
 
 
@@ -171,14 +158,15 @@ def test_no_new_and_insert(spark, tmp_path):
     node = Store.open(spark, str(tmp_path), NodeSchema.from_dict(spec)).node("")
     put = lambda rows, **k: node.update(frame(spark, rows, "x double, v double"), "row", **k)
     read = lambda: {r["x"]: r["v"] for r in node.read_df("v").collect()}
-    put([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)])
-    put([(1.0, 10.0), (1.5, 15.0), (2.1, 21.0), (3.0, 30.0), (10.0, 100.0)])
-    assert read() == {0.0: 0.0, 1.0: 10.0, 2.0: pytest.approx(20.0)}
+    put([(4.0, 0.0), (6.0, 0.0), (9.0, 0.0)])
+    # 6 is hit, 9 takes from 8 and 12; 12 is behind the last coordinate and serves that only, 20 serves nothing
+    put([(6.0, 60.0), (8.0, 80.0), (12.0, 160.0), (20.0, 7.0)])
+    assert read() == {4.0: 0.0, 6.0: 60.0, 9.0: pytest.approx(100.0)}
     # one value between two stored ones has no target
-    put([(0.5, 99.0)])
-    assert read() == {0.0: 0.0, 1.0: 10.0, 2.0: pytest.approx(20.0)}
-    put([(0.5, 99.0)], insert=True)
-    assert read()[0.5] == 99.0 and [r["x"] for r in node.axis("x").orderBy("pos").collect()] == [0.0, 0.5, 1.0, 2.0]
+    put([(5.0, 99.0)])
+    assert read() == {4.0: 0.0, 6.0: 60.0, 9.0: pytest.approx(100.0)}
+    put([(5.0, 99.0)], insert=True)
+    assert read()[5.0] == 99.0 and [r["x"] for r in node.axis("x").orderBy("pos").collect()] == [4.0, 5.0, 6.0, 9.0]
 
 
 def test_many_appends_keep_the_axis_dense(spark, tmp_path, monkeypatch):

@@ -164,10 +164,11 @@ def _local_sql(text: str, dayfirst: bool) -> str:
     # fixed rule for years of two digits: 69 to 99 are of the last century
     short = f"({_token(2)} + if({_token(2)} < 69, 2000, 1900))"
     short_year = _stamp(short, f"if({month} <= 12, {month}, {day})", f"if({month} <= 12, {day}, {month})")
+    # a text has one of these forms at most; the commonest comes first
     forms = [
+        f"CASE WHEN {text} RLIKE r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}' THEN try_cast({text} AS TIMESTAMP_NTZ) END",
         _form(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{2}" + _TIME, short_year),
         _form(text, r"^\d{4}-\d{1,2}$", f"try_make_timestamp_ntz({_token(0)}, {_token(1)}, 1, 0, 0, 0)"),
-        f"CASE WHEN {text} RLIKE r'^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}' THEN try_cast({text} AS TIMESTAMP_NTZ) END",
         _form(text, r"^\d{1,2}[-./]\d{1,2}[-./]\d{4}" + _TIME, year_last),
         _form(text, r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}" + _TIME, _stamp(_token(0), _token(1), _token(2))),
         _form(text, r"^\d{1,2}[ -][A-Za-z]{3,9}[ ,-]+\d{4}" + _TIME, _stamp(_token(2), _month_name(1), _token(0))),

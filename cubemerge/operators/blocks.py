@@ -42,8 +42,17 @@ def range_blocks(df: DataFrame, order: list[str], blocks: int | None = None) ->
     )
 
 
-def with_position(df: DataFrame, order: list[str], name: str = "pos", blocks: int | None = None) -> DataFrame:
-    """Dense 0-based position in ``order`` over the whole frame; runs one job, no single-task sort."""
+# Rows that one task may number.
+FEW_ROWS = 10_000
+
+
+def with_position(df: DataFrame, order: list[str], name: str = "pos", blocks: int | None = None, rows: int | None = None) -> DataFrame:
+    """Dense 0-based position in ``order`` over the whole frame; runs one job, no single-task sort.
+
+    ``rows``: their number where it is known. A few need no blocks and no job.
+    """
+    if rows is not None and rows <= FEW_ROWS:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     cut = range_blocks(df, order, blocks)
     sizes = cut.groupBy(BLOCK).agg((F.max(ROW) + 1).alias("_n"))
     # one row per block, so the running total is bounded by the number of blocks

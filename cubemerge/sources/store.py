@@ -52,7 +52,7 @@ MAX_AXIS_GENERATIONS = 64
 DEFAULT_BUCKET_DAYS = 30
 # Appends to the event log before their folders are written as one.
 EVENT_COMMITS = 32
-MESSAGE = "_message"
+MESSAGE, TURN = "_message", "_turn"
 LABELS = "label string, code bigint"
 EVENTS = "time timestamp_ntz, level string, node string, message string"
 
@@ -73,17 +73,6 @@ class Files:
         fs, full = self._at(path)
         return fs.exists(full)
 
-    def has(self, uri: str) -> bool:
-        """A file given by its full URI exists."""
-        full = self._jvm.org.apache.hadoop.fs.Path(uri)
-        return full.getFileSystem(self._conf).exists(full)
-
-    def is_empty(self, uri: str) -> bool:
-        """A file (full URI) exists and has no bytes."""
-        full = self._jvm.org.apache.hadoop.fs.Path(uri)
-        fs = full.getFileSystem(self._conf)
-        return fs.exists(full) and fs.getFileStatus(full).getLen() == 0
-
     def names(self, path: str) -> list[str]:
         fs, full = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(full)) if fs.exists(full) else []
@@ -91,11 +80,11 @@ class Files:
     def sizes(self, pattern: str) -> dict[str, int]:
         """Bytes of the Parquet files that match a pattern, by the folder below the pattern's first wildcard: one call."""
         fs, full = self._at(pattern)
-        depth = pattern[: pattern.index("*")].count("/")
+        # counted from the end: what the root is called does not matter
+        place = pattern.count("/") - pattern[: pattern.index("*")].count("/") + 1
         out: dict[str, int] = {}
         for status in fs.globStatus(full) or ():
-            relative = status.getPath().toString().split(f"{self.root.rsplit('/', 1)[-1]}/", 1)[1]
-            name = relative.split("/")[depth]
+            name = status.getPath().toString().split("/")[-place]
             out[name] = out.get(name, 0) + status.getLen()
         return out
 
@@ -354,7 +343,7 @@ class Node:
             whole = axis(align.axis_union(stored, fresh, keys), keys)
             return self._write_axis(coord.name, whole, gen, entry["size"] + count)
         shape = T.StructType.fromJson(entry["type"])
-        numbered = with_position(fresh, keys).withColumn("pos", F.col("pos") + F.lit(entry["size"]))
+        numbered = with_position(fresh, keys, rows=count).withColumn("pos", F.col("pos") + F.lit(entry["size"]))
         added = numbered.select(*[F.col(f.name).cast(f.dataType) for f in shape.fields])
         if len(entry["gens"]) < MAX_AXIS_GENERATIONS:
             return self._write_axis(coord.name, added, gen, count, entry)
@@ -392,18 +381,20 @@ class Node:
     def update_messages(self, df: DataFrame, order: str, message: str, policy: str = merge.COALESCE, out_of_range: str = "null_cell") -> tuple[UpdateResult, DataFrame]:
         """``update`` with the rows of several messages, without those that could not be merged by themselves.
 
-        ``order`` is a struct column; its field ``message`` names the message of a row, and messages are merged as if one after the other in that order. Returns the result
+        ``order`` is a struct column; its field ``message`` names the message of a row, and messages are merged as if one after the other, in the order of the fields up to that one. Returns the result
         and (message, reason) of the messages set aside: those with a variable that is not constant along a dropped dimension, and those with a new
         value on a coordinate that allows none. The number of jobs does not depend on the number of messages.
         """
         result = harmonize(df, self.schema, order, out_of_range, dictionaries=self._dictionaries())
-        rows = materialize(result.cells.withColumn(MESSAGE, F.col(SEQ)[message]), "update")
+        fields = result.cells.schema[SEQ].dataType.names
+        turn = F.struct(*[F.col(SEQ)[f].alias(f) for f in fields[: fields.index(message) + 1]])
+        rows = materialize(result.cells.withColumn(MESSAGE, F.col(SEQ)[message]).withColumn(TURN, turn), "update")
         all_keys = self.schema.keys_of(tuple(self.schema.coords))
         state, reduced, reasons = self._state(), {}, []
         for coords, variables in self.schema.cubes().items():
             keys, names = self.schema.keys_of(coords), [v.name for v in variables]
             if set(keys) != set(all_keys):
-                values, conflicts = eliminate_dims(pivot_cells(rows, [MESSAGE, *all_keys], names, SEQ), [MESSAGE, *keys], names)
+                values, conflicts = eliminate_dims(pivot_cells(rows, [MESSAGE, TURN, *all_keys], names, SEQ), [MESSAGE, TURN, *keys], names)
                 reduced[coords] = materialize(values, "update")
                 reasons.append(conflicts.select(MESSAGE, F.concat(F.lit("not constant along dropped dimensions: "), "variable").alias("reason")))
         for name, coord in self.schema.coords.items():
@@ -419,7 +410,7 @@ class Node:
         for coords, variables in self.schema.cubes().items():
             keys, names = self.schema.keys_of(coords), [v.name for v in variables]
             # the value of a message is one for each cell; of several messages the last one that has it wins
-            cells = pivot_cells(reduced[coords].join(failed, MESSAGE, "left_anti"), keys, names, MESSAGE) if coords in reduced else pivot_cells(good, keys, names, SEQ)
+            cells = pivot_cells(reduced[coords].join(failed, MESSAGE, "left_anti"), keys, names, TURN) if coords in reduced else pivot_cells(good, keys, names, SEQ)
             cubes[coords] = sparse(cells, names).select(*keys, *names)
         report = materialize(result.report, "report")
         self.store.log_report(self.path, report)

@@ -27,10 +27,12 @@ BUCKETS = 1 << 14
 # bounds of the fitted sample: labelled documents and landmarks of a language
 PER_LANGUAGE, LANDMARKS = 400, 48
 RIDGE = 1e-2
+# rows of unpacked flags at a time
+CHUNK = 128
 UNDETERMINED = "und"
 # how far below the lowest score of the labelled sample a document is still taken for one of the languages, in parts of the distance
 # between that score and the sample's percentile, and at least
-SLACK, LEAST_SLACK = 0.25, 0.05
+SLACK, LEAST_SLACK = 0.4, 0.05
 _MULTIPLY = np.uint32(0x9E3779B1)
 
 
@@ -56,23 +58,36 @@ def flags(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _kernel(bits: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values of rows of packed flags with the landmarks' columns, a few rows unpacked at a time."""
+    out = np.zeros((len(bits), landmarks.shape[1]))
+    for start in range(0, len(bits), CHUNK):
+        rows = np.unpackbits(bits[start : start + CHUNK], axis=1)
+        norm = np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1))[:, None]
+        out[start : start + CHUNK] = (rows.astype(np.float32) @ landmarks) / norm
+    return out
+
+
 class Model:
-    """Landmark flags, and per landmark and language the weights of the regression on Nyström features."""
+    """Landmark flags, and per landmark and language the weights of the regression on Nyström features.
 
-    def __init__(self, texts: list[str], langs: list[str]):
+    ``bits`` has the packed flags of the sample, one row a document.
+    """
+
+    def __init__(self, bits: np.ndarray, langs: list[str]):
         self.langs, self.limit = sorted(set(langs)), -np.inf
         if not self.langs:
             return
-        rows = flags(pa.array(texts, pa.string())).astype(np.float32)
-        rows /= np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
         label = np.array([self.langs.index(x) for x in langs])
         chosen = np.concatenate([np.flatnonzero(label == k)[:LANDMARKS] for k in range(len(self.langs))])
-        self.landmarks = np.ascontiguousarray(rows[chosen].T)
-        value, vector = np.linalg.eigh((rows[chosen] @ self.landmarks).astype(np.float64))
+        own = np.unpackbits(bits[chosen], axis=1).astype(np.float32)
+        own /= np.sqrt(np.maximum(own.sum(1, keepdims=True), 1))
+        self.landmarks = np.ascontiguousarray(own.T)
+        kernel = _kernel(bits, self.landmarks)
+        value, vector = np.linalg.eigh(kernel[chosen])
         keep = value > value.max() * 1e-8
         root = vector[:, keep] / np.sqrt(value[keep])
-        features = (rows @ self.landmarks).astype(np.float64) @ root
-        features = np.hstack([features, np.ones((len(features), 1))])
+        features = np.hstack([kernel @ root, np.ones((len(kernel), 1))])
         # every language counts alike, however many rows it has
         weight = (1 / np.bincount(label))[label][:, None]
         target = np.where(label[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
@@ -96,15 +111,27 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from at most ``per_language`` documents of each language, chosen by a hash of ``doc_id``.
 
     Ranks are taken within shares of a language first, so that a language with most of the rows is not ranked in one task, and
-    without texts; the texts of the chosen ids (bounded) are read by a broadcast join.
+    without texts. The texts of the chosen ids are read by a broadcast join and become packed flags in the tasks, ``BUCKETS`` / 8 bytes a row whatever their length; of
+    rows that share an id one is taken. So the driver gets at most ``per_language`` x ``BUCKETS`` / 8 bytes a language.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     chosen = usable.select("lang", "doc_id").distinct().withColumn("key", F.xxhash64("doc_id")).withColumn("share", F.pmod("key", F.lit(64)))
     for keys in (["lang", "share"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy("key", "doc_id")
         chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    rows = usable.join(F.broadcast(chosen.select("lang", "doc_id", "key")), ["lang", "doc_id"]).select("lang", "key", "text").orderBy("lang", "key", "text").toArrow()
-    return Model(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    texts = usable.join(F.broadcast(chosen.select("lang", "doc_id", "key")), ["lang", "doc_id"]).select("lang", "key", "text")
+    rows = texts.mapInArrow(_pack_flags, "lang string, key long, bits binary").groupBy("lang", "key").agg(F.min("bits").alias("bits")).orderBy("lang", "key").toArrow()
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(-1, BUCKETS // 8)
+    return Model(bits, rows.column("lang").to_pylist())
+
+
+def _pack_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch):
+            for start in range(0, part.num_rows, CHUNK):
+                some = part.slice(start, CHUNK)
+                bits = np.packbits(flags(some.column("text")), axis=1)
+                yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("key"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["lang", "key", "bits"])
 
 
 def _predict(shared):
@@ -153,8 +180,7 @@ def _keep(shared):
             for part in pieces(batch):
                 keep = part.column("_llm_lettered").to_numpy(zero_copy_only=False).astype(bool)
                 if model.langs:
-                    labelled = np.array([x in model.langs for x in part.column("lang").to_pylist()], bool)
-                    keep &= labelled | (model.scores(part.column("text").fill_null("")).max(1) >= model.limit)
+                    keep &= model.scores(part.column("text").fill_null("")).max(1) >= model.limit
                 names = [n for n in part.schema.names if n != "_llm_lettered"]
                 yield part.select(names).filter(pa.array(keep, pa.bool_()))
 
@@ -164,7 +190,8 @@ def _keep(shared):
 def identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language is undetermined or whose best score is below the model's limit; all columns stay.
 
-    A text with a letter and a label of a learned language stays: short ones outside the sample score below all of the sample's."""
+    The model decides alone: what a document's own ``lang`` says changes nothing but what is learned from it. ``docs`` has the columns ``doc_id``, ``text`` and ``lang``;
+    where no language is learned, only texts without a letter go."""
     model = fit(docs.where(held_out_bucket(4) != 2).select("doc_id", "lang", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

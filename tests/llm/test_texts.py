@@ -45,6 +45,27 @@ def test_language_stage_drops_other_languages(spark):
     assert got.where("doc_id < 0").count() == 0 and got.count() == docs.count()
 
 
+def test_language_stage_does_not_trust_labels(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    ids = [i for i in range(-1, -400, -1) if fold(i, 4) == 2][:4]
+    texts = ["съешь ещё этих мягких французских булок да выпей чаю " * 5, "今日は世界 こんにちは", "hidztfljcffiqfviuwjowkppdajmkn zycidpyopumzgdpa", "x"]
+    odd = frame(spark, [(i, t, lang, None, len(t)) for i, t, lang in zip(ids, texts, ["en", "de", "fr", "es"], strict=True)])
+    got = language_id.identified(docs.unionByName(odd))
+    assert got.where("doc_id < 0").count() == 0 and got.count() == docs.count()
+
+
+def test_language_of_repeated_ids_and_empty_tables(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(120)
+    empty = docs.limit(0)
+    with Scratch(spark, "t") as scratch:
+        assert language_id.identify(empty, scratch).count() == 0 and language_id.identified(empty).count() == 0
+        # one id a hundred times is one row of the sample
+        model = language_id.fit(docs.unionByName(frame(spark, [(7, f"the same id {i}", "en", None, 0) for i in range(100)])))
+        assert set(model.langs) <= {"de", "en", "es", "fr"}
+        got = language_id.identify(docs.withColumn("score", F.lit("x")).withColumn("bits", F.lit(0)), scratch)
+        assert got.count() == 120 and got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
 def test_kernel_counts_common_grams():
     import pyarrow as pa
 

@@ -5,8 +5,11 @@ tokenizers ``Tokenizer`` is rebuilt: its normaliser (the precompiled character m
 unigram scores, or the merges that lead to each piece of a BPE model in order of its score, and byte fallback; the decoder undoes the mark.
 
 Where no piece holds the mark after another character (checked on load), pieces never reach across the blanks before a word, so texts are cut
-there and each distinct unit is encoded once a task, in multithreaded batches. Every encoded unit is also encoded by the sentencepiece
-library; ``parity`` tells for each document whether all its units agree. Models with a normaliser of their own get whole texts.
+there and each distinct unit is encoded once a task, in multithreaded batches. A mark written in a text is a blank to the model, and to the cut. Every encoded unit is also encoded by the
+sentencepiece library; ``parity`` tells for each document whether all its units agree. Texts for which the cut itself might matter are judged whole as well: those with a written mark, and
+those whose ids hold control, unknown or byte pieces, but for the bytes of line ends and tabs, which most texts hold. For these the ids of the whole text must be the library's, and the rebuilt
+decoder must give the decoded text.
+Models with a normaliser of their own get whole texts.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from cubemerge.llm.tables import ROW, Scratch, keyed
@@ -26,6 +30,7 @@ from cubemerge.llm.token_files import IdTable
 from cubemerge.llm.words import Words, mix, pieces, ragged
 
 MARK = "▁"
+UNKNOWN_TEXT = " ⁇ "
 THREADS = 2
 # fixed values of the protobuf: kinds of pieces and of models
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -96,7 +101,7 @@ class PieceModel:
 
     def tokenizer(self, whole: bool = True):
         """The rebuilt tokenizer; without ``whole``, for units that are normalised and marked already."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, models, normalizers
 
         vocabulary = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         if self.kind == BPE:
@@ -112,10 +117,15 @@ class PieceModel:
             if self.prefix:
                 steps.append(normalizers.Prepend(MARK))
             made.normalizer = normalizers.Sequence(steps)
-        steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        made.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.prefix else steps)
+        made.decoder = self.decoder()
         return made
 
+    def decoder(self):
+        from tokenizers import decoders
+
+        steps = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        return decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.prefix else steps)
+
     def cuts(self) -> bool:
         """Whether text may be cut before the blanks of a word: no normaliser of its own, no piece across such a place."""
         across = any(a != MARK and b == MARK for p, _, kind in self.pieces if kind in (NORMAL, USER) for a, b in zip(p, p[1:], strict=False))
@@ -136,7 +146,10 @@ class PieceTable(IdTable):
         self.backend = self.model.tokenizer(whole=not self.cut)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        raw[self.model.unknown] = " ⁇ ".encode()
+        raw[self.model.unknown] = UNKNOWN_TEXT.encode()
+        usual = {f"<0x{b:02X}>" for b in (0x09, 0x0A, 0x0D)}
+        self.odd = np.array([kind not in (NORMAL, USER) and not (kind == BYTE and p in usual) for p, _, kind in self.model.pieces])
+        self.decoder = self.model.decoder()
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.piece_size = np.array([len(r) for r in raw], np.int64)
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
@@ -160,6 +173,17 @@ class PieceTable(IdTable):
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, number of ids and parity of every text."""
+        flat, size, parity = self._encode_cut(pc.replace_substring(texts, MARK, " ") if self.cut else texts)
+        marked = pc.fill_null(pc.match_substring(texts, MARK), False).to_numpy(zero_copy_only=False)
+        doubtful = marked | (np.bincount(np.repeat(np.arange(len(size)), size), self.odd[flat], minlength=len(size)) > 0)
+        border = np.concatenate([[0], np.cumsum(size)])
+        for i in np.flatnonzero(doubtful & parity).tolist():
+            ids = flat[border[i] : border[i + 1]].tolist()
+            said = self.decoder.decode([self.model.pieces[k][0] if self.model.pieces[k][2] != UNKNOWN else UNKNOWN_TEXT for k in ids])
+            parity[i] = ids == self.library.encode(texts[i].as_py(), num_threads=1) and said.encode() == self._said(flat[border[i] : border[i + 1]])
+        return flat, size, parity
+
+    def _encode_cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = Words(texts, _NOT_BLANK, lower=False)
         count = len(texts)
         if not self.cut:
@@ -190,12 +214,16 @@ class PieceTable(IdTable):
 
         if not len(keys):
             return np.zeros(0, np.uint32), np.zeros(count, np.int64), np.ones(count, bool)
-        flat, size = self.gather(keys, unit)
+        flat, size = self.gather(keys, lambda places: [unit(i) for i in places.tolist()])
         parity = np.ones(count, bool)
         if self.differ:
             parity[row[np.isin(keys | np.uint64(1 << 63), np.array(list(self.differ), np.uint64))]] = False
         return flat, np.bincount(row, size, minlength=count).astype(np.int64), parity
 
+    def _said(self, ids: np.ndarray) -> bytes:
+        """One decoded text as it reads: bytes that are no characters as the decoder shows them."""
+        return self.decode(ids, np.array([len(ids)]))[0].decode(errors="replace").encode()
+
     def decode(self, ids: np.ndarray, size: np.ndarray) -> list[bytes]:
         """Texts of the ids, as bytes: pieces with blanks for marks, bytes of byte pieces, without the first mark."""
         length = self.piece_size[ids]

@@ -1,5 +1,6 @@
 """Token files and the SentencePiece backend against their libraries."""
 
+import random
 import zlib
 
 import numpy as np
@@ -137,3 +138,31 @@ def test_tables_without_texts(kind):
     else:
         flat, size, _ = sentencepiece_backend.PieceTable(tokenizer_file("piece_bpe_32k.model")).encode(pa.array([None, ""], pa.string()))
     assert len(flat) == 0 and size.tolist() == [0, 0]
+
+
+def mark_texts(n):
+    rng = random.Random(n)
+    parts = ["▁", "▁▁", " ", "  ", "a", "progress", "x", "50%", "\n", "é", "<s>", "日", "the", "\t", "▁a", "€", "\x00", "𐍈", "word ", "<0x41>"]
+    return ["a ▁  b", "x  ▁ y", "progress ▁▁▁   50%", "▁", "▁▁", " ▁ ", "", None] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(n)]
+
+
+def test_ids_of_texts_with_written_marks_are_the_librarys():
+    table = sentencepiece_backend.PieceTable(tokenizer_file("piece_bpe_32k.model"))
+    texts = mark_texts(10_000)
+    flat, size, parity = table.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(size)
+    assert [flat[b - n : b].tolist() for b, n in zip(ends, size, strict=True)] == [table.library.encode(t or "") for t in texts]
+    assert parity.all()
+
+
+def test_a_wrong_cut_shows_in_parity(monkeypatch):
+    table = sentencepiece_backend.PieceTable(tokenizer_file("piece_bpe_32k.model"))
+    said = ["a ▁  b", "progress ▁▁▁   50%", "plain words", "a b", *mark_texts(300)]
+    texts = pa.array(said, pa.string())
+    cut = table._encode_cut
+    # the mark is left to the cut as a letter
+    monkeypatch.setattr(table, "_encode_cut", lambda _: cut(texts))
+    flat, size, parity = table.encode(texts)
+    ends = np.cumsum(size)
+    right = [flat[b - n : b].tolist() == table.library.encode(t or "") for t, b, n in zip(said, ends, size, strict=True)]
+    assert parity.tolist() == right and not right[0] and sum(not r for r in right) > 10

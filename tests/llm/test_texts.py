@@ -66,6 +66,35 @@ def test_language_of_repeated_ids_and_empty_tables(spark):
         assert got.count() == 120 and got.columns == ["doc_id", "held_out", "lang_pred", "score"]
 
 
+def test_language_model_is_fitted_on_every_labelled_document(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = {x: ["".join(rng.choice(x) for _ in range(4)) for _ in range(40)] for x in ("abcdefgh", "efghijkl")}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(2, 8))), lang, None, 0) for i, (x, lang) in enumerate([("abcdefgh", "aa"), ("efghijkl", "bb")] * 700)]
+    keys = {r.id: r.key for r in spark.range(len(rows)).select("id", F.xxhash64("id").alias("key")).collect()}
+    last = max(keys, key=keys.get)
+    rows[last] = (last, "zq zq zq", rows[last][2], None, 0)  # the last by hash has the lowest score
+    docs = frame(spark, rows)
+    with Scratch(spark, "t"):
+        model = language_id.fit(docs)
+        limit = language_id.lowest(docs, model)
+    phi = language_id.flags(pa.array([r[1] for r in rows])).astype(float)
+    phi /= np.sqrt(np.maximum(phi.sum(1, keepdims=True), 1))
+    marks = [i for lang in ("aa", "bb") for i in sorted((r[0] for r in rows if r[2] == lang), key=keys.get)[:language_id.LANDMARKS]]
+    value, vector = np.linalg.eigh(phi[marks] @ phi[marks].T)
+    keep = value > value.max() * 1e-8
+    features = np.hstack([phi @ phi[marks].T @ (vector[:, keep] / np.sqrt(value[keep])), np.ones((len(rows), 1))])
+    target = np.array([[1, -1] if r[2] == "aa" else [-1, 1] for r in rows])
+    solved = np.linalg.solve(features.T @ features / 700 + language_id.RIDGE * np.eye(features.shape[1]), features.T @ target / 700)
+    want = features @ solved
+    assert np.abs(model.scores(pa.array([r[1] for r in rows])) - want).max() < 1e-3
+    best = want.max(1)
+    assert best.argmin() == last and limit < best[last]
+    assert abs(limit - (best[last] - max(0.05, 0.4 * (np.sort(best)[13] - best[last])))) < 1e-3
+
+
 def test_kernel_counts_common_grams():
     import pyarrow as pa
 

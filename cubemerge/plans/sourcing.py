@@ -104,8 +104,8 @@ def messages(t: Tables) -> DataFrame:
     line = F.concat_ws(",", F.col("ts").cast("string"), F.col("user_id").cast("string"), F.expr(VALID).cast("string"), F.col("event_id").cast("string"))
     # a missing value is an empty field
     line = F.when(F.expr(VALID).isNull(), F.concat_ws(",", F.col("ts").cast("string"), F.col("user_id").cast("string"), F.lit(""), F.col("event_id").cast("string"))).otherwise(line)
-    lines = F.array_sort(F.collect_list(F.struct("event_id", line.alias("line"))))
-    body = t.events.groupBy(number.alias("number")).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("body"))
+    lines = F.sort_array(F.collect_list(F.struct("event_id", line.alias("line"))))
+    body = t.events.groupBy(number.alias("number")).agg(F.array_join(lines["line"], "\n").alias("body"))
     kind = F.col("number") % 100
     header = F.when(kind == BAD_HEADER, F.lit("ts,user_id,other,event_id\n")).otherwise(F.lit("ts,user_id,value,event_id\n"))
     text = F.concat(header, "body").cast("binary")

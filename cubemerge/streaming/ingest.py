@@ -11,10 +11,12 @@ import csv
 import io
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +36,11 @@ ENVELOPE = "name string, content binary, metadata string"
 STREAM, REPLAY = "stream", "replay"
 ROW = "_order"
 ERROR = "_error"
+# lines of CSV payloads in a batch of an extractor
+LINES = 10_000
+# Message files are many and small. Spark's defaults list them in up to 10,000 tasks and read 32 of them in a task, so that starting tasks takes longer than their work.
+LISTING, OPEN_COST = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes"
+LISTING_TASKS_A_CORE, OPEN_COST_BYTES = 4, 1 << 16
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -82,22 +89,28 @@ class Extractors:
         """
         kinds = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
         written = ", ".join(f"`{n}` string" for n in kinds)
+        out = pa.schema([("path", pa.string()), ("_line", pa.int64()), *[(n, pa.string()) for n in kinds], (ERROR, pa.string())])
+
+        def parsed(path: str, content: bytes | None) -> Iterator[tuple[Any, ...]]:
+            lines = [r for r in csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace")), delimiter=sep) if any(x.strip() for x in r)]
+            names = [n.strip() for n in lines[0]] if header and lines else list(kinds)
+            lacking = [n for n in kinds if n not in names]
+            if lacking:
+                yield (path, None, *[None] * len(kinds), f"columns not in the header: {lacking}")
+                return
+            at = [names.index(n) for n in kinds]
+            for k, r in enumerate(lines):
+                if k >= header and len(r) == len(names):
+                    yield (path, k, *[r[i].strip() or None for i in at], None)
 
-        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for path, content in zip(batch["path"], batch["content"]):
-                    lines = [r for r in csv.reader(io.StringIO(bytes(content or b"").decode("utf-8-sig", "replace")), delimiter=sep) if any(x.strip() for x in r)]
-                    names = [n.strip() for n in lines[0]] if header and lines else list(kinds)
-                    lacking = [n for n in kinds if n not in names]
-                    if lacking:
-                        yield pd.DataFrame({"path": [path], ERROR: [f"columns not in the header: {lacking}"]}).reindex(columns=["path", "_line", *kinds, ERROR]).astype(object).where(lambda t: t.notna(), None)
-                        continue
-                    body = [(k, r) for k, r in enumerate(lines) if k >= header and len(r) == len(names)]
-                    table = {n: [r[names.index(n)].strip() or None for _, r in body] for n in kinds}
-                    yield pd.DataFrame({"path": path, "_line": [k for k, _ in body], **table, ERROR: None}, dtype=object)
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # the lines of many small messages make one batch
+            rows = (r for b in batches for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist()) for r in parsed(p, c))
+            while some := list(islice(rows, LINES)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), out)], schema=out)
 
         def run(messages: DataFrame) -> DataFrame:
-            texts = messages.select("path", "content").mapInPandas(read, f"path string, _line long, {written}, {ERROR} string")
+            texts = messages.select("path", "content").mapInArrow(read, f"path string, _line long, {written}, {ERROR} string")
             fits = F.lit(True)
             for column, kind in kinds.items():
                 fits = fits & (F.col(column).isNull() | F.col(column).try_cast(kind).isNotNull())
@@ -283,12 +296,12 @@ class Ingest:
 
     def start(self, checkpoint: str, once: bool = False, every: str = "30 seconds", files_per_batch: int = 1000) -> StreamingQuery:
         """Start the stream of message files; with ``once`` it takes what is there and stops."""
-        stream = self.spark.readStream.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True)
+        stream = self._session().readStream.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True)
         return self._started(stream.option("maxFilesPerTrigger", files_per_batch).load(self.queue), self.process, checkpoint, once, every)
 
     def start_rows(self, checkpoint: str, once: bool = False, every: str = "30 seconds", files_per_batch: int = 100) -> StreamingQuery:
         """Start the stream of a queue that is a table of message rows."""
-        stream = self.spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).parquet(self.queue)
+        stream = self._session().readStream.schema(ENVELOPE).option("maxFilesPerTrigger", files_per_batch).parquet(self.queue)
         return self._started(stream, self.process_rows, checkpoint, once, every)
 
     def _started(self, stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str) -> StreamingQuery:
@@ -296,6 +309,15 @@ class Ingest:
         writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
         return writer.start()
 
+    def _session(self) -> SparkSession:
+        """A session for a stream: the settings of this one, but few tasks for many files."""
+        session = self.spark.newSession()
+        few = {LISTING: str(LISTING_TASKS_A_CORE * self.spark.sparkContext.defaultParallelism), OPEN_COST: str(OPEN_COST_BYTES)}
+        for key, value in {**self.spark.conf.getAll, **few}.items():
+            if session.conf.get(key, None) != value and session.conf.isModifiable(key):
+                session.conf.set(key, value)
+        return session
+
     def replay(self, limit: int | None = None) -> int:
         """Try failed messages again, all of them or the ``limit`` tried longest ago; returns how many were tried.
 

@@ -111,6 +111,20 @@ def test_sidecars_and_data_meet_across_batches(spark, tmp_path):
     assert feed._waiting(3).count() == 0 and feed.replay() == 0
 
 
+def test_tasks_do_not_grow_with_the_files(spark, tmp_path):
+    feed = tables(spark, tmp_path)
+    put = [message(f"{i:04}.csv", f"x,w\n{i},1\n" if i % 50 == 7 else f"v,x\n{i}.5,{i}\n\n{i},1,2\n") for i in range(400)]
+    write_messages(spark.createDataFrame(put, "name string, content binary, metadata string"), str(tmp_path / "queue"))
+    stream = feed.start(str(tmp_path / "checkpoint"), once=True)
+    stream.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(stream.runId))]
+    widest = max(tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tracker.getStageInfo(s))
+    # 400 data files and as many sidecars
+    assert widest <= 4 * spark.sparkContext.defaultParallelism
+    assert cells(feed.store) == {i: i + 0.5 for i in range(400) if i % 50 != 7} and feed.failed().count() == 8
+
+
 def test_waiting_files_are_given_up(spark, tmp_path):
     feed = tables(spark, tmp_path, patience="0 seconds")
     (tmp_path / "queue").mkdir()

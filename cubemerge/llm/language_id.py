@@ -122,12 +122,20 @@ def held_out_bucket(modulus: int) -> Column:
 
 
 def _learned(docs: DataFrame) -> DataFrame:
-    """The rows (lang, doc_id, text) that the model learns from."""
-    return docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text")
+    """The rows (lang, doc_id, text) that the model learns from: of rows that share an id and a language one is taken.
+
+    Texts are joined and grouped only where an id is repeated."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text")
+    keys = ["lang", "doc_id"]
+    repeated = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    if repeated.isEmpty():
+        return usable
+    rows = usable.join(repeated, keys, "left_semi").mapInArrow(_pack_flags, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in usable.schema)}, bits binary")
+    return usable.join(repeated, keys, "left_anti").unionByName(rows.groupBy(*keys).agg(F.min_by("text", "bits").alias("text")))
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from all documents that have a language and a letter; each row counts.
+    """A model from all documents that have a language and a letter, repeated rows once.
 
     ``LANDMARKS`` documents of each language are landmarks, chosen by a hash of ``doc_id``. Ranks are taken within shares of a language first, so that a
     language with most of the rows is not ranked in one task, and without texts. The texts of the chosen ids are read by a broadcast join and become packed flags
@@ -140,7 +148,7 @@ def fit(docs: DataFrame) -> Model:
         order = Window.partitionBy(*keys).orderBy("key", "doc_id")
         chosen = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LANDMARKS)
     texts = usable.join(F.broadcast(chosen.select("lang", "doc_id", "key")), ["lang", "doc_id"]).select("lang", "key", "text")
-    rows = texts.mapInArrow(_pack_flags, "lang string, key long, bits binary").groupBy("lang", "key").agg(F.min("bits").alias("bits")).orderBy("lang", "key").toArrow()
+    rows = texts.mapInArrow(_pack_flags, "lang string, key long, text string, bits binary").groupBy("lang", "key").agg(F.min("bits").alias("bits")).orderBy("lang", "key").toArrow()
     bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(-1, BUCKETS // 8)
     model = Model(bits, {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()})
     if model.langs:
@@ -161,7 +169,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for some in _chunks(batches):
         bits = np.packbits(flags(some.column("text")), axis=1)
-        yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("key"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["lang", "key", "bits"])
+        yield pa.RecordBatch.from_arrays([*some.columns, pa.array([r.tobytes() for r in bits], pa.binary())], names=[*some.schema.names, "bits"])
 
 
 def _equations(shared):

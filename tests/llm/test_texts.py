@@ -80,6 +80,7 @@ def test_language_model_is_fitted_on_every_labelled_document(spark):
     with Scratch(spark, "t"):
         model = language_id.fit(docs)
         limit = language_id.lowest(docs, model)
+        again = language_id.fit(docs.unionByName(docs.where("doc_id < 300")))
     phi = language_id.flags(pa.array([r[1] for r in rows])).astype(float)
     phi /= np.sqrt(np.maximum(phi.sum(1, keepdims=True), 1))
     marks = [i for lang in ("aa", "bb") for i in sorted((r[0] for r in rows if r[2] == lang), key=keys.get)[:language_id.LANDMARKS]]
@@ -90,6 +91,8 @@ def test_language_model_is_fitted_on_every_labelled_document(spark):
     solved = np.linalg.solve(features.T @ features / 700 + language_id.RIDGE * np.eye(features.shape[1]), features.T @ target / 700)
     want = features @ solved
     assert np.abs(model.scores(pa.array([r[1] for r in rows])) - want).max() < 1e-3
+    # repeated rows count once
+    assert np.abs(again.weights - model.weights).max() < 1e-3 * np.abs(model.weights).max()
     best = want.max(1)
     assert best.argmin() == last and limit < best[last]
     assert abs(limit - (best[last] - max(0.05, 0.4 * (np.sort(best)[13] - best[last])))) < 1e-3

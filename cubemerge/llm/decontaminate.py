@@ -17,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cubemerge.llm.tables import ROW, Scratch, keyed
 from cubemerge.llm.words import LETTERS_DIGITS, Rolling, Words, pieces
@@ -277,22 +279,28 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch
 
 
 def _clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the words of their spans. What stood between the words before and after a span becomes one blank."""
+    """Rows whose ``text`` has lost the words of ``_llm_spans``, and whether it has. What stood between the words before and after a span becomes one blank."""
     for batch in batches:
         for part in pieces(batch):
-            words = Words(part.column("text"), LETTERS_DIGITS, lower=True)
-            texts = part.column("text").to_pylist()
-            for i, spans in enumerate(part.column("spans").to_pylist()):
-                if spans:
-                    raw, base, first = texts[i].encode(), int(words.rows[i]), int(words.first[i])
-                    kept, at = [], 0
-                    for span in spans:
+            spans = part.column("_llm_spans")
+            at = pc.indices_nonzero(pc.fill_null(pc.greater(pc.list_value_length(spans), 0), False))
+            text = part.column("text")
+            if len(at):
+                some, texts = text.take(at), text.to_pylist()
+                words = Words(some, LETTERS_DIGITS, lower=True)
+                for k, (i, found) in enumerate(zip(at.to_pylist(), spans.take(at).to_pylist(), strict=True)):
+                    raw, base, first = texts[i].encode(), int(words.rows[k]), int(words.first[k])
+                    kept, place = [], 0
+                    for span in found:
                         start, stop = int(words.start[first + span["start"]]) - base, int(words.end[first + span["stop"] - 1]) - base
-                        kept.append(raw[at:start].rstrip())
-                        at = stop
-                    tail = raw[at:]
-                    texts[i] = b" ".join(x for x in (*kept, tail.lstrip()) if x).decode()
-            yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array(texts, pa.string())], names=[ROW, "text"])
+                        kept.append(raw[place:start].rstrip())
+                        place = stop
+                    texts[i] = b" ".join(x for x in (*kept, raw[place:].lstrip()) if x).decode()
+                text = pa.array(texts, text.type)
+            cut = np.zeros(part.num_rows, bool)
+            cut[at.to_numpy()] = True
+            names = [n for n in part.schema.names if n != "_llm_spans"]
+            yield pa.RecordBatch.from_arrays([*(text if n == "text" else part.column(n) for n in names), pa.array(cut)], names=[*names, "_llm_cut"])
 
 
 def _joined(spans: Column) -> Column:
@@ -309,13 +317,15 @@ def _joined(spans: Column) -> Column:
 def without_spans(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, longest: int = WINDOW - 1, coverage: int = COVERAGE, **sizes: int) -> DataFrame:
     """``docs`` without contaminated documents, and without the hit spans of more than ``longest`` words in the others.
 
-    Spans that overlap or touch count as one. With ``longest`` 0 every hit word goes. All columns stay; other columns than ``text`` stay as they are.
+    Spans that overlap or touch count as one. With ``longest`` 0 every hit word goes. All columns stay; ``n_chars`` follows a text that is cut, other columns than ``text`` stay
+    as they are. Only row keys and spans of hit documents are written; documents stream through a join with them.
     """
     rows = keyed(docs, scratch, keep=True)
-    found = scratch.table(decontaminate(rows.select(ROW, "text"), benchmark, coverage=coverage, **sizes).where("n_hit > 0").select(ROW, "spans", "contaminated"))
-    long = found.where("NOT contaminated").select(ROW, F.filter(_joined(F.col("spans")), lambda s: s["stop"] - s["start"] > longest).alias("spans")).where(F.size("spans") > 0)
-    cleared = rows.select(ROW, "text").join(long, ROW).select(ROW, "text", "spans").mapInArrow(_clear, f"{ROW} long, text string")
-    new = scratch.result(cleared.select(ROW, F.col("text").alias("_llm_text")))
-    gone = scratch.result(found.where("contaminated").select(ROW))
-    left = rows.join(gone, ROW, "left_anti").join(new.withColumn("_llm_cut", F.lit(True)), ROW, "left")
-    return left.withColumn("text", F.when(F.col("_llm_cut"), F.col("_llm_text")).otherwise(F.col("text"))).select(*docs.columns)
+    found = decontaminate(rows.select(ROW, "text"), benchmark, coverage=coverage, **sizes).where("n_hit > 0")
+    long = F.filter(_joined(F.col("spans")), lambda s: s["stop"] - s["start"] > longest)
+    hit = scratch.result(found.select(ROW, F.col("contaminated").alias("_llm_gone"), long.alias("_llm_spans")).where("_llm_gone OR size(_llm_spans) > 0"))
+    left = rows.join(hit, ROW, "left").where("NOT coalesce(_llm_gone, false)").select(*docs.columns, "_llm_spans")
+    done = left.mapInArrow(_clear, T.StructType([*docs.schema.fields, T.StructField("_llm_cut", T.BooleanType())]))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("_llm_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import compare, connect
-from helpers import Scratch
+from helpers import Scratch, frame
 from test_dedup import plain_components, plain_removal
 from test_texts import plain_hits
 
@@ -48,3 +48,15 @@ def test_stages_equal_brute_force(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+
+
+def test_stage_removes_benchmark_passages(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    filler = " ".join(f"word{i}" for i in range(600))
+    rows = [(1, f"{filler}  {item}\n{filler}", "en", None, 9), (2, f"{item} {filler[:200]}", "en", "s", 9), (3, filler, None, "s", 7), (4, None, "en", None, None), (1, filler[:99], "de", None, 8)]
+    spark.createDataFrame([(1, item), (2, "word5 word6")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    got = stage(spark, frame(spark, rows), str(tmp_path)).collect()
+    # the short item's words stay where they are too few to count
+    left = f"{filler} {filler}"
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, left, "en", None, len(left)), rows[2], rows[3]], key=repr)

@@ -100,6 +100,10 @@ class Files:
         fs, full = self._at(path)
         fs.delete(full, True)
 
+    def mkdirs(self, path: str) -> None:
+        fs, full = self._at(path)
+        fs.mkdirs(full)
+
     def publish_json(self, path: str, value: dict[str, Any]) -> None:
         """Write under a temporary name, then rename: the file appears whole or not at all."""
         fs, final = self._at(path)

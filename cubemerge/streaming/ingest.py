@@ -1,7 +1,7 @@
 """Continuous ingest: message files -> validated, routed, extracted and merged, or into the dead-letter table.
 
-A message is a data file with a ``<name>.meta.json`` next to it, or a row of a queue table. Files are discovered by the Structured
-Streaming file source; each micro-batch goes through ``foreachBatch``. Merging is keyed by coordinates and
+A message is a data file with a ``<name>.meta.json`` next to it, or a row of a queue table. Files of a mounted queue are listed and read in tasks, those
+of another file system by the Structured Streaming file source; each micro-batch goes through ``foreachBatch``. Merging is keyed by coordinates and
 ``_done`` remembers finished messages, so a batch repeated after a failure changes nothing.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import csv
 import io
+import math
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
@@ -16,6 +18,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +26,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cubemerge.functions.text import content_kind
 from cubemerge.session import materialize, scratch_scope
-from cubemerge.sources.store import Store
+from cubemerge.sources.store import Files, Store
+from cubemerge.streaming.listing import TURN, Listing, found, mounted, read_files
 from cubemerge.streaming.messages import METADATA, failure_summary, reject_reason, route
 
 SIDECAR = ".meta.json"
+# folder of a checkpoint
+LISTED_FILES = "listing"
 SIDECAR_END = r"\.meta\.json$"
 FILE_TYPE = "path string, modificationTime timestamp, length long, content binary"
 DEAD_LETTER = "path string, node string, reason string, content binary, metadata_json string, at timestamp, run string, batch long"
@@ -295,9 +301,40 @@ class Ingest:
     # --- running ---------------------------------------------------------------------------------------
 
     def start(self, checkpoint: str, once: bool = False, every: str = "30 seconds", files_per_batch: int = 1000) -> StreamingQuery:
-        """Start the stream of message files; with ``once`` it takes what is there and stops."""
-        stream = self._session().readStream.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True)
-        return self._started(stream.option("maxFilesPerTrigger", files_per_batch).load(self.queue), self.process, checkpoint, once, every)
+        """Start the stream of message files; with ``once`` it takes what is there and stops.
+
+        A queue on a mounted file system is listed and read in tasks. Elsewhere, and for a checkpoint begun that way, Spark's file source lists it, which holds about 3 KB a file on the driver.
+        """
+        folder, begun = mounted(self.spark, self.queue), Files(self.spark, checkpoint)
+        if folder is None or begun.exists("sources") and not begun.exists(LISTED_FILES):
+            stream = self._session().readStream.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True)
+            return self._started(stream.option("maxFilesPerTrigger", files_per_batch).load(self.queue), self.process, checkpoint, once, every)
+        listing = Listing(self.spark, folder, f"{begun.root}/{LISTED_FILES}", files_per_batch)
+        listing.extend()
+        # a turn that is being written has another name
+        turns = self._session().readStream.schema(TURN).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.json").json(listing.turns)
+        query = self._started(turns, lambda rows, batch: self.process(listing.read(rows.sparkSession, batch), batch), checkpoint, once, every)
+        if not once:
+            self._watch(query, listing, every)
+        return query
+
+    def _watch(self, query: StreamingQuery, listing: Listing, every: str) -> None:
+        """List the queue again after each interval, as long as the query runs."""
+        interval = every.strip().lower().removeprefix("interval")
+        seconds = self.spark.range(1).select(F.expr(f"unix_micros(timestamp_seconds(0) + INTERVAL {interval}) / 1e6")).first()[0]
+
+        def run() -> None:
+            try:
+                while not query.awaitTermination(max(1, math.ceil(seconds))):
+                    listing.extend()
+            except StreamingQueryException:
+                pass  # the query's own failure, which it tells itself
+            except Exception as problem:
+                query.stop()
+                self.store.log_event("ERROR", "", f"{type(problem).__name__}: {problem}")
+                self.store.flush_events()
+
+        threading.Thread(target=run, name="queue listing", daemon=True).start()
 
     def start_rows(self, checkpoint: str, once: bool = False, every: str = "30 seconds", files_per_batch: int = 100) -> StreamingQuery:
         """Start the stream of a queue that is a table of message rows."""
@@ -332,9 +369,13 @@ class Ingest:
             again = materialize(chosen, "replay")
             count = again.count()
             if count:
-                queue = self.spark.read.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SIDECAR}").load(self.queue)
                 names = again.select(F.concat("path", F.lit(SIDECAR)).alias("path"))
-                now = queue.select("path", "content").join(names, "path", "left_semi")
+                folder = mounted(self.spark, self.queue)
+                if folder is None:
+                    queue = self.spark.read.format("binaryFile").schema(FILE_TYPE).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SIDECAR}").load(self.queue)
+                    now = queue.select("path", "content").join(names, "path", "left_semi")
+                else:
+                    now = read_files(found(self.spark, folder).where(F.col("path").endswith(SIDECAR)).join(names, "path", "left_semi"), count)
                 kept = again.where("metadata_json IS NOT NULL").select(F.concat("path", F.lit(SIDECAR)).alias("path"), F.col("metadata_json").cast("binary").alias("content"))
                 sides = now.unionByName(kept.join(now.select("path"), "path", "left_anti"))
                 number = (self.done().where(F.col("run") == REPLAY).agg(F.max("batch")).first()[0] or 0) + 1

@@ -125,6 +125,67 @@ def test_tasks_do_not_grow_with_the_files(spark, tmp_path):
     assert cells(feed.store) == {i: i + 0.5 for i in range(400) if i % 50 != 7} and feed.failed().count() == 8
 
 
+def test_the_driver_keeps_no_list_of_files(spark, tmp_path):
+    feed = tables(spark, tmp_path)
+    put = [message(f"{i:04}.csv", f"x,v\n{i},{i}\n") for i in range(150)]
+    write_messages(spark.createDataFrame(put, "name string, content binary, metadata string"), str(tmp_path / "queue"))
+    feed.start(str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    # what the stream's source remembers: one entry for the batch, not for each of 300 files
+    logs = [f for f in (tmp_path / "checkpoint" / "sources").rglob("*") if f.is_file() and not f.name.endswith(".crc")]
+    assert sum(f.read_text(errors="replace").count('"path"') for f in logs) == 1
+    assert cells(feed.store) == {i: float(i) for i in range(150)}
+
+
+def test_files_are_listed_once_and_oldest_first(spark, tmp_path):
+    from cubemerge.streaming.listing import Listing, found, mounted
+
+    def put(name, age, content="x"):
+        (tmp_path / "queue" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "queue" / name).write_text(content)
+        os.utime(tmp_path / "queue" / name, (1_700_000_000 - age, 1_700_000_000 - age))
+
+    files = {"b.csv": 30, "a/deep/c.csv": 50, "d=1/_x=2.csv": 10, "e é.csv": 40, "f.csv": 20, "old.csv": 30 * 86400}
+    for name, age in files.items():
+        put(name, age, "" if name == "f.csv" else name)
+    for name in (".g.csv.tmp", "_h.csv", "_i/j.csv", ".k/l.csv", "m._COPYING_"):
+        put(name, 0)
+    os.symlink(tmp_path / "nowhere", tmp_path / "queue" / "n.csv")
+    folder = mounted(spark, f"file://{tmp_path}/queue/")
+    assert folder == f"{tmp_path}/queue" and mounted(spark, f"{tmp_path}/q*") is None and mounted(spark, f"{tmp_path}/none") is None
+    # the same files as Spark's source finds
+    theirs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    assert {(r.path, r.modificationTime) for r in theirs.collect()} == {(r.path, r.modificationTime) for r in found(spark, folder).collect() if not r.path.endswith("f.csv")}
+
+    root = str(tmp_path / "listing")
+    read = lambda listing, batch: {r.path.split("/queue/")[1]: r.content.decode() for r in listing.read(spark, batch).collect()}
+    listing = Listing(spark, folder, root, 2)
+    assert listing.extend() == 3 and listing.extend() == 0
+    assert [read(listing, k) for k in range(3)] == [{n: n for n in some} for some in (["old.csv", "a/deep/c.csv"], ["e é.csv", "b.csv"], ["d=1/_x=2.csv"])]
+    # a file of a listed name is not taken again, nor one that is too old; what a failed listing left goes
+    put("b.csv", 0, "new")
+    put("o.csv", 8 * 86400)
+    put("p.csv", 5, "p.csv")
+    (tmp_path / "listing" / "files" / "batch=3").mkdir()
+    (tmp_path / "listing" / "files" / "batch=3" / "part-0.parquet").write_text("no parquet")
+    again = Listing(spark, folder, root, 2)
+    assert again.extend() == 1 and read(again, 3) == {"p.csv": "p.csv"} and read(again, 0).keys() == {"old.csv", "a/deep/c.csv"}
+
+
+def test_a_running_stream_takes_new_files(spark, tmp_path):
+    import time
+
+    feed = tables(spark, tmp_path)
+    put = lambda i: write_messages(spark.createDataFrame([message(f"{i}.csv", f"x,v\n{i},{i}\n")], "name string, content binary, metadata string"), str(tmp_path / "queue"))
+    put(1)
+    query = feed.start(str(tmp_path / "checkpoint"), every="interval 1 second")
+    put(2)
+    until = time.time() + 120
+    while time.time() < until and query.isActive and feed.done().where("accepted").count() < 2:
+        time.sleep(1)
+    query.stop()
+    assert query.exception() is None and cells(feed.store) == {1: 1.0, 2: 2.0}
+
+
 def test_waiting_files_are_given_up(spark, tmp_path):
     feed = tables(spark, tmp_path, patience="0 seconds")
     (tmp_path / "queue").mkdir()
